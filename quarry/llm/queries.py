@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op7_packing
 from .simhash import op10_document_fingerprints
 
 QUERIES = {
+    "op7_packing": op7_packing,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
