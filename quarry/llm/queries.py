@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .mixing import OP2_SQL, op2_source_mix
 from .packing import op7_packing
 from .simhash import op10_document_fingerprints
 
 QUERIES = {
+    "op2_source_mix": op2_source_mix,
     "op7_packing": op7_packing,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_source_mix": OP2_SQL,
+}
