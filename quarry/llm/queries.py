@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .language import op5_language_id
 from .mixing import OP2_SQL, op2_source_mix
 from .packing import op7_packing
+from .secrets import op3_secret_scan
 from .simhash import op10_document_fingerprints
+from .tokencount import op4_token_counts
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op7_packing": op7_packing,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
