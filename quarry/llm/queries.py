@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op9_jaccard_join
 from .language import op5_language_id
 from .mixing import OP2_SQL, op2_source_mix
 from .packing import op7_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op7_packing": op7_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
