@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from .gridorder import OP1_SQL, op1_embedding_neardup
 from .jaccard import op9_jaccard_join
 from .language import op5_language_id
 from .mixing import OP2_SQL, op2_source_mix
 from .packing import op7_packing
+from .quality import op6_quality
 from .secrets import op3_secret_scan
 from .simhash import op10_document_fingerprints
 from .tokencount import op4_token_counts
 
 QUERIES = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op2_source_mix": op2_source_mix,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 SQL: dict[str, str] = {
+    "op1_embedding_neardup": OP1_SQL,
     "op2_source_mix": OP2_SQL,
 }
