@@ -68,8 +68,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
-def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str | None = None, host: str | None = None, suffix: str | None = None, parent: str | None = None, trust: float = TRUST, smooth: float = SMOOTH, evidence: int = EVIDENCE) -> DataFrame:
-    """rows (without text) with lang_id, confidence, text_lang and keep.
+def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str | None = None, host: str | None = None, suffix: str | None = None, parent: str | None = None, trust: float = TRUST, smooth: float = SMOOTH, evidence: int = EVIDENCE, with_text: bool = False) -> DataFrame:
+    """rows (without text, unless with_text) with lang_id, confidence, text_lang and keep.
 
     log posterior = text + declared + suffix + host prior. Text: mean log-likelihood of the trigrams, times their number
     or `evidence`, whichever is less, against a flat model for no known language (und). Declared language and suffix:
@@ -81,7 +81,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     judged alike; an empty table gives no rows."""
     langs, logp = model
     k = len(langs)
-    own = [c for c in rows.columns if c != "text"]
+    own = [c for c in rows.columns if with_text or c != "text"]
     if not k:  # nothing was labelled
         return rows.select(*own, F.lit(UNDETERMINED).alias("lang_id"), F.lit(1.0).alias("confidence"), F.lit(UNDETERMINED).alias("text_lang"), F.lit(False).alias("keep"))
     made = rows.sparkSession.sparkContext.broadcast(logp)
@@ -151,9 +151,9 @@ def pages_evidence(pages: DataFrame) -> DataFrame:
     return d.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("parent", F.substring_index("host", ".", -2))
 
 
-def documents_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def documents_identified(docs: DataFrame, sample: int = SAMPLE, with_text: bool = False) -> DataFrame:
     """identify() over rows of documents: lang is the declared language, source the host."""
-    return identify(docs, fit(docs.select("doc_id", "text", "lang"), sample), declared="lang", host="source")
+    return identify(docs, fit(docs.select("doc_id", "text", "lang"), sample), declared="lang", host="source", with_text=with_text)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from .quality import op6_quality
 from .secrets import op3_secret_scan
 from .simhash import op10_document_fingerprints
 from .tokencount import op4_token_counts
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
