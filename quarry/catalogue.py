@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import queries_search
 
+_GROUPS = [queries_search]
 
-def FLAGSHIP(spark, sf_dir):
-    return QUERIES["bm25_topk"](spark, sf_dir)
+QUERIES = {k: v for g in _GROUPS for k, v in g.QUERIES.items()}
+SQL = {k: v for g in _GROUPS for k, v in g.SQL.items()}
+#: Their tables hold nothing that they look for.
+MAY_BE_EMPTY: set[str] = set()
+FLAGSHIP = QUERIES["hybrid_search"]
