@@ -196,7 +196,8 @@ def list_items(c) -> Column:
 
 def repaired_markers(c) -> Column:
     """Article markers that line breaks split are joined again."""
-    return F.regexp_replace(F.regexp_replace(text_of(c), f"第\\s*({CN_NUMERAL})\\s*条", "第$1条"), f"第({CN_NUMERAL})\\s*(编|分编|章|节)", "第$1$2")
+    whole = F.regexp_replace(text_of(c), f"(第\\s*{CN_NUMERAL})\\s*\\n\\s*({CN_NUMERAL})\\s*条", "$1$2条")
+    return F.regexp_replace(F.regexp_replace(whole, f"第\\s*({CN_NUMERAL})\\s*条", "第$1条"), f"第({CN_NUMERAL})[ \\t\\u3000]*(编|分编|章|节)", "第$1$2")
 
 
 def merged_lines(lines: Column, hyphen: bool = False) -> Column:

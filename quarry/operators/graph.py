@@ -25,11 +25,12 @@ def sequence_edges(chunks: DataFrame, group: list[str], order: list[str], key: s
 def citations(chunks: DataFrame, key: str = "article_id", text: str = "text") -> DataFrame:
     """(src, ref, conf): references of each chunk. Ranges give each member (at most WIDEST_RANGE wide), then single ones.
 
-    ref is a decimal article number for Chinese markers, and section:<id> or article:<n> for English ones."""
+    ref is a decimal article number for Chinese markers, and section:<id> or article:<n> for English ones. After a
+    section sign a hyphen belongs to the id (§ 2-201), so only a dash or a word makes a range there."""
     t = text_of(text)
     zh_range = F.transform(F.regexp_extract_all(t, F.lit(f"第\\s*{_NUM}\\s*条\\s*(?:至|到)\\s*第\\s*{_NUM}\\s*条"), F.lit(0)), lambda m: F.struct(numeral(F.regexp_extract(m, f"第\\s*({_NUM})", 1)).alias("lo"), numeral(F.regexp_extract(m, f"(?:至|到)\\s*第\\s*({_NUM})", 1)).alias("hi"), F.lit("").alias("pre"), d(0.95).alias("conf")))
     en_range = F.transform(
-        F.regexp_extract_all(t, F.lit("(?i)(?:Section|Sec\\.?|§{1,2}|Article|Art\\.?)\\s+\\d+\\s*(?:–|-|to|through)\\s*\\d+"), F.lit(0)),
+        F.regexp_extract_all(t, F.lit("(?i)(?:(?:Section|Sec\\.?|Article|Art\\.?)\\s+\\d+\\s*(?:–|-|to|through)|§{1,2}\\s*\\d+\\s*(?:–|to|through))\\s*\\d+"), F.lit(0)),
         lambda m: F.struct(F.regexp_extract(m, "(\\d+)\\s*(?:–|-|to|through)", 1).cast("long").alias("lo"), F.regexp_extract(m, "(\\d+)$", 1).cast("long").alias("hi"), F.when(m.rlike("(?i)^art"), "article:").otherwise("section:").alias("pre"), d(0.85).alias("conf")),
     )
     wide = lambda r: (r["lo"] <= r["hi"]) & (r["hi"] - r["lo"] <= WIDEST_RANGE)
