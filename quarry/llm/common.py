@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import groups
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,32 +44,28 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def groups(batches, keys: list[str]):
-    """Runs of equal keys over batches sorted (or at least clustered) by them: yields (key tuple, pyarrow.Table).
+def slices(batches, column: str = "text", most: int = 2_000_000):
+    """Slices of Arrow batches, about `most` bytes of the column each (one longer row is a slice of its own): what Python
+    holds of the texts at once stays small whatever the batch size. Freed memory goes back to the system."""
+    import ctypes
 
-    Holds one group and one batch at a time."""
     import numpy as np
+    import pyarrow.compute as pc
 
-    pending: list[pa.RecordBatch] = []
-    last = None
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        trim = lambda _: 0
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(b.schema.get_field_index(k)) for k in keys]
-        change = np.zeros(b.num_rows, dtype=bool)
-        for c in cols:
-            v = c.to_numpy(zero_copy_only=False)
-            change[1:] |= v[1:] != v[:-1]
-        starts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
-        for s, e in zip(starts, starts[1:]):
-            key = tuple(c[s].as_py() for c in cols)
-            if last is not None and key != last:
-                yield last, pa.Table.from_batches(pending)
-                pending = []
-            last = key
-            pending.append(b.slice(s, e - s))
-    if pending:
-        yield last, pa.Table.from_batches(pending)
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        s = 0
+        while s < b.num_rows:
+            e = max(s + 1, int(np.searchsorted(size, (size[s - 1] if s else 0) + most, "right")))
+            yield b.slice(s, e - s)
+            s = e
+        trim(0)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -109,3 +106,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if labels is None:
         return edges.sparkSession.createDataFrame([], "id long, component long")
     return labels
+
+
+__all__ = ["components", "discard", "groups", "shared_dir", "slices", "stored", "table"]

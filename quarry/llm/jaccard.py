@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .common import components, discard, groups, stored, table
+from .common import components, discard, groups, slices, stored, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -85,7 +85,7 @@ def _described(docs: DataFrame, words: int, threshold: float, seeds: np.ndarray)
     arrow = pa.list_(pa.struct([("k", pa.int64()), ("c", pa.list_(pa.int64()))]))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = sets_of(b.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("th"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([paths(s, seeds, threshold) for s in sets], arrow)],
@@ -257,7 +257,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     got = text.join(need.hint("shuffle_hash"), ["did", "th"]).select("sid", "comp", "copies", "text")
 
     def tokens(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = sets_of(b.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("comp"), b.column("copies"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "comp", "copies", "tokens"])
 

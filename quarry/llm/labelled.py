@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 
 def held_out(modulus: int, remainder: int):
     """crc32 of doc_id as text, mod modulus, is the remainder (a null id: of the empty text)."""
@@ -27,7 +29,7 @@ def scored(docs: DataFrame, scorer, broadcast_model, modulus: int, remainder: in
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus, remainder).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             s = np.clip(scorer(broadcast_model.value, b.column("text").to_pylist()), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

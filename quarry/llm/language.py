@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .common import stored, table
+from .common import slices, stored, table
 
 BUCKETS = 1 << 15
 SAMPLE = 6000  # labelled rows the text model is fitted on, at most about so many
@@ -50,7 +50,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(m)) < int(m * sample / n))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             t, lang = b.column("text").to_pylist(), b.column("lang").to_pylist()
             for one in sorted(set(lang)):
                 total = np.zeros(BUCKETS, np.int64)
@@ -81,17 +81,17 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     judged alike; an empty table gives no rows."""
     langs, logp = model
     k = len(langs)
-    own = [c for c in rows.columns if with_text or c != "text"]
+    own = [c for c in rows.columns if c != "text"]
     if not k:  # nothing was labelled
-        return rows.select(*own, F.lit(UNDETERMINED).alias("lang_id"), F.lit(1.0).alias("confidence"), F.lit(UNDETERMINED).alias("text_lang"), F.lit(False).alias("keep"))
+        return rows.select(*(rows.columns if with_text else own), F.lit(UNDETERMINED).alias("lang_id"), F.lit(1.0).alias("confidence"), F.lit(UNDETERMINED).alias("text_lang"), F.lit(False).alias("keep"))
     made = rows.sparkSession.sparkContext.broadcast(logp)
-    base = rows.select(F.struct(*own).alias("__doc"), F.coalesce("text", F.lit("")).alias("text"), *[(F.col(c) if c else F.lit(None)).cast("string").alias(n) for n, c in (("__d", declared), ("__h", host), ("__s", suffix), ("__p", parent))])
-    out_schema = base.drop("text").schema.add("__n", "long").add("__ll", T.ArrayType(T.DoubleType())).add("__t", T.IntegerType())
+    base = rows.select(F.struct(*own).alias("__doc"), "text", *[(F.col(c) if c else F.lit(None)).cast("string").alias(n) for n, c in (("__d", declared), ("__h", host), ("__s", suffix), ("__p", parent))])
+    out_schema = T.StructType([*(base if with_text else base.drop("text")).schema.fields, T.StructField("__n", T.LongType()), T.StructField("__ll", T.ArrayType(T.DoubleType())), T.StructField("__t", T.IntegerType())])
 
     def run(batches):
         lp = made.value
-        for b in batches:
-            t = b.column("text").to_pylist()
+        for b in slices(batches):
+            t = [x or "" for x in b.column("text").to_pylist()]
             n, ll = np.zeros(len(t), np.int64), np.zeros((len(t), k + 1))
             for first, part in textops.chunks(t, 500_000):
                 g, m = grams(part)
@@ -101,9 +101,10 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
                     ll[first + has] = np.add.reduceat(lp[g], (np.cumsum(m) - m)[has], axis=0, dtype=np.float64)
             ll *= (np.minimum(n, evidence) / np.maximum(n, 1))[:, None]
             best = np.where(n > 0, ll.argmax(1), k)
-            yield pa.RecordBatch.from_arrays([*b.drop_columns(["text"]).columns, pa.array(n), pa.array(ll.tolist(), pa.list_(pa.float64())), pa.array(best, pa.int32())], names=[*b.drop_columns(["text"]).schema.names, "__n", "__ll", "__t"])
+            kept = b if with_text else b.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n), pa.array(ll.tolist(), pa.list_(pa.float64())), pa.array(best, pa.int32())], names=[*kept.schema.names, "__n", "__ll", "__t"])
 
-    d = stored(base.select("__doc", "__d", "__h", "__s", "__p", "text").mapInArrow(run, out_schema))
+    d = stored(base.mapInArrow(run, out_schema))
     seen = [F.count(F.when(F.col("__t") == i, 1)).cast("double") for i in range(k)]
     total = d.agg(*[s.alias(f"n{i}") for i, s in enumerate(seen)]).first()
     level = [(total[i] + 1.0) / (sum(total) + k) for i in range(k)]
@@ -139,7 +140,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     d = d.withColumn("__at", F.when(F.col("__n") == 0, k).otherwise(F.array_position("__score", F.col("__top")).cast("int") - 1))
     conf = F.when(F.col("__n") == 0, 1.0).otherwise(1.0 / F.aggregate("__score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top"))))
     every = F.array(*[F.lit(x) for x in [*langs, UNDETERMINED]])
-    return d.select("__doc.*", F.get(every, F.col("__at")).alias("lang_id"), conf.alias("confidence"), F.get(every, F.col("__t")).alias("text_lang"), (F.col("__at") < k).alias("keep"))
+    d = d.select("__doc.*", *(["text"] if with_text else []), F.get(every, F.col("__at")).alias("lang_id"), conf.alias("confidence"), F.get(every, F.col("__t")).alias("text_lang"), (F.col("__at") < k).alias("keep"))
+    return d.select(*(rows.columns if with_text else own), "lang_id", "confidence", "text_lang", "keep")
 
 
 def pages_evidence(pages: DataFrame) -> DataFrame:

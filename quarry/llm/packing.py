@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import stored, table
+from .common import slices, stored, table
 
 CAPACITY = 2048
 SMALLEST_CUT = 128
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
     def run(batches):
         enc, seen = bpe.encoder(file.value), {}
         part = TaskContext.get().partitionId()
-        for b in batches:
+        for b in slices(batches, most=4_000_000):
             cols: list[list] = [[] for _ in range(8)]
             for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

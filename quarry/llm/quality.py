@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textops
-from .common import table
+from .common import slices, table
 from .labelled import scored, training_rows
 
 WORDS = 1 << 14  # buckets of hashed words
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     numbers a row of `sample` rows at most. Without labelled rows every score is 0.5."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             s, w = structure(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array([x.astype("<i4").tobytes() for x in w], pa.binary())], names=["y", "stats", "words"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import table
+from .common import slices, table
 
 BITS = 256
 TERM_WORDS = 3
@@ -60,7 +60,7 @@ def fingerprint(df: DataFrame, text: str = "text", bits: int = BITS, k: int = TE
     schema = df.drop(spare).schema.add(name, "string")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, spare):
             t = b.column(b.schema.get_field_index(spare)).to_pylist()
             fp = pa.array([x.tobytes().hex() for x in fingerprints(t, bits, k)], pa.string())
             b = b.drop_columns([spare])
@@ -133,7 +133,7 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS, k: int = TERM_WORDS,
 
     def run(batches):
         prev, marked = None, None  # prev: the row that waits for its next, (run, doc_id, text, fingerprint)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             prints = fingerprints(texts, bits, k)
             ready, nxt = [], []

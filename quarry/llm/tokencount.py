@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 SPACE = "▁"  # stands before every pre-token
 SCALE = 10_000  # scores are integers, so sums compare exactly
@@ -159,7 +159,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             counter = _MADE["counter"] = Counter(pieces.value)
         elif counter.score != (s := dict(pieces.value)) and s:
             counter = _MADE["counter"] = Counter(pieces.value)
-        for b in batches:
+        for b in slices(batches, most=8_000_000):
             n, total = counter.texts(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 

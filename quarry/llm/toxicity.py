@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import stored, table
+from .common import slices, stored, table
 from .labelled import scored, training_rows
 
 SAMPLE = 20_000  # labelled rows the lexicon and weights are learned from, at most
@@ -137,7 +137,7 @@ def bare(word: str) -> str:
 
 
 def _count_prefixes(batches):
-    for b in batches:
+    for b in slices(batches):
         pos: dict[str, int] = {}
         neg: dict[str, int] = {}
         for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
@@ -252,7 +252,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
     copied often doesn't make its rare words look like terms. Written to the shared folder; `sample` rows at most."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             t = b.column("text").to_pylist()
             h = [textops.shingles(*textops.words([x]), 5)[0] for x in t]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([int(x.min().view(np.int64)) if len(x) else 0 for x in h], pa.int64())], names=[*b.schema.names, "least"])
@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     def lookalikes(batches):
         auto, known = Automaton(auto_terms.value), set()
-        for b in batches:
+        for b in slices(batches):
             words = {bare(w) for t in b.column("text").to_pylist() for w in set(t.split())} - known
             known |= words
             got = [w for w in words if 2 < len(w) <= 200 and (m := auto.match(w)) is not None and m[0] > 0]
@@ -291,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     def describe(batches):
         m = Matcher(shipped.value["terms"], shipped.value["innocent"])
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(m.features(b.column("text").to_pylist()).tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     got = sorted((tuple(r.x), r.y) for r in rows.mapInArrow(describe, "y double, x array<double>").collect())
