@@ -65,7 +65,7 @@ def bm25_topk(spark, sf):
 
 
 def bm25_incremental(spark, sf):
-    """Statistics after the pages' worth of new documents came in: every document once more, and those of even ids twice."""
+    """Statistics after an incremental add: some sources are there, then all documents come in twice."""
     d0 = docs(spark, sf).select("doc_id", "text")
     old = d0.where("source <= 'src4'")
     both = bm25.extended(old, d0.unionByName(d0))

@@ -52,7 +52,7 @@ def decompose(spark, sf):
 
 
 def usable_questions(spark, sf):
-    q = turns(spark, sf).withColumn("q", routing.usable_question(F.concat(F.lit("Can the contract "), F.substring("text", 1, 60), F.lit("?"))))
+    q = turns(spark, sf).withColumn("q", routing.usable_question(F.concat(F.lit("Can the contract "), F.col("text"), F.lit("?"))))
     return q.select("conv_id", "turn", "q")
 
 
@@ -83,12 +83,12 @@ SELECT *, array_to_string(list_filter([issue_type, {tag}], lambda x: x <> '' AND
 
 
 def _usable_sql():
-    q = "trim(regexp_replace(replace('Can the contract ' || left(text, 60) || '?', '　', ' '), '\\s+', ' ', 'g'))"
+    q = "trim(regexp_replace(replace('Can the contract ' || text || '?', '　', ' '), '\\s+', ' ', 'g'))"
     return f"SELECT conv_id, turn, CASE WHEN length({q}) BETWEEN 6 AND 200 AND NOT regexp_matches({q}, '{'|'.join(rules.DEICTIC)}') THEN {q} END AS q FROM conversations"
 
 
 def text_normalize(spark, sf):
-    return docs(spark, sf).select("doc_id", text.normalised("text").alias("normalised"), text.one_line(F.substring("text", 1, 200)).alias("head"))
+    return docs(spark, sf).select("doc_id", text.normalised("text").alias("normalised"), text.one_line("text").alias("line"))
 
 
 def sentence_split(spark, sf):
@@ -203,13 +203,13 @@ SELECT unnest(kept) AS vec_id FROM (SELECT kept FROM r ORDER BY i DESC LIMIT 1)"
 def quality_gate(spark, sf):
     """Sources as parsed documents: each text an article, its id the number."""
     d = docs(spark, sf)
-    rec = d.select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("article_id"), F.substring("text", 1, 300).alias("text"))
+    rec = d.select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("article_id"), "text")
     size = d.groupBy(F.col("source").alias("doc_id")).agg(F.sum(F.length("text")).alias("text_len"))
     q = parse.quality(rec, size)
     return q.select("doc_id", "count", F.round("coverage", 6).alias("coverage"), F.round("avg_len_ratio", 6).alias("avg_len_ratio"), F.round("gap_ratio", 6).alias("gap_ratio"), "ok")
 
 
-GATE_SQL = """WITH g AS (SELECT source AS doc_id, count(*) AS count, sum(length(left(text, 300))) AS total, sum(length(text)) AS text_len, count(DISTINCT doc_id) AS nums, min(doc_id) AS lo, max(doc_id) AS hi FROM documents GROUP BY source),
+GATE_SQL = """WITH g AS (SELECT source AS doc_id, count(*) AS count, sum(length(text)) AS total, sum(length(text)) AS text_len, count(DISTINCT doc_id) AS nums, min(doc_id) AS lo, max(doc_id) AS hi FROM documents GROUP BY source),
 m AS (SELECT doc_id, count, total / CAST(greatest(text_len, 1) AS DOUBLE) AS coverage, total / CAST(count AS DOUBLE) / CAST(greatest(text_len, 1) AS DOUBLE) AS a, CASE WHEN nums >= 5 THEN 1e0 - nums / CAST(hi - lo + 1 AS DOUBLE) END AS gap FROM g)
 SELECT doc_id, count, round(coverage, 6) AS coverage, round(a, 6) AS avg_len_ratio, round(gap, 6) AS gap_ratio, NOT (count < 20 OR coverage < 3e-1 OR coalesce(gap > 5e-1, FALSE) OR a > 12e-2) AS ok FROM m"""
 
@@ -278,7 +278,7 @@ SQL = {
     "agent_scope": f"SELECT conv_id, turn, CASE WHEN s > 0 AND k > 0 THEN 'both' WHEN k > s THEN 'case' ELSE 'statute' END AS scope FROM (SELECT conv_id, turn, {_count(LOW, rules.STATUTE_SIGNALS)} AS s, {_count(LOW, rules.CASE_SIGNALS)} + CAST({_contains(LOW, rules.FACT_SIGNALS)} AS INTEGER) AS k FROM conversations)",
     "decompose": "SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS n, part FROM (SELECT conv_id, turn, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT conv_id, turn, CASE WHEN contains(text, ' and ') THEN list_filter(list_transform(string_split(text, ' and '), lambda x: trim(x)), lambda x: x <> '') ELSE [text] END AS ps FROM conversations))",
     "usable_questions": _usable_sql(),
-    "text_normalize": "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\f\\x{3000}]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS normalised, trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')) AS head FROM documents",
+    "text_normalize": "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\f\\x{3000}]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS normalised, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM documents",
     "sentence_split": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, s AS sentence FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^{ENDS}]*[{ENDS}]|[^{ENDS}]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents))",
     "chunk_fixed": CHUNK_SQL,
     "paragraph_split": PARA_SQL,
