@@ -78,17 +78,26 @@ def containment_edges(terms: DataFrame, chunks: DataFrame, cap: int = 10, key: s
     """(src, dst, relation, conf) of chunks whose text holds a term: defined_by and its reverse; at most `cap` terms a
     chunk, the longest first. terms(term, article, term_pos).
 
-    A term that starts with `lead` letters or digits at least is met, by an equi-join, only with chunks that have those
-    first characters somewhere (every run of that many of a chunk, once each); shorter terms with the chunks that have
-    their first character. So terms and texts are never all paired, and the text joins only what is left."""
-    lead = 6
-    start = lambda c: F.substring(c, 1, lead)
-    t = terms.withColumn("g", F.when(F.length("term") >= lead, start("term")).otherwise(F.substring("term", 1, 1)))
+    What lies inside a term lies whole in a text that holds it: a term meets, by an equi-join, only the chunks with the
+    rarest of its inner words (neither first nor last), or with its first CJK character. A term without either meets the
+    chunks with a word that contains its longest word, found among the distinct words. So terms and texts are never all
+    paired, and texts join only what is left."""
+    word, cjk = F.lit("[a-z0-9]+"), F.lit("[\\u4e00-\\u9fff]")
+    words = lambda c: F.regexp_extract_all(F.lower(c), word, F.lit(0))
+    chars = lambda c: F.regexp_extract_all(c, cjk, F.lit(0))
     body = text_of(text)
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(body) - n + 1, F.lit(1))), lambda i: F.substring(body, i, F.lit(n)))
-    wanted = t.select("g").distinct()
-    grams = chunks.select(key, F.explode(F.array_distinct(F.concat(runs(lead), runs(1)))).alias("g"))
-    met = grams.join(F.broadcast(wanted) if wanted.limit(10_001).count() <= 10_000 else wanted, "g").join(t, "g")
+    cw = chunks.select(key, F.explode(F.array_distinct(F.concat(words(body), chars(body)))).alias("g"))
+    tw = words(F.col("term"))
+    inner = F.slice(tw, 2, F.greatest(F.size(tw) - 2, F.lit(0)))
+    keys = F.when(F.size(inner) > 0, F.array_distinct(inner)).otherwise(F.slice(chars(F.col("term")), 1, 1))
+    t = terms.withColumn("keys", keys)
+    often = cw.join(t.select(F.explode("keys").alias("g")).distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
+    rare = t.where(F.size("keys") > 0).select("term", "article", "term_pos", F.explode("keys").alias("g")).join(often, "g").groupBy("term", "article", "term_pos").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    rest = t.where("size(keys) = 0").withColumn("w", F.get(F.array_sort(F.transform(tw, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), F.lit(0))["w"])
+    if not rest.isEmpty():
+        rest = cw.select("g").distinct().join(F.broadcast(rest) if rest.limit(10_001).count() <= 10_000 else rest, F.col("g").contains(F.coalesce("w", F.lit(""))))
+        rare = rare.unionByName(rest.select("term", "article", "term_pos", "g"))
+    met = rare.join(cw, "g").select("term", "article", "term_pos", key).distinct()
     met = met.join(chunks.select(key, F.col(text).alias("__t")), key).where(F.col("__t").contains(F.col("term")) & (F.col(key) != F.col("article")))
     w = Window.partitionBy(key).orderBy(F.length("term").desc(), "term_pos")
     top = met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).withColumn("conf", F.when(F.length("term") >= 4, d(0.90)).otherwise(d(0.85)))

@@ -215,3 +215,12 @@ def test_nothing_imports_the_extra_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "llm" not in f.read_text().replace("llm_", ""), f
+
+
+def test_containment_edges_equal_nested_loops(spark):
+    docs = [(1, "the red cat sat"), (2, "a red catalog"), (3, "合同是协议"), (4, "redcat"), (5, None), (6, "The Red Cat sat on it"), (7, "--- x ---")]
+    terms = [("red cat", 100, 0), ("the red cat sat", 1, 1), ("合同", 101, 2), ("cat", 102, 3), ("red", 103, 4), ("---", 104, 5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame(terms, "term string, article long, term_pos int")
+    got = {(r.src, r.dst) for r in graph.containment_edges(t, d).where("relation = 'defined_by'").collect()}
+    assert got == {(i, a) for i, x in docs for w, a, _ in terms if x and w in x and i != a}
