@@ -14,6 +14,7 @@ from .common import slices, stored, table
 BUCKETS = 1 << 15
 SAMPLE = 6000  # labelled rows the text model is fitted on, at most about so many
 EVIDENCE = 80  # text counts as at most so many independent n-grams
+FLAT = 0.1  # share of the flat model in each language's
 TRUST = 0.9  # chance that a declared language is right
 SMOOTH = 20.0  # rows that a host's parent level weighs in its prior
 UNDETERMINED = "und"
@@ -61,11 +62,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
     found = rows.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in found})
-    counts = np.full((BUCKETS, len(langs) + 1), 0.05)
+    counts = np.full((BUCKETS, len(langs) + 1), 1e-9)
     for r in found:
         counts[r.bucket, langs.index(r.lang)] += r.n
     counts[:, -1] = 1
-    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
+    p = counts / counts.sum(0)
+    # an unseen trigram costs a language little against the flat model, so a short text of rare ones isn't rejected
+    return langs, np.log((1 - FLAT) * p + FLAT / BUCKETS).astype(np.float32)
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str | None = None, host: str | None = None, suffix: str | None = None, parent: str | None = None, trust: float = TRUST, smooth: float = SMOOTH, evidence: int = EVIDENCE, with_text: bool = False) -> DataFrame:
