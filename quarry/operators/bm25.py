@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import d
 from ..functions.text import tokens
+from ..sources.shared import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -49,13 +50,14 @@ def top(scores: DataFrame, k: int | Column, qid: str = "query_id", key: str = "d
 
 
 class Index:
-    """Postings, terms and statistics of a set of chunks, cached for several searches."""
+    """Postings, terms and statistics of a set of chunks. The postings and terms are written once, as the index that all
+    searches read; texts are tokenised once."""
 
     def __init__(self, chunks: DataFrame, key: str = "doc_id", text: str = "text", tokenizer=tokens):
         self.key, self.tokenizer = key, tokenizer
-        self.post = postings(chunks, key, text, tokenizer)
-        self.stats = corpus_stats(chunks, text, tokenizer)
-        self.terms = term_stats(self.post, self.stats)
+        self.post = stored(postings(chunks, key, text, tokenizer))
+        self.stats = stored(corpus_stats(chunks, text, tokenizer))
+        self.terms = stored(term_stats(self.post, self.stats))
 
     def search(self, queries: DataFrame, k: int, qid: str = "query_id", text: str = "text", least: float | None = None) -> DataFrame:
         s = score(queries, self.post, self.terms, self.stats, qid, self.key, text, self.tokenizer)

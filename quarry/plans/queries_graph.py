@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fusion, graph
+from ..sources.shared import stored
 from .queries_search import BM25, TOK, _gold, docs, index, items
 
 DEPTHS = {"default": 2, "defined_by": 3, "defines_term": 3, "next": 2, "prev": 2}
@@ -29,11 +30,11 @@ def graph_edges_contain(spark, sf):
 
 def _edges(spark, sf):
     e = graph_edges_seq(spark, sf).unionByName(graph_edges_contain(spark, sf))
-    return e.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("relation", "dst")))
+    return stored(e.withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("relation", "dst"))))
 
 
 def _seeds(spark, sf):
-    return index(spark, sf).search(items(spark, sf), 3).select("query_id", F.col("doc_id").alias("node"), F.col("rank").alias("ord"))
+    return stored(index(spark, sf).search(items(spark, sf), 3).select("query_id", F.col("doc_id").alias("node"), F.col("rank").alias("ord")))
 
 
 def graph_walk(spark, sf):

@@ -274,6 +274,9 @@ SQL = {
     "lang_detect": f"SELECT doc_id, CASE WHEN {_LA_N} > {_ZH_N} THEN 'en' ELSE 'zh' END AS detected, CASE WHEN {_ZH_N} > 0 THEN 'zh' ELSE 'en' END AS prompt, CASE WHEN {_ZH_N} > 3e-1 * greatest(length(regexp_replace(text, '\\s', '', 'g')), 1) THEN 'zh' ELSE 'en' END AS ratio FROM documents",
     "lang_stats": f"SELECT lang, count(*) AS n, CAST(sum({_LA_N}) AS BIGINT) AS latin, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang",
     "route_questions": _route_sql(),
+    "example_choice": f"""SELECT conv_id || '-' || turn AS query_id, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS example FROM (
+  SELECT conv_id, turn, CASE WHEN task_type = 'judge_style' THEN 3 ELSE 0 END AS a, CASE WHEN issue_type = 'other' THEN 2 ELSE 0 END AS b,
+         CASE WHEN task_type = 'risk_alert' THEN 3 ELSE 0 END + CASE WHEN issue_type = 'contract_interpretation' THEN 2 ELSE 0 END AS c FROM ({_route_sql()}))""",
     "route_documents": f"SELECT doc_id, {MODE} AS mode, {TASK} AS task, {ISSUE} AS issue, {PART} AS part, {FACTOR} AS factor FROM documents",
     "agent_scope": f"SELECT conv_id, turn, CASE WHEN s > 0 AND k > 0 THEN 'both' WHEN k > s THEN 'case' ELSE 'statute' END AS scope FROM (SELECT conv_id, turn, {_count(LOW, rules.STATUTE_SIGNALS)} AS s, {_count(LOW, rules.CASE_SIGNALS)} + CAST({_contains(LOW, rules.FACT_SIGNALS)} AS INTEGER) AS k FROM conversations)",
     "decompose": "SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS n, part FROM (SELECT conv_id, turn, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT conv_id, turn, CASE WHEN contains(text, ' and ') THEN list_filter(list_transform(string_split(text, ' and '), lambda x: trim(x)), lambda x: x <> '') ELSE [text] END AS ps FROM conversations))",
