@@ -38,7 +38,7 @@ def fingerprints(texts: list[str], bits: int = BITS, k: int = TERM_WORDS) -> np.
         doc_cut = np.flatnonzero(np.diff(owner, prepend=-1))
         has = owner[doc_cut]
         for j in range(bits // 64):
-            h = (term if j == 0 else textops.fmix(term + U(j) * textops.MIX[6])).view(np.uint8).reshape(-1, 8)
+            h = (term if j == 0 else textops.fmix(term + U(j * int(textops.MIX[6]) % 2**64))).view(np.uint8).reshape(-1, 8)
             for b in range(8):
                 lanes = np.add.reduceat(_LANES[h[:, b]], cuts).view(np.uint8).reshape(-1, 8)
                 votes[has, j * 64 + b * 8 : j * 64 + b * 8 + 8] = np.add.reduceat(lanes.astype(np.int32), doc_cut, axis=0)
