@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import textops
 from .common import slices, stored, table
-from .labelled import scored, training_rows
+from .labelled import held_out, scored, training_rows
 
 SAMPLE = 20_000  # labelled rows the lexicon and weights are learned from, at most
 MOST_TERMS = 20_000  # candidate terms that may reach the driver, the most frequent in toxic rows first
@@ -154,21 +154,21 @@ def _count_prefixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([pos.get(p, 0) for p in both], pa.int64()), pa.array([neg.get(p, 0) for p in both], pa.int64())], names=["p", "pos", "neg"])
 
 
-def telling(pos, neg, prior: float):
+def telling(pos, neg, prior: float, lift: float = LIFT):
     """Whether a prefix's toxic rows are far more than chance gives, and a good share of its rows; columns or numbers."""
     total = pos + neg
-    return (pos >= 0.3 * total) & ((pos - prior * total) * (pos - prior * total) >= LIFT * LIFT * prior * (1 - prior) * total) & (pos > prior * total)
+    return (pos >= 0.3 * total) & ((pos - prior * total) * (pos - prior * total) >= lift * lift * prior * (1 - prior) * total) & (pos > prior * total)
 
 
 def least_rows(positives: int) -> int:
     return max(4, math.ceil(0.004 * positives))
 
 
-def choose(counts: dict[str, tuple[int, int]], positives: int, negatives: int) -> list[Term]:
+def choose(counts: dict[str, tuple[int, int]], positives: int, negatives: int, lift: float = LIFT) -> list[Term]:
     """The shortest telling prefixes, each grown while one longer prefix (or the whole word, spelled with $) still covers
     nearly all of its toxic rows; and, below a stem that is not strong, whatever is strong by itself."""
     least, prior = least_rows(positives), positives / max(1, positives + negatives)
-    good = {p for p, (a, b) in counts.items() if a >= least and telling(a, b, prior)}
+    good = {p for p, (a, b) in counts.items() if a >= least and telling(a, b, prior, lift)}
     longer: dict[str, list[str]] = {}
     for p in good:
         longer.setdefault(p[:-1], []).append(p)
@@ -260,7 +260,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return stored(rows.select("text", "y").mapInArrow(run, "text string, y double, least long").dropDuplicates(["least", "y"]).select("text", "y"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lift: float = LIFT) -> dict:
     """Lexicon, innocent look-alikes and weights.
 
     Prefixes are counted by document on the executors and summed by key; those nearly all of whose documents are toxic
@@ -273,8 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     if not positives or positives == total.n:
         return flat
     counts = rows.mapInArrow(_count_prefixes, "p string, pos long, neg long").groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = counts.where(F.col("pos") >= least_rows(positives)).where(telling(F.col("pos"), F.col("neg"), positives / total.n)).orderBy(F.desc("pos"), "p").limit(MOST_TERMS).collect()
-    terms = choose({r.p: (r.pos, r.neg) for r in found}, positives, total.n - positives)
+    found = counts.where(F.col("pos") >= least_rows(positives)).where(telling(F.col("pos"), F.col("neg"), positives / total.n, lift)).orderBy(F.desc("pos"), "p").limit(MOST_TERMS).collect()
+    terms = choose({r.p: (r.pos, r.neg) for r in found}, positives, total.n - positives, lift)
     auto_terms = docs.sparkSession.sparkContext.broadcast(terms)
 
     def lookalikes(batches):
@@ -285,7 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             got = [w for w in words if 2 < len(w) <= 200 and (m := auto.match(w)) is not None and m[0] > 0]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["w"])
 
-    innocent = frozenset(r.w for r in rows.where("y = 0").select("text").mapInArrow(lookalikes, "w string").distinct().limit(MOST_TERMS * 10).collect())
+    # as many as the distinct words of `sample` rows near a term allow; were there more, the first by spelling
+    innocent = frozenset(r.w for r in rows.where("y = 0").select("text").mapInArrow(lookalikes, "w string").distinct().orderBy("w").limit(MOST_TERMS * 10).collect())
     part = {"terms": terms, "innocent": innocent}
     shipped = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -316,6 +317,24 @@ def score(model: dict, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
 
 
+def cross_validated(docs: DataFrame, labels: DataFrame, lifts: list[float], folds: int = 3, sample: int = SAMPLE) -> dict[float, tuple[int, int, int, int]]:
+    """For each lift: (toxic rows found, toxic rows, clean rows flagged, clean rows), each row judged by a model of the
+    other folds. Only rows outside the held-out part take part, so lifts can be compared without a look at that part."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(*HELD_OUT))
+    known = stored(known.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).alias("fold")))
+    out = {}
+    for lift in lifts:
+        sums = np.zeros(4, np.int64)
+        for f in range(folds):
+            rest, own = known.where(F.col("fold") != f), known.where(F.col("fold") == f).select("doc_id", "toxic")
+            model = docs.sparkSession.sparkContext.broadcast(train(docs, rest, sample, lift))
+            got = scored(docs.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), score, model, *HELD_OUT, CUT).join(own, "doc_id")
+            toxic, hit = F.col("toxic") == 1, F.col("predicted") == 1
+            sums += np.array(got.agg(*[F.count(F.when(c, 1)) for c in (toxic & hit, toxic, ~toxic & hit, ~toxic)]).first())
+        out[lift] = tuple(sums.tolist())
+    return out
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs, from its whole text.
 
