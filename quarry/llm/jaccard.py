@@ -19,6 +19,7 @@ THRESHOLD = 0.8
 RECALL = 0.99
 SPLIT = 256  # a bucket over this is split by one more sampled token
 BLOCK = 512  # what is still larger is compared in pairs of blocks of about this size
+TOKENS = 4_000_000  # of a block in the exact comparison, about: long texts make smaller blocks
 BINS = 128  # of a sketch
 SLACK = 0.15  # an estimate this far under the threshold still counts: over 4 standard errors
 NULL_ID = -(2**63)
@@ -67,12 +68,15 @@ def paths(s: np.ndarray, seeds: np.ndarray, threshold: float) -> list[dict]:
     if not len(s):
         return []
     limit = U(min(2**64 - 1, int(2**64 / (threshold * len(s)))))
-    r, t = np.nonzero(textops.fmix(s[None, :] ^ seeds[:, None]) <= limit)
+    if len(s) * len(seeds) <= 1 << 16:  # all runs at once, which is faster for a short text
+        r, t = np.nonzero(textops.fmix(s[None, :] ^ seeds[:, None]) <= limit)
+    else:  # run by run: a very long text is never held more than a few times
+        found = [np.flatnonzero(textops.fmix(s ^ seed) <= limit) for seed in seeds]
+        r, t = np.repeat(np.arange(len(seeds)), [len(x) for x in found]), np.concatenate(found)
     keys = textops.fmix(s[t] * textops.MIX[4] + seeds[r])
-    deeper = textops.fmix(s[None, :] ^ keys[:, None])
     out = []
-    for k, key in enumerate(keys):
-        u = np.flatnonzero(deeper[k] <= limit)
+    for key in keys:
+        u = np.flatnonzero(textops.fmix(s ^ key) <= limit)
         below = textops.fmix(s[u] * textops.MIX[5] + key)
         out.append({"k": int(key.view(np.int64)), "c": below.view(np.int64).tolist()})
     return out
@@ -251,7 +255,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     did = F.coalesce("doc_id", F.lit(NULL_ID))
     reps = stored(d.groupBy("sid").agg(F.min(F.struct(did.alias("did"), F.col("th"))).alias("r"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")).select("sid", "r.did", "r.th", "copies", "n", "sketch", "paths"))
     cand = components(_candidates(reps.where("n > 0"), threshold)).withColumnsRenamed({"id": "sid", "component": "comp"})
-    members = stored(cand.join(reps.select("sid", "did", "th", "copies"), "sid"))
+    members = stored(cand.join(reps.select("sid", "did", "th", "copies", "n"), "sid"))
     need = members.select("did", "th", "sid", "comp", "copies")
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     got = text.join(need.hint("shuffle_hash"), ["did", "th"]).select("sid", "comp", "copies", "text")
@@ -262,8 +266,10 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
             yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("comp"), b.column("copies"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "comp", "copies", "tokens"])
 
     sets = got.mapInArrow(tokens, "sid long, comp long, copies long, tokens binary")
-    size = members.groupBy("comp").agg(F.count("*").alias("m"))
-    sets = sets.join(size, "comp").withColumn("nb", F.when(F.col("m") > 2 * BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(1).cast("int"))
+    size = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    by_rows = F.when(F.col("m") > 2 * BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(1)
+    by_tokens = F.least(F.when(F.col("t") > 2 * TOKENS, F.ceil(F.col("t") / TOKENS)).otherwise(1), F.col("m"))
+    sets = sets.join(size, "comp").withColumn("nb", F.greatest(by_rows, by_tokens).cast("int"))
     sets = sets.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
     sets = sets.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("comp", F.least("x", "own").alias("bi"), F.greatest("x", "own").alias("bj"), "sid", "copies", "own", "tokens")
     keys = ["comp", "bi", "bj"]

@@ -55,9 +55,10 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     rows = corpus(3, 250) + [(1000, None), (1001, ""), (1002, "  \n"), (None, "a b"), (1003, "a b"), (5, "dup id other text here one two"), (1000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sid", F.lit(1)).withColumn("n", F.lit("x"))
     want = sorted(((str(i), *c) for (i, _), c in zip(rows, brute(rows))), key=str)
-    for split, block in ((256, 512), (2, 4)):
+    for split, block, tokens in ((256, 512, 10**6), (2, 4, 10**6), (256, 512, 60)):
         monkeypatch.setattr(jaccard, "SPLIT", split)
         monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "TOKENS", tokens)
         got = jaccard.classes(df, recall=0.9999).collect()
         assert sorted(((str(r.doc_id), r.class_id, r.n_links) for r in got), key=str) == want
     kept = jaccard.deduplicated(df, recall=0.9999).collect()
@@ -80,6 +81,15 @@ def test_documents_and_hot_group(spark):
     assert {r.class_id for r in got} == {0} and min(r.n_links for r in got) == 1499
 
 
+def test_paths_of_long_texts():
+    rnd = np.random.default_rng(3)
+    s = np.unique(rnd.integers(0, 2**64, 40_000, dtype=np.uint64))
+    seeds = rnd.integers(0, 2**64, 8, dtype=np.uint64)
+    together = [p for seed in seeds for p in jaccard.paths(s, seeds=np.array([seed]), threshold=0.8)]
+    got = jaccard.paths(s, seeds, 0.8)
+    assert len(s) * len(seeds) > 1 << 16 > len(s) and got == together and len(got) > 1
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.classes(d).collect() == [] == jaccard.deduplicated(d).collect()
