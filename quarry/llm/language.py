@@ -12,7 +12,7 @@ from . import textops
 from .common import slices, stored, table
 
 BUCKETS = 1 << 15
-SAMPLE = 6000  # labelled rows the text model is fitted on, at most about so many
+SAMPLE = 6000  # labelled rows the text model is fitted on, shared evenly by the declared languages
 EVIDENCE = 80  # text counts as at most so many independent n-grams
 FLAT = 0.1  # share of the flat model in each language's
 TRUST = 0.9  # chance that a declared language is right
@@ -40,15 +40,41 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (textops.fmix(h[at]) >> U(49)).astype(np.int64), np.bincount(owner, minlength=len(texts))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (BUCKETS, languages + 1) from about `sample` rows of (doc_id, text, lang), picked
-    by a hash of the id; the last column, for no known language, is flat. Counts are summed by language and bucket on
-    the executors; at most BUCKETS rows a language come to the driver."""
+def quota(sizes: dict[str, int], sample: int) -> int:
+    """Rows a language that fit in `sample` if each gives as many or all it has; one at least."""
+    left, order = sample, sorted(sizes.values())
+    for i, n in enumerate(order):
+        if n * (len(order) - i) > left:
+            return max(1, left // (len(order) - i))
+        left -= n
+    return max(order, default=1)
+
+
+def fitting_rows(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], DataFrame]:
+    """All declared languages, and (text, lang) of at most `sample` rows (more only if there are more languages), of each
+    language all or `quota`: the hash of id and text deals its rows over so many slots, the least hash of a slot counts.
+
+    Slots are counted by language and slot before any text moves; their table has at most `sample` rows or one a language."""
     rows = labelled.where("lang is not null and text is not null")
-    n = rows.count()
-    if n > sample:
-        m = 1_000_000
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(m)) < int(m * sample / n))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(sizes.values()) <= sample:
+        return sorted(sizes), rows.select("text", "lang")
+    q = quota(sizes, sample)
+    small = sorted(x for x, n in sizes.items() if n <= q)
+    rows = rows.select("text", "lang", F.xxhash64("doc_id", "text", F.lit("fit")).alias("h"))
+    large = rows.where(~F.col("lang").isin(small)) if small else rows
+    first = large.groupBy("lang", F.pmod("h", F.lit(q)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
+    picked = large.join(F.broadcast(first), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    if small:
+        picked = picked.unionByName(rows.where(F.col("lang").isin(small)))
+    return sorted(sizes), picked.select("text", "lang")
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """All declared languages of (doc_id, text, lang) and log-probabilities (BUCKETS, languages + 1) from the
+    fitting_rows; the last column, for no known language, is flat. Counts are summed by language and bucket on the
+    executors; at most BUCKETS rows a language come to the driver."""
+    langs, rows = fitting_rows(labelled, sample)
 
     def run(batches):
         for b in slices(batches):
@@ -61,10 +87,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(total[k])], names=["lang", "bucket", "n"])
 
     found = rows.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r.lang for r in found})
+    place = {x: i for i, x in enumerate(langs)}
     counts = np.full((BUCKETS, len(langs) + 1), 1e-9)
     for r in found:
-        counts[r.bucket, langs.index(r.lang)] += r.n
+        counts[r.bucket, place[r.lang]] += r.n
     counts[:, -1] = 1
     p = counts / counts.sum(0)
     # an unseen trigram costs a language little against the flat model, so a short text of rare ones isn't rejected

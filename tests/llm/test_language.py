@@ -42,3 +42,18 @@ def test_pages(spark):
     model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     got = language.identify(p, model, declared="declared", host="host", suffix="suffix", parent="parent").collect()
     assert len(got) == 250 and sum(r.lang_id == r.declared for r in got) > 225
+
+
+def test_rare_declared_languages_are_known(spark):
+    rows = [(i, f"the and of with that {i}", "en", "s") for i in range(2000)] + [(5000 + i, "der und ist nicht auch", "de", "s") for i in range(3)] + [(None, "het een van dat niet", "nl", "s")] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    langs, picked = language.fitting_rows(d, 30)
+    n = {r.lang: r["count"] for r in picked.groupBy("lang").count().collect()}
+    assert langs == ["de", "en", "nl"] and n["de"] == 3 and 1 <= n["en"] <= 13 and n["nl"] == 1
+    got = language.documents_identified(d, sample=30).collect()
+    assert len(got) == len(rows) and all(r.keep and r.lang_id == r.lang for r in got)
+
+
+def test_quota():
+    assert language.quota({"a": 3, "b": 100, "c": 50}, 43) == 20 and language.quota({"a": 3, "b": 5}, 100) == 5
+    assert language.quota({str(i): 9 for i in range(50)}, 10) == 1 and language.quota({}, 10) == 1
