@@ -17,15 +17,17 @@ BASE = [
 WEAK = [
     ("endpoint", r"""(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqps?|mongodb)://[^\x20\x09-\x0D"'<>]{3,}""", "place"),
     ("login", r"""(?i:\b(?:user(?:_?name)?|login|client_?id|account_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}""", "identifier"),
-    ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9+/_-]{0,40}[A-Za-z])[A-Za-z0-9+/_-]{16,64}(?![A-Za-z0-9+/_-])", "secret"),
+    ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+", "secret"),
 ]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret"} | {k: r for k, _, r in WEAK}
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in WEAK]
-REACH = 160
+REACH = 160  # code points between parts that may share a line or lie in different blocks
+BLANK = r"\n\s*\n"
 
 
 def _hits(text, number: int, pattern: str, group: int, least: int):
-    """array<struct<kind, seq, gap, len, ok>>: for each match in order, the code points since the last one and its own.
+    """array<struct<kind, seq, gap, len, lines, blanks, ok>>: for each match in order, the code points since the last one
+    and its own, and the line ends and blank lines since the last one; no match holds a line end.
 
     Matches are taken by the same scan as the pieces between them, so gaps and lengths add up to positions."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -33,7 +35,7 @@ def _hits(text, number: int, pattern: str, group: int, least: int):
     size = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     made = F.transform(
         whole,
-        lambda m, i: F.struct(F.lit(number).alias("kind"), i.cast("int").alias("seq"), F.length(F.get(pieces, i)).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), (F.length(F.get(size, i)) >= least).alias("ok")),
+        lambda m, i: F.struct(F.lit(number).alias("kind"), i.cast("int").alias("seq"), F.length(F.get(pieces, i)).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), F.regexp_count(F.get(pieces, i), F.lit(r"\n")).alias("lines"), F.regexp_count(F.get(pieces, i), F.lit(BLANK)).alias("blanks"), (F.length(F.get(size, i)) >= least).alias("ok")),
     )
     return F.when(text.rlike(pattern), made)
 
@@ -43,17 +45,18 @@ def linked(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     struct<start, kind, end> of all spans by start and kind (KINDS numbers the kinds), ends exclusive, in code points.
 
     Base spans always count. A weak candidate (endpoint, login, opaque run) counts only if a part with another role
-    that makes a credential with it lies within `reach` of it: an identifier or endpoint needs a secret, an opaque run
-    an identifier or endpoint; weak parts may support one another. What a base span covers is no candidate.
-    The scope is the document; the join of intervals is one window over each document's parts in the order of their
-    starts, with a frame of `reach`, so a document with very many parts costs their number times its logarithm.
+    that makes a credential with it is near: an identifier or endpoint needs a secret, an opaque run an identifier or
+    endpoint; weak parts may support one another. What a base span covers is no candidate.
+    Near is another line of the same block of non-blank lines, however far; or, on one line or across blank lines, at
+    most `reach` code points between the end of one and the start of the other. Both are windows over each document's
+    parts, so a document with very many parts costs their number times its logarithm.
 
     Each document also has an anchor row, which carries the columns: one shuffle brings parts and document together.
     Null text is empty; repeated rows stay apart; documents without parts keep empty arrays."""
     carry = carry if carry is not None else ["doc_id"]
     t = F.coalesce(F.col(text), F.lit(""))
     found = F.concat(
-        F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("seq"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("len"), F.lit(False).alias("ok"))),
+        F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("seq"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("len"), F.lit(0).alias("lines"), F.lit(0).alias("blanks"), F.lit(False).alias("ok"))),
         *[F.coalesce(_hits(t, n, p, g, least), F.array()) for n, (_, p, g, least) in enumerate(BASE)],
         *[F.coalesce(_hits(t, n + len(BASE), p, 0, 0), F.array()) for n, (_, p, _) in enumerate(WEAK)],
     )
@@ -61,16 +64,25 @@ def linked(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     rows = rows.withColumn("__doc", F.when(F.col("kind") == -1, F.col("__doc")))
     order = Window.partitionBy("__row", "kind").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     parts = rows.repartition("__row").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
+    parts = parts.withColumn("line", F.sum("lines").over(order)).withColumn("block", F.sum("blanks").over(order))
     parts = parts.where("kind = -1 or ok")
     base = F.col("kind").between(0, len(BASE) - 1)
     up = Window.partitionBy("__row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("__row").orderBy("start", "kind").rowsBetween(1, Window.unboundedFollowing)
     covered = (F.coalesce(F.max(F.when(base, F.col("end"))).over(up), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(F.when(base, F.col("start"))).over(down), F.lit(2**62)) < F.col("end"))
     parts = parts.withColumn("covered", covered).where(base | (F.col("kind") == -1) | ~F.col("covered"))
-    near = Window.partitionBy("__row").orderBy("start").rangeBetween(-reach, reach)
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.greatest(F.col("kind") + 1, F.lit(1)))
     parts = parts.withColumn("role", F.when(F.col("kind") >= 0, role))
-    secret, other = F.max(F.col("role") == "secret").over(near), F.max(F.col("role").isin("identifier", "place")).over(near)
+    first, last = Window.partitionBy("__row").orderBy("start", "kind").rowsBetween(0, Window.unboundedFollowing), Window.partitionBy("__row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    block = Window.partitionBy("__row", "block")
+
+    def near(wanted):
+        of = lambda c: F.when(wanted, F.col(c))
+        close = (F.max(of("end")).over(last) >= F.col("start") - reach, F.min(of("start")).over(first) <= F.col("end") + reach)
+        other_line = (F.min(of("line")).over(block) != F.col("line"), F.max(of("line")).over(block) != F.col("line"))
+        return F.greatest(*[F.coalesce(c, F.lit(False)) for c in (*close, *other_line)])
+
+    secret, other = near(F.col("role") == "secret"), near(F.col("role").isin("identifier", "place"))
     parts = parts.withColumn("__linked", F.when(F.col("role") == "secret", other).otherwise(secret))
     parts = parts.where((F.col("kind") == -1) | base | F.col("__linked"))
     count = lambda n: F.count(F.when(F.col("kind") == n, 1)).alias(f"n_{KINDS[n]}")

@@ -80,3 +80,21 @@ def test_native(spark):
     assert "Python" not in spark.sql("select 1")._jdf.queryExecution().toString()
     plan = secrets.redact(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_secrets_and_blocks(spark):
+    key, far = "Zm9vYmFyMTIzNDU2Nzg5" * 20 + "QQ", "remark " * 60
+    texts = [
+        (f"account_id=store1 AccountKey={key}== end", 2),
+        (f"{key} login: bob", 2),  # the run itself is longer than the reach
+        (f"login: bob\n# {far}\nkey {key[:20]}\nend", 2),
+        (f"login: bob\n# {far}\n \t\nkey {key[:20]}\nend", 0),  # another block
+        ("login: bob\n\nkey " + key[:20], 2),
+        (f"see {key} alone", 0),
+        ("login: bob " + "g" * 500 + " " + "Z" * 500, 0),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [t.text[s.start : s.end] for t in [d.where(f"doc_id = {r.doc_id}").first()] for s in r.spans] for r in secrets.linked(d).collect()}
+    assert [len(got[i]) for i in range(len(texts))] == [n for _, n in texts]
+    assert key in got[0] and key in got[1] and key[:20] in got[2]
+    assert all(key[:20] not in r.text for r in secrets.redact(d.where("doc_id < 3")).collect())
