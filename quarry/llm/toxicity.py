@@ -33,9 +33,9 @@ Term = tuple[str, bool, bool]
 
 
 def edits(term: Term) -> int:
-    """Misspellings allowed: none under 5 characters, for stems and for terms that are not strong; one under 9; else two."""
+    """Misspellings allowed: none under 4 characters, for stems and for terms that are not strong; one under 9; else two."""
     word, stem, strong = term
-    return 0 if stem or not strong or len(word) < 5 else 1 if len(word) < 9 else 2
+    return 0 if stem or not strong or len(word) < 4 else 1 if len(word) < 9 else 2
 
 
 class Automaton:
@@ -47,7 +47,7 @@ class Automaton:
 
     def __init__(self, terms: list[Term]):
         self.child: list[dict[str, int]] = [{}]
-        self.room, self.ends = [0], [None]  # most edits of any term below; (term, is stem) that ends here
+        self.room, self.ends = [0], [()]  # most edits of any term below; (term, is stem) of those that end here
         for k, (term, stem, _) in enumerate(terms):
             at, most = 0, edits(terms[k])
             self.room[0] = max(self.room[0], most)
@@ -56,11 +56,10 @@ class Automaton:
                     self.child[at][c] = len(self.child)
                     self.child.append({})
                     self.room.append(0)
-                    self.ends.append(None)
+                    self.ends.append(())
                 at = self.child[at][c]
                 self.room[at] = max(self.room[at], most)
-            if self.ends[at] is None or (stem and not self.ends[at][1]):
-                self.ends[at] = (k, stem)
+            self.ends[at] += ((k, stem),)
         self.terms = terms
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
@@ -89,7 +88,7 @@ class Automaton:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.step.append({})
-            ends = [(e, *self.ends[n]) for n, e, o in key if not o and self.ends[n] and e <= edits(self.terms[self.ends[n][0]])]
+            ends = [(e, k, stem) for n, e, o in key if not o for k, stem in self.ends[n] if e <= edits(self.terms[k])]
             self.stem_hit.append(min(((e, k) for e, k, stem in ends if stem), default=None))
             self.word_hit.append(min(((e, k) for e, k, _ in ends), default=None))
         return self.states[key]
@@ -166,7 +165,8 @@ def least_rows(positives: int) -> int:
 
 def choose(counts: dict[str, tuple[int, int]], positives: int, negatives: int, lift: float = LIFT) -> list[Term]:
     """The shortest telling prefixes, each grown while one longer prefix (or the whole word, spelled with $) still covers
-    nearly all of its toxic rows; and, below a stem that is not strong, whatever is strong by itself."""
+    nearly all of its toxic rows; and, below a stem that is not strong, whatever is strong by itself. Below a strong stem, which takes
+    no misspellings, the strong whole words stay as entries that do."""
     least, prior = least_rows(positives), positives / max(1, positives + negatives)
     good = {p for p, (a, b) in counts.items() if a >= least and telling(a, b, prior, lift)}
     longer: dict[str, list[str]] = {}
@@ -178,6 +178,8 @@ def choose(counts: dict[str, tuple[int, int]], positives: int, negatives: int, l
         above = covered.get(p[:-1])
         if above is not None and (above or not strong(p)):
             covered[p] = above
+            if p.endswith("$") and strong(p):
+                out.add((p[:-1], False, True))
             continue
         q = p
         while not q.endswith("$"):

@@ -66,3 +66,11 @@ def test_edges(spark):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert {r.score for r in toxicity.classify(d, lab.limit(0)).collect()} == {0.5}
     assert toxicity.classify(d.limit(0), lab).collect() == []
+
+
+def test_misspellings_of_words_below_a_strong_stem():
+    counts = {"idio": (100, 1), "idiot": (100, 0), "idiot$": (60, 0), "idiots": (40, 0), "idiots$": (40, 0), "scum": (50, 0), "scum$": (50, 0)}
+    terms = toxicity.choose(counts, 200, 2000)
+    assert {("idiot", True, True), ("idiot", False, True), ("idiots", False, True), ("scum", False, True)} <= set(terms)
+    found = {w: toxicity.Automaton(terms).match(w) for w in ("idiot", "idiotic", "idoit", "1diot", "idoits", "scmu", "sc*m", "idea", "such")}
+    assert {w: m and m[0] for w, m in found.items()} == {"idiot": 0, "idiotic": 0, "idoit": 1, "1diot": 1, "idoits": 1, "scmu": 1, "sc*m": 1, "idea": None, "such": None}
