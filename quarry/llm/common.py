@@ -49,6 +49,21 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch that goes to a Python worker, about
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) whose input batches are bounded by bytes, not by rows alone: ten thousand long texts
+    are never one batch. The bound is a setting of the session (a smaller one stays)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = conf.get(key, None) or ""
+    m = re.fullmatch(r"(\d+)([bkm]?)b?", now.strip().lower())
+    if not m or not 0 < int(m[1]) << 10 * "bkm".index(m[2] or "b") <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches, column: str = "text", most: int = 2_000_000):
     """Slices of Arrow batches, about `most` bytes of the column each (one longer row is a slice of its own): what Python
     holds of the texts at once stays small whatever the batch size. Freed memory goes back to the system."""
@@ -113,4 +128,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels
 
 
-__all__ = ["components", "discard", "groups", "shared_dir", "slices", "stored", "table"]
+__all__ = ["components", "discard", "groups", "in_arrow", "shared_dir", "slices", "stored", "table"]

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, groups, stored, table
+from .common import components, groups, in_arrow, stored, table
 from .jaccard import least_labels
 
 COSINE = 0.93
@@ -50,7 +50,7 @@ def _placed(vectors: DataFrame, basis: dict[int, np.ndarray], epsilon: float, le
             cells = np.floor(proj / epsilon).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(proj.tolist(), pa.list_(pa.float64())), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=[*b.schema.names, "proj", "cells"])
 
-    return vectors.mapInArrow(run, "sid long, grp long, copies long, embedding array<double>, proj array<double>, cells array<int>")
+    return vectors.transform(in_arrow, run, "sid long, grp long, copies long, embedding array<double>, proj array<double>, cells array<int>")
 
 
 def _sequence(placed: DataFrame, block: int) -> DataFrame:
@@ -66,7 +66,7 @@ def _sequence(placed: DataFrame, block: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(rank, pa.int64())], names=[*b.schema.names, "part", "rank"])
 
     order = ["grp", "cells", "sid"]
-    seq = stored(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "sid long, grp long, copies long, embedding array<double>, proj array<double>, cells array<int>, part int, rank long"))
+    seq = stored(placed.repartitionByRange(*order).sortWithinPartitions(*order).transform(in_arrow, run, "sid long, grp long, copies long, embedding array<double>, proj array<double>, cells array<int>, part int, rank long"))
     # rows: tasks times groups in them; a running sum over a group's tasks
     by = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = seq.groupBy("grp", "part").agg(F.count("*").alias("n")).select("grp", "part", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("before"))
@@ -149,7 +149,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     sides = pairs.withColumn("blk", F.explode(F.array_distinct(F.array("bi", "bj"))))
     keys = ["grp", "bi", "bj"]
     rows = sides.join(seq.select("grp", "blk", "sid", "copies", "embedding"), ["grp", "blk"]).select(*keys, "blk", "sid", "copies", "embedding")
-    found = stored(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(cosine), "sid long, to long, links long"))
+    found = stored(rows.repartition(*keys).sortWithinPartitions(*keys).transform(in_arrow, _compare(cosine), "sid long, to long, links long"))
     comp = components(found.select(F.col("sid").alias("a"), F.col("to").alias("b"))).withColumnsRenamed({"id": "sid"})
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     s = stored(reps.select("sid", "vec", "copies").join(comp, "sid", "left").join(links, "sid", "left").select("sid", "vec", F.coalesce("component", "sid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .common import components, discard, groups, slices, stored, table
+from .common import components, discard, groups, in_arrow, slices, stored, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -96,7 +96,7 @@ def _described(docs: DataFrame, words: int, threshold: float, seeds: np.ndarray)
                 names=schema.names,
             )
 
-    return d.mapInArrow(run, schema)
+    return d.transform(in_arrow, run, schema)
 
 
 def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
     both = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.xxhash64("k", F.least(x, F.col("own")), F.greatest(x, F.col("own"))))
     bucket = leaves.withColumn("nb", blocks).withColumn("own", own).select("sid", F.explode(F.when(F.col("nb") == 1, F.array("k")).otherwise(both)).alias("bucket"))
     rows = bucket.join(reps.select("sid", "n", "sketch"), "sid").repartition("bucket").sortWithinPartitions("bucket").select("bucket", "sid", "n", "sketch")
-    return rows.mapInArrow(_bucket_edges(threshold - SLACK, threshold), "a long, b long")
+    return rows.transform(in_arrow, _bucket_edges(threshold - SLACK, threshold), "a long, b long")
 
 
 def _verify(threshold: float):
@@ -265,7 +265,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
             sets = sets_of(b.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("comp"), b.column("copies"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "comp", "copies", "tokens"])
 
-    sets = got.mapInArrow(tokens, "sid long, comp long, copies long, tokens binary")
+    sets = got.transform(in_arrow, tokens, "sid long, comp long, copies long, tokens binary")
     size = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     by_rows = F.when(F.col("m") > 2 * BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(1)
     by_tokens = F.least(F.when(F.col("t") > 2 * TOKENS, F.ceil(F.col("t") / TOKENS)).otherwise(1), F.col("m"))
@@ -273,7 +273,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     sets = sets.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
     sets = sets.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("comp", F.least("x", "own").alias("bi"), F.greatest("x", "own").alias("bj"), "sid", "copies", "own", "tokens")
     keys = ["comp", "bi", "bj"]
-    exact = stored(sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold), "sid long, to long, links long"))
+    exact = stored(sets.repartition(*keys).sortWithinPartitions(*keys).transform(in_arrow, _verify(threshold), "sid long, to long, links long"))
     joined = components(exact.select(F.col("sid").alias("a"), F.col("to").alias("b"))).withColumnsRenamed({"id": "sid"})
     links = exact.groupBy("sid").agg(F.sum("links").alias("links"))
     sids = reps.select("sid", "did", "th", "copies").join(joined, "sid", "left").join(links, "sid", "left")

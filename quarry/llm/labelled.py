@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 
 def held_out(modulus: int, remainder: int):
@@ -33,4 +33,4 @@ def scored(docs: DataFrame, scorer, broadcast_model, modulus: int, remainder: in
             s = np.clip(scorer(broadcast_model.value, b.column("text").to_pylist()), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return d.transform(in_arrow, run, "doc_id long, held_out boolean, score double, predicted int")

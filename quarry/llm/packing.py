@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import slices, stored, table
+from .common import in_arrow, slices, stored, table
 
 CAPACITY = 2048
 SMALLEST_CUT = 128
@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
             kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return d.mapInArrow(run, PIECES)
+    return d.transform(in_arrow, run, PIECES)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, smallest: int = SMALLEST_CUT, end_id: int = END_ID) -> DataFrame:
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sma
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in out[:5]], pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=out)
 
     few = r.where("g >= full").select(out[:5]).repartition(1).sortWithinPartitions(F.col("length").desc(), "doc_id", "start", "ids_crc32")
-    few = few.mapInArrow(fit, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    few = few.transform(in_arrow, fit, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return exact.unionByName(mixed).unionByName(few)
 
 

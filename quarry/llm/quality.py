@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textops
-from .common import slices, table
+from .common import in_arrow, slices, table
 from .labelled import scored, training_rows
 
 WORDS = 1 << 14  # buckets of hashed words
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             s, w = structure(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array([x.astype("<i4").tobytes() for x in w], pa.binary())], names=["y", "stats", "words"])
 
-    rows = training_rows(docs, labels, "quality", *HELD_OUT, sample).mapInArrow(run, "y double, stats array<double>, words binary").collect()
+    rows = training_rows(docs, labels, "quality", *HELD_OUT, sample).transform(in_arrow, run, "y double, stats array<double>, words binary").collect()
     if not rows:
         return {"w0": 0.0, "w": np.zeros(WORDS + BINS * len(STATS)), "v": np.zeros((WORDS + BINS * len(STATS), 1)), "edges": np.zeros((len(STATS), BINS - 1))}
     rows.sort(key=lambda r: (r.words, r.stats, r.y))  # the order in which tasks end must not matter

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .gridorder import OP1_SQL, op1_embedding_neardup
 from .jaccard import op9_jaccard_join
-from .language import op5_language_id
+from .language import op5_language_id, page_language_id
 from .mixing import OP2_SQL, op2_source_mix
 from .packing import op7_packing
 from .quality import op6_quality
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "page_language_id": page_language_id,
 }
 
 SQL: dict[str, str] = {

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import slices, table
+from .common import in_arrow, slices, table
 
 BITS = 256
 TERM_WORDS = 3
@@ -66,7 +66,7 @@ def fingerprint(df: DataFrame, text: str = "text", bits: int = BITS, k: int = TE
             b = b.drop_columns([spare])
             yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*b.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(in_arrow, run, schema)
 
 
 def block_tables(df: DataFrame, fp: str = "fingerprint", bits: int = BITS, radius: int = 3, blocks: int | None = None) -> DataFrame:
@@ -164,4 +164,4 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS, k: int = TERM_WORDS,
                 names=[x.split()[0] for x in schema.split(", ")],
             )
 
-    return in_runs(docs, parts).mapInArrow(run, schema)
+    return in_runs(docs, parts).transform(in_arrow, run, schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import in_arrow, slices, table
 
 SPACE = "▁"  # stands before every pre-token
 SCALE = 10_000  # scores are integers, so sums compare exactly
@@ -163,7 +163,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             n, total = counter.texts(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    return d.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return d.transform(in_arrow, run, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import slices, stored, table
+from .common import in_arrow, slices, stored, table
 from .labelled import held_out, scored, training_rows
 
 SAMPLE = 20_000  # labelled rows the lexicon and weights are learned from, at most
@@ -259,7 +259,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
             h = [textops.shingles(*textops.words([x]), 5)[0] for x in t]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([int(x.min().view(np.int64)) if len(x) else 0 for x in h], pa.int64())], names=[*b.schema.names, "least"])
 
-    return stored(rows.select("text", "y").mapInArrow(run, "text string, y double, least long").dropDuplicates(["least", "y"]).select("text", "y"))
+    return stored(rows.select("text", "y").transform(in_arrow, run, "text string, y double, least long").dropDuplicates(["least", "y"]).select("text", "y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lift: float = LIFT) -> dict:
@@ -274,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lift: float
     flat = {"terms": [], "innocent": frozenset(), "weights": np.zeros(12), "prior": (positives + 0.5) / (total.n + 1) if total.n else 0.5}
     if not positives or positives == total.n:
         return flat
-    counts = rows.mapInArrow(_count_prefixes, "p string, pos long, neg long").groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.transform(in_arrow, _count_prefixes, "p string, pos long, neg long").groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     found = counts.where(F.col("pos") >= least_rows(positives)).where(telling(F.col("pos"), F.col("neg"), positives / total.n, lift)).orderBy(F.desc("pos"), "p").limit(MOST_TERMS).collect()
     terms = choose({r.p: (r.pos, r.neg) for r in found}, positives, total.n - positives, lift)
     auto_terms = docs.sparkSession.sparkContext.broadcast(terms)
@@ -288,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lift: float
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["w"])
 
     # as many as the distinct words of `sample` rows near a term allow; were there more, the first by spelling
-    innocent = frozenset(r.w for r in rows.where("y = 0").select("text").mapInArrow(lookalikes, "w string").distinct().orderBy("w").limit(MOST_TERMS * 10).collect())
+    innocent = frozenset(r.w for r in rows.where("y = 0").select("text").transform(in_arrow, lookalikes, "w string").distinct().orderBy("w").limit(MOST_TERMS * 10).collect())
     part = {"terms": terms, "innocent": innocent}
     shipped = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -297,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lift: float
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(m.features(b.column("text").to_pylist()).tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = sorted((tuple(r.x), r.y) for r in rows.mapInArrow(describe, "y double, x array<double>").collect())
+    got = sorted((tuple(r.x), r.y) for r in rows.transform(in_arrow, describe, "y double, x array<double>").collect())
     x, y = np.array([[*r, 1.0] for r, _ in got]), np.array([v for _, v in got])
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], 0.3)
