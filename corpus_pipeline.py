@@ -15,8 +15,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is one of those declared in the corpus; texts without letters or in none of them go."""
-    return language.documents_identified(docs.select(COLUMNS), with_text=True).where("keep").select(COLUMNS)
+    """Documents whose language is one of those declared in the corpus; texts without letters or in none of them go.
+
+    Null and empty texts go; where no language is declared at all, texts with letters stay. Repeated rows stay or go
+    together; very long texts are judged whole; an empty table gives none; columns beside those of documents go."""
+    return language.kept(docs.select(COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
