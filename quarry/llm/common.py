@@ -70,6 +70,7 @@ def slices(batches, column: str = "text", most: int = 2_000_000):
     import ctypes
 
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     try:
@@ -85,6 +86,7 @@ def slices(batches, column: str = "text", most: int = 2_000_000):
             e = max(s + 1, int(np.searchsorted(size, (size[s - 1] if s else 0) + most, "right")))
             yield b.slice(s, e - s)
             s = e
+        pa.default_memory_pool().release_unused()
         trim(0)
 
 

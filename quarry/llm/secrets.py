@@ -30,51 +30,40 @@ def _hits(text, number: int, pattern: str, group: int, least: int):
     and its own, and the line ends and blank lines since the last one; no match holds a line end.
 
     Matches are taken by the same scan as the pieces between them, so gaps and lengths add up to positions."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    size = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    # zipped first: what a lambda holds beside its own argument would be computed again for each match
+    whole, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    found = F.arrays_zip(whole, pieces, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else F.arrays_zip(whole, pieces)
     made = F.transform(
-        whole,
-        lambda m, i: F.struct(F.lit(number).alias("kind"), i.cast("int").alias("seq"), F.length(F.get(pieces, i)).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), F.regexp_count(F.get(pieces, i), F.lit(r"\n")).alias("lines"), F.regexp_count(F.get(pieces, i), F.lit(BLANK)).alias("blanks"), (F.length(F.get(size, i)) >= least).alias("ok")),
+        found,
+        lambda x, i: F.struct(F.lit(number).alias("kind"), i.cast("int").alias("seq"), F.length(x["1"]).cast("long").alias("gap"), F.length(x["0"]).cast("long").alias("len"), F.regexp_count(x["1"], F.lit(r"\n")).alias("lines"), F.regexp_count(x["1"], F.lit(BLANK)).alias("blanks"), (F.length(x["2" if group else "0"]) >= least).alias("ok")),
     )
-    return F.when(text.rlike(pattern), made)
+    return F.when(text.rlike(pattern), F.filter(made, lambda x: x["len"].isNotNull()))
 
 
-def linked(docs: DataFrame, text: str = "text", carry: list[str] | None = None, reach: int = REACH) -> DataFrame:
-    """One row a document: the columns in `carry`, n_assign, n_access, n_hex, and `spans`, an array of
-    struct<start, kind, end> of all spans by start and kind (KINDS numbers the kinds), ends exclusive, in code points.
-
-    Base spans always count. A weak candidate (endpoint, login, opaque run) counts only if a part with another role
-    that makes a credential with it is near: an identifier or endpoint needs a secret, an opaque run an identifier or
-    endpoint; weak parts may support one another. What a base span covers is no candidate.
-    Near is another line of the same block of non-blank lines, however far; or, on one line or across blank lines, at
-    most `reach` code points between the end of one and the start of the other. Both are windows over each document's
-    parts, so a document with very many parts costs their number times its logarithm.
-
-    Each document also has an anchor row, which carries the columns: one shuffle brings parts and document together.
-    Null text is empty; repeated rows stay apart; documents without parts keep empty arrays."""
-    carry = carry if carry is not None else ["doc_id"]
-    t = F.coalesce(F.col(text), F.lit(""))
+def _linked(docs: DataFrame, text: str, carried, reach: int) -> DataFrame:
+    """(doc, n_assign, n_access, n_hex, spans) of each row: doc is the column `carried`, spans as in linked()."""
+    t = F.col("t")
     found = F.concat(
         F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("seq"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("len"), F.lit(0).alias("lines"), F.lit(0).alias("blanks"), F.lit(False).alias("ok"))),
         *[F.coalesce(_hits(t, n, p, g, least), F.array()) for n, (_, p, g, least) in enumerate(BASE)],
         *[F.coalesce(_hits(t, n + len(BASE), p, 0, 0), F.array()) for n, (_, p, _) in enumerate(WEAK)],
     )
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).select("__row", F.struct(*carry).alias("__doc"), F.inline(found))
-    rows = rows.withColumn("__doc", F.when(F.col("kind") == -1, F.col("__doc")))
-    order = Window.partitionBy("__row", "kind").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    parts = rows.repartition("__row").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), carried.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = rows.select("row", "doc", F.inline(found))
+    rows = rows.withColumn("doc", F.when(F.col("kind") == -1, F.col("doc")))
+    order = Window.partitionBy("row", "kind").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.repartition("row").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
     parts = parts.withColumn("line", F.sum("lines").over(order)).withColumn("block", F.sum("blanks").over(order))
     parts = parts.where("kind = -1 or ok")
     base = F.col("kind").between(0, len(BASE) - 1)
-    up = Window.partitionBy("__row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("__row").orderBy("start", "kind").rowsBetween(1, Window.unboundedFollowing)
+    up = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(1, Window.unboundedFollowing)
     covered = (F.coalesce(F.max(F.when(base, F.col("end"))).over(up), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(F.when(base, F.col("start"))).over(down), F.lit(2**62)) < F.col("end"))
     parts = parts.withColumn("covered", covered).where(base | (F.col("kind") == -1) | ~F.col("covered"))
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.greatest(F.col("kind") + 1, F.lit(1)))
     parts = parts.withColumn("role", F.when(F.col("kind") >= 0, role))
-    first, last = Window.partitionBy("__row").orderBy("start", "kind").rowsBetween(0, Window.unboundedFollowing), Window.partitionBy("__row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    block = Window.partitionBy("__row", "block")
+    first, last = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(0, Window.unboundedFollowing), Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    block = Window.partitionBy("row", "block")
 
     def near(wanted):
         of = lambda c: F.when(wanted, F.col(c))
@@ -83,12 +72,36 @@ def linked(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
         return F.greatest(*[F.coalesce(c, F.lit(False)) for c in (*close, *other_line)])
 
     secret, other = near(F.col("role") == "secret"), near(F.col("role").isin("identifier", "place"))
-    parts = parts.withColumn("__linked", F.when(F.col("role") == "secret", other).otherwise(secret))
-    parts = parts.where((F.col("kind") == -1) | base | F.col("__linked"))
+    parts = parts.withColumn("linked", F.when(F.col("role") == "secret", other).otherwise(secret))
+    parts = parts.where((F.col("kind") == -1) | base | F.col("linked"))
+    parts = parts.withColumn("before", F.coalesce(F.max(F.when(F.col("kind") >= 0, F.col("end"))).over(up), F.lit(-1).cast("long")))
     count = lambda n: F.count(F.when(F.col("kind") == n, 1)).alias(f"n_{KINDS[n]}")
-    spans = F.array_sort(F.collect_list(F.when(F.col("kind") >= 0, F.struct("start", "kind", "end")))).alias("spans")
-    out = parts.groupBy("__row").agg(F.max_by("__doc", F.col("__doc").isNotNull()).alias("__doc"), count(0), count(1), count(2), spans)
-    return out.select("__doc.*", "n_assign", "n_access", "n_hex", "spans")
+    spans = F.array_sort(F.collect_list(F.when(F.col("kind") >= 0, F.struct("start", "kind", "end", "before")))).alias("spans")
+    return parts.groupBy("row").agg(F.max_by("doc", F.col("doc").isNotNull()).alias("doc"), count(0), count(1), count(2), spans).drop("row")
+
+
+FOUND = ["n_assign", "n_access", "n_hex", "spans"]
+
+
+def linked(docs: DataFrame, text: str = "text", carry: list[str] | None = None, reach: int = REACH) -> DataFrame:
+    """One row a document: the columns in `carry`, n_assign, n_access, n_hex, and `spans`, an array of
+    struct<start, kind, end, before> of all spans by start and kind (KINDS numbers the kinds), ends exclusive, in code
+    points; before is the furthest end of the spans listed earlier, -1 for the first.
+
+    Base spans always count. A weak candidate (endpoint, login, opaque run) counts only if a part with another role
+    that makes a credential with it is near: an identifier or endpoint needs a secret, an opaque run an identifier or
+    endpoint; weak parts may support one another. What a base span covers is no candidate.
+    Near is another line of the same block of non-blank lines, however far; or, on one line or across blank lines, at
+    most `reach` code points between the end of one and the start of the other, however long they are. Both are windows
+    over each document's parts, so a document with very many parts costs their number times its logarithm.
+
+    Each document also has an anchor row, which carries the columns: one shuffle brings parts and document together.
+    Null text is empty; very long texts are scanned whole; repeated rows stay apart; of parts that start at one place the
+    kind listed first comes first; documents without parts keep empty arrays; an empty table gives no rows; carried
+    columns named as those added are replaced by them."""
+    carry = [c for c in (carry if carry is not None else ["doc_id"]) if c not in FOUND]
+    d = _linked(docs, text, F.struct(*carry) if carry else F.struct(F.lit(0).alias("none")), reach)
+    return d.select(*[F.col("doc")[c].alias(c) for c in carry], *FOUND)
 
 
 def _joined(spans):
@@ -98,35 +111,30 @@ def _joined(spans):
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
     """docs with every span of the text replaced by `mark` (spans that touch or overlap: by one), n_chars recounted if
-    there; other columns and rows unchanged. A null text stays null."""
+    there; other columns, whatever their names, and rows unchanged. A null text stays null; texts of any length are
+    searched whole; repeated rows are redacted alike; an empty table gives no rows."""
     own = docs.columns
-    d = linked(docs, carry=own, reach=reach)
-    # A union of intervals: a span opens a new one if it starts after the last end; folded over a document's spans.
-    own_span = lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"))
-    last = lambda a: F.get(a, F.size(a) - 1)
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<s:bigint,e:bigint>>"),
-        lambda a, x: F.when(last(a)["e"] >= x["start"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["s"].alias("s"), F.greatest(last(a)["e"], x["end"]).alias("e"))))).otherwise(F.concat(a, F.array(own_span(x)))),
-    )
-    d = d.withColumn("__m", merged)
-    n = F.size("__m")
-    keep = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.substring(
-            F.col("text"),
-            (F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__m"), i - 1)["e"]) + 1).cast("int"),
-            (F.when(i == n, F.length("text").cast("long")).otherwise(F.get(F.col("__m"), i)["s"]) - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__m"), i - 1)["e"])).cast("int"),
-        ),
-    )
-    d = d.withColumn("text", F.when(n > 0, F.array_join(keep, mark)).otherwise(F.col("text")))
-    if "n_chars" in own:
-        d = d.withColumn("n_chars", F.when(n > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(own)
+    d = _linked(docs, "text", F.struct(*own), reach)
+    text = F.col("doc")["text"]
+    # a span that starts beyond all ends before it closes the stretch in between and opens a mark
+    cut = F.transform("spans", lambda x: F.when(x["start"] > x["before"], F.concat(F.substring(text, (F.greatest(x["before"], F.lit(0)) + 1).cast("int"), (x["start"] - F.greatest(x["before"], F.lit(0))).cast("int")), F.lit(mark))).otherwise(""))
+    end = F.array_max(F.transform("spans", lambda x: x["end"]))
+    done = F.concat(F.array_join(cut, ""), F.substring(text, (end + 1).cast("int"), F.length(text)))
+    found = F.size("spans") > 0
+    d = d.select("doc", F.when(found, done).otherwise(text).alias("redacted"), found.alias("found"))
+    out = []
+    for c in own:
+        x = F.col("doc")[c]
+        if c == "text":
+            x = F.col("redacted")
+        elif c == "n_chars":
+            x = F.when(F.col("found"), F.length("redacted").cast(docs.schema[c].dataType)).otherwise(x)
+        out.append(x.alias(c))
+    return d.select(out)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document; see linked() for odd rows."""
     d = linked(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return d.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
