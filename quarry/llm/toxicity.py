@@ -14,7 +14,6 @@ from .common import in_arrow, slices, stored, table
 from .labelled import held_out, scored, training_rows
 
 SAMPLE = 20_000  # labelled rows the lexicon and weights are learned from, at most
-MOST_TERMS = 20_000  # candidate terms that may reach the driver, the most frequent in toxic rows first
 HELD_OUT = (3, 1)
 CUT = 0.7
 WINDOW = 12  # words on either side of a hit
@@ -144,7 +143,7 @@ def _count_prefixes(batches):
             for w in {bare(x) for x in set(t.split())}:
                 if len(w) >= SHORTEST:
                     seen.update(w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1))
-                if 2 < len(w) <= 32:
+                if len(w) > 2:
                     seen.add(w + "$")
             into = pos if y else neg
             for p in seen:
@@ -207,7 +206,7 @@ class Matcher:
         self.seen |= new
         for raw in new:
             w = bare(raw)
-            if len(w) > 2 and (m := self.auto.match(w[:200])) is not None and (m[0] == 0 or w not in self.innocent):
+            if len(w) > 2 and (m := self.auto.match(w)) is not None and (m[0] == 0 or w not in self.innocent):
                 self.hits[raw] = m
 
     def features(self, texts: list[str]) -> np.ndarray:
@@ -251,7 +250,8 @@ _MADE: dict = {}
 
 def _distinct(rows: DataFrame) -> DataFrame:
     """Rows whose least shingle hash no other row of the label has: of near copies few stay, so a document that was
-    copied often doesn't make its rare words look like terms. Written to the shared folder; `sample` rows at most."""
+    copied often doesn't make its rare words look like terms. Of rows that share it the text of the least SHA-256 stays,
+    however the rows are dealt. Written to the shared folder; `sample` rows at most."""
 
     def run(batches):
         for b in slices(batches):
@@ -259,14 +259,15 @@ def _distinct(rows: DataFrame) -> DataFrame:
             h = [textops.shingles(*textops.words([x]), 5)[0] for x in t]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([int(x.min().view(np.int64)) if len(x) else 0 for x in h], pa.int64())], names=[*b.schema.names, "least"])
 
-    return stored(rows.select("text", "y").transform(in_arrow, run, "text string, y double, least long").dropDuplicates(["least", "y"]).select("text", "y"))
+    return stored(rows.select("text", "y").transform(in_arrow, run, "text string, y double, least long").groupBy("least", "y").agg(F.min_by("text", F.sha2("text", 256)).alias("text")).select("text", "y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lift: float = LIFT) -> dict:
     """Lexicon, innocent look-alikes and weights.
 
     Prefixes are counted by document on the executors and summed by key; those nearly all of whose documents are toxic
-    come to the driver (MOST_TERMS at most). Misspelled matches that clean rows hold are look-alikes and never count.
+    come to the driver. Each of them needs at least 0.4 % of the toxic rows, so they are 250 times the words of a toxic
+    row of the sample at most, ten prefixes a word. Misspelled matches that clean rows hold are look-alikes and never count.
     Weights: logistic regression on the hits' context features of the same rows."""
     rows = _distinct(training_rows(docs, labels, "toxic", *HELD_OUT, sample))
     total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
@@ -275,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lift: float
     if not positives or positives == total.n:
         return flat
     counts = rows.transform(in_arrow, _count_prefixes, "p string, pos long, neg long").groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = counts.where(F.col("pos") >= least_rows(positives)).where(telling(F.col("pos"), F.col("neg"), positives / total.n, lift)).orderBy(F.desc("pos"), "p").limit(MOST_TERMS).collect()
+    found = counts.where(F.col("pos") >= least_rows(positives)).where(telling(F.col("pos"), F.col("neg"), positives / total.n, lift)).collect()
     terms = choose({r.p: (r.pos, r.neg) for r in found}, positives, total.n - positives, lift)
     auto_terms = docs.sparkSession.sparkContext.broadcast(terms)
 
@@ -284,11 +285,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lift: float
         for b in slices(batches):
             words = {bare(w) for t in b.column("text").to_pylist() for w in set(t.split())} - known
             known |= words
-            got = [w for w in words if 2 < len(w) <= 200 and (m := auto.match(w)) is not None and m[0] > 0]
+            got = [w for w in words if len(w) > 2 and (m := auto.match(w)) is not None and m[0] > 0]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["w"])
 
-    # as many as the distinct words of `sample` rows near a term allow; were there more, the first by spelling
-    innocent = frozenset(r.w for r in rows.where("y = 0").select("text").transform(in_arrow, lookalikes, "w string").distinct().orderBy("w").limit(MOST_TERMS * 10).collect())
+    # at most the distinct words of `sample` rows that lie near a term
+    innocent = frozenset(r.w for r in rows.where("y = 0").select("text").transform(in_arrow, lookalikes, "w string").distinct().collect())
     part = {"terms": terms, "innocent": innocent}
     shipped = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -340,8 +341,10 @@ def cross_validated(docs: DataFrame, labels: DataFrame, lifts: list[float], fold
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs, from its whole text.
 
-    Null and empty texts have no hits; repeated rows score alike; without labelled rows of both kinds every score is the
-    share of toxic ones (0.5 if there are none); an empty table gives no rows."""
+    Null and empty texts have no hits; very long texts and words are scanned whole; repeated rows score alike; reruns give
+    the same scores however rows are dealt (samples and order are by hashes of content); without labelled rows of both
+    kinds every score is the share of toxic ones (0.5 if there are none); null labels and ids teach nothing; an empty
+    table gives no rows; columns beside doc_id and text are ignored."""
     return scored(docs, score, docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample)), *HELD_OUT, CUT)
 
 

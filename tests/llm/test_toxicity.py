@@ -58,9 +58,41 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted for r in tox) >= 0.88 * len(tox) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
+def test_same_scores_however_rows_are_dealt(spark):
+    sf = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    a = sorted((r.doc_id, r.score) for r in toxicity.classify(d, lab).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
+    try:
+        b = sorted((r.doc_id, r.score) for r in toxicity.classify(d.repartition(7, "source"), lab.repartition(2)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert a == b
+
+
+def test_of_near_copies_the_same_stays(spark):
+    rows = [(f"shared words of a passage here {x}", 1.0) for x in ("one", "two", "three")] + [("other text entirely", 0.0)]
+    kept = {tuple(sorted(r.text for r in toxicity._distinct(spark.createDataFrame(rows[::k] if k > 0 else rows[::-1], "text string, y double")).collect())) for k in (1, -1)}
+    assert len(kept) == 1
+
+
+def test_long_words_are_matched_whole(spark):
+    word = "verylongterm" * 4
+    m = toxicity.Matcher([(word, False, True), ("scum", True, True)], frozenset())
+    x = m.features([f"a {word} b", f"a {word[:-1]}x{word} b", "scum" + "z" * 5000, "z" * 300 + "scum"])
+    assert x[0][0] > 0 and not x[1].any() and x[2][0] > 0 and not x[3].any()
+    rows = [(i, f"clean words {i}", 0) for i in range(0, 900, 3)] + [(i, f"you {word} there {i}", 1) for i in range(1, 300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    terms = toxicity.train(d, d.select("doc_id", "toxic"))["terms"]
+    assert any(t.startswith("very") for t, *_ in terms)
+
+
 def test_edges(spark):
+    """Nulls, empty and very long texts, repeated rows, an empty table, columns of clashing names."""
     rows = [(1, None), (2, ""), (2, ""), (None, "a b"), (3, "x " * 100_000), (5, "é漢 😀")]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("y", F.lit(1))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("y", "least", "p", "pos", "neg", "score", "predicted", "held_out", "toxic", "label", "x"):
+        d = d.withColumn(c, F.lit("clash"))
     lab = spark.createDataFrame([(1, 0), (3, 1), (5, None), (None, 1), (2, 7)], "doc_id long, toxic int")
     got = toxicity.classify(d, lab).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
