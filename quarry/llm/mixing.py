@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,98 +29,96 @@ def targets(sizes: list[int], weights: list[int], repeats: int = MOST_REPEATS) -
     return out
 
 
-def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = MOST_REPEATS) -> list[dict]:
-    """Flow of words from each pattern (sources that hold its documents, words) to its sources' quotas.
+class Network:
+    """Largest flow from node 0 to node 1 by blocking flows over levels of the residual graph; edges may be widened and
+    the flow carried on."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []  # edge e and its reverse e ^ 1
+
+    def add(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+        return len(self.to) - 2
+
+    def fill(self) -> None:
+        while True:
+            level, edge = {0: 0}, [0]
+            while edge and 1 not in level:
+                new = {}
+                for a in edge:
+                    for e in self.out[a]:
+                        if self.room[e] and self.to[e] not in level:
+                            new[self.to[e]] = level[a] + 1
+                level |= new
+                edge = [*new]
+            if 1 not in level:
+                return
+            at = [0] * len(self.out)  # of each node the next edge to try
+            path: list[int] = []
+            while True:
+                a = self.to[path[-1]] if path else 0
+                if a == 1:
+                    most = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= most
+                        self.room[e ^ 1] += most
+                    path = path[: next(i for i, e in enumerate(path) if not self.room[e])]
+                    continue
+                while at[a] < len(self.out[a]):
+                    e = self.out[a][at[a]]
+                    if self.room[e] and level.get(self.to[e]) == level[a] + 1:
+                        break
+                    at[a] += 1
+                if at[a] < len(self.out[a]):
+                    path.append(self.out[a][at[a]])
+                elif path:  # a dead end
+                    at[self.to[path.pop() ^ 1]] += 1
+                else:
+                    break
 
-    The r-th use of a pattern's words costs r, so the convex cost spreads repetition; shortest augmenting paths fill
-    the quotas at the least cost. Patterns that share no source are solved apart, a lone source in closed form."""
-    flows: list[dict] = [{} for _ in patterns]
-    by_source = defaultdict(list)
-    for k, (p, _) in enumerate(patterns):
-        for s in p:
-            by_source[s].append(k)
-    done: set = set()
-    for k0, (p0, n0) in enumerate(patterns):
-        if k0 in done:
-            continue
-        part, todo = [], [k0]
-        done.add(k0)
-        while todo:
-            k = todo.pop()
-            part.append(k)
-            for s in patterns[k][0]:
-                for j in by_source[s]:
-                    if j not in done:
-                        done.add(j)
-                        todo.append(j)
-        if len(part) == 1 and len(p0) == 1:
-            flows[k0] = {p0[0]: min(quotas[p0[0]], repeats * n0)}
-            continue
-        _cheapest(part, patterns, quotas, repeats, flows)
-    return flows
-
-
-def _cheapest(part, patterns, quotas, repeats, flows) -> None:
-    sources = sorted({s for k in part for s in patterns[k][0]}, key=lambda s: (s is None, s or ""))
-    node = {("p", k): i + 2 for i, k in enumerate(part)} | {("s", s): len(part) + 2 + i for i, s in enumerate(sources)}
-    edges: list[list] = []  # to, room, cost
-    out = defaultdict(list)
-
-    def add(a, b, room, cost):
-        out[a].append(len(edges))
-        edges.append([b, room, cost])
-        out[b].append(len(edges))
-        edges.append([a, 0, -cost])
-
-    for k in part:
-        for r in range(repeats):
-            add(0, node["p", k], patterns[k][1], r)
-    for k in part:
-        for s in patterns[k][0]:
-            add(node["p", k], node["s", s], repeats * patterns[k][1], 0)
-    for s in sources:
-        add(node["s", s], 1, quotas[s], 0)
-    while True:
-        cost, via, queue, inside = {0: 0}, {}, deque([0]), {0}
-        while queue:
-            a = queue.popleft()
-            inside.discard(a)
-            for e in out[a]:
-                b, room, c = edges[e]
-                if room > 0 and cost[a] + c < cost.get(b, 1 << 60):
-                    cost[b], via[b] = cost[a] + c, e
-                    if b not in inside:
-                        inside.add(b)
-                        queue.append(b)
-        if 1 not in via:
-            break
-        path, at = [], 1
-        while at:
-            path.append(via[at])
-            at = edges[via[at] ^ 1][0]
-        room = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= room
-            edges[e ^ 1][1] += room
-    for k in part:
-        for e in out[node["p", k]]:
-            if not e & 1 and edges[e ^ 1][1]:
-                flows[k][sources[edges[e][0] - len(part) - 2]] = edges[e ^ 1][1]
+
+def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = MOST_REPEATS) -> list[dict]:
+    """Min-cost flow of words from each pattern (sources that hold its documents, words) to its sources' quotas.
+
+    The r-th use of a pattern's words costs r, so the convex cost spreads repetition. All cost lies on the edges into the
+    patterns and the cheapest augmenting paths come first, so the levels of repetition fill one after the other: the
+    largest flow of one use, then, carried on, of two uses, and so on. The network's edges are the memberships."""
+    names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
+    node = {s: 2 + len(patterns) + i for i, s in enumerate(names)}
+    net = Network(2 + len(patterns) + len(names))
+    into = [net.add(0, 2 + k, 0) for k in range(len(patterns))]
+    across = [[(s, net.add(2 + k, node[s], repeats * n)) for s in p] for k, (p, n) in enumerate(patterns)]
+    for s in names:
+        net.add(node[s], 1, quotas[s])
+    for _ in range(repeats):
+        for e, (_, n) in zip(into, patterns):
+            net.room[e] += n
+        net.fill()
+    return [{s: net.room[e ^ 1] for s, e in edges if net.room[e ^ 1]} for edges in across]
 
 
 def mix(docs: DataFrame, members: str, size: str, order: str, cycle=CYCLE, repeats: int = MOST_REPEATS, max_patterns: int = 1_000_000) -> DataFrame:
-    """docs with columns copies (0 to repeats), and source_size and target: maps from source.
+    """(docs with a column copies, 0 to repeats, which replaces one of that name; a table of source, source_size, target).
 
     docs should be stored: they are read twice. members: array of the sources that hold a document; size: its words;
     order: its seeded place, a hex string. Documents are aggregated by pattern of membership; only these sums (one row
     a pattern, max_patterns at most, else an error) reach the driver. A pattern that is to give q words of its n uses
     every document q div n times, and once more those first in seeded order, up to the document whose middle passes
     q mod n. Places come from sums by leading hex digits and a window within each such bucket, so a source with most of
-    the rows is spread over as many tasks as any other rows."""
+    the rows is spread over as many tasks as any other rows. Null and empty members make a pattern of their own, which
+    takes nothing where no source holds it; null sizes count 0; equal places are settled by size, repeated rows are
+    documents of their own; an empty table gives no rows."""
     spark = docs.sparkSession
     key = F.to_json(F.array_sort(F.array_distinct(F.col(members))))
-    d = docs.withColumn("__pattern", F.coalesce(key, F.lit("[]")))
+    own = [c for c in docs.columns if c != "copies"]
+    d = docs.select(*own).withColumn("__pattern", F.coalesce(key, F.lit("[]"))).withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
     sums = d.groupBy("__pattern").agg(F.first(F.array_sort(F.array_distinct(F.col(members)))).alias("p"), F.sum(size).alias("n"), F.count("*").alias("rows")).limit(max_patterns + 1).collect()
+    sums.sort(key=lambda r: r["__pattern"])  # equal costs are settled alike in every run
     if len(sums) > max_patterns:
         raise ValueError(f"more than {max_patterns} patterns of membership")
     patterns = [(tuple(r.p or ()), int(r.n or 0)) for r in sums]
@@ -143,7 +141,7 @@ def mix(docs: DataFrame, members: str, size: str, order: str, cycle=CYCLE, repea
     plan_df = spark.createDataFrame(plan or [("[]", 0, 0)], "__pattern string, __whole long, __part long")
     once_more = (2 * (F.col("__before") + F.col("__within")) + F.col(size) <= 2 * F.col("__part")) & (F.col("__part") > 0)
     out = rows.join(before, ["__pattern", "__bucket"]).join(plan_df, "__pattern").withColumn("copies", (F.col("__whole") + once_more.cast("long")))
-    out = out.select(*docs.columns, "copies")
+    out = out.select(*own, "copies")
     facts = [(s, sizes[s], float(goal[s])) for s in sources] or [(None, 0, 0.0)]
     return out, spark.createDataFrame(facts, "source string, source_size long, target double")
 
@@ -154,10 +152,12 @@ def measured(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document; membership is the document's own source.
+    """doc_id, size, source_size, target, taken of every document; membership is the document's own source, so each
+    pattern of the flow is one source.
 
-    Null texts have no words; the null source is a source and comes last; repeated rows are documents of their own;
-    documents without words take 0; an empty table gives an empty result."""
+    Null texts have no words; very long ones are counted whole; the null source is a source and comes last; repeated rows
+    are documents of their own, ties in seeded order go by size; documents without words take 0; an empty table gives an
+    empty result; other columns are ignored."""
     docs = stored(measured(table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumn("members", F.array("source")))
     out, facts = mix(docs, "members", "size", "place")
     facts = facts.withColumnRenamed("source", "s")

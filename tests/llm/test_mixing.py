@@ -65,12 +65,59 @@ def test_flow_fills_quotas_at_least_cost():
         assert (sum(used), -cost(used)) == best
 
 
+def test_flow_sends_back_what_a_later_source_needs():
+    pats = [(("a", "b"), 10), (("a",), 10), (("b", "c"), 10), (("c",), 1)]
+    flows = mixing.route(pats, {"a": 10, "b": 15, "c": 6}, 1)
+    assert sum(sum(f.values()) for f in flows) == 31 and flows[1].get("a", 0) + flows[0].get("a", 0) == 10
+
+
+def test_many_patterns():
+    """A hundred thousand patterns over forty sources: quotas that memberships can fill are filled, no level before its time."""
+    rnd = random.Random(3)
+    names = [f"s{i}" for i in range(40)]
+    pats = sorted({tuple(sorted(rnd.sample(names, rnd.randint(1, 4)))) for _ in range(60_000)})
+    pats = [(p, rnd.randint(1, 50)) for p in pats]
+    total = sum(n for _, n in pats)
+    flows = mixing.route(pats, {s: total // 40 for s in names})
+    got = {s: sum(f.get(s, 0) for f in flows) for s in names}
+    assert got == {s: total // 40 for s in names}
+    assert sum(max(0, sum(f.values()) - n) for f, (_, n) in zip(flows, pats)) == 0  # once is enough for all
+
+
+def test_the_query_solves_the_flow(spark, monkeypatch):
+    seen = []
+    fill = mixing.Network.fill
+    monkeypatch.setattr(mixing.Network, "fill", lambda self: (seen.append(len(self.out)), fill(self))[1])
+    assert mixing.op2_source_mix(spark, "/root/testdata/sf0.001").count() == 200 and len(seen) == 3 and seen[0] > 20
+
+
+def test_overlapping_sources(spark):
+    rnd = random.Random(8)
+    rows = [(i, sorted(rnd.sample(["a", "b", "c"], rnd.randint(1, 3))), rnd.randint(0, 30)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, members array<string>, size long").withColumn("place", F.sha2(F.col("doc_id").cast("string"), 256))
+    a, facts = mixing.mix(d, "members", "size", "place")
+    b, _ = mixing.mix(d.repartition(7), "members", "size", "place")
+    take = sorted((r.doc_id, r.copies) for r in a.collect())
+    assert take == sorted((r.doc_id, r.copies) for r in b.collect())
+    words = sum(rows[i][2] * c for i, c in take)
+    goal = sum(min(r.target, 3 * r.source_size) for r in facts.collect())
+    used = sum(x[2] for x in rows)
+    assert abs(words - min(goal, 3 * used)) <= 7 * 31
+
+
 def test_edges(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, an empty table, columns of clashing names."""
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, None, "s"), (3, "", None), (4, "x " * 500, None), (None, "q w", "t"), (5, "\t\n", "u")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("p", F.lit(1))
     docs = mixing.measured(df).withColumn("members", F.array("source"))
+    clash = ["copies", "n", "p", "rows", "__pattern2", "target"]
+    for c in clash:
+        docs = docs.withColumn(c, F.lit(-1))
     out, facts = mixing.mix(docs, "members", "size", "place")
     got = out.collect()
+    assert sorted(out.columns) == sorted(docs.columns) and all(r.target == r.n == -1 for r in got)
+    odd = mixing.mix(docs.withColumn("members", F.when(F.col("size") > 1, F.lit(None)).otherwise(F.array())).withColumn("size", F.lit(None).cast("long")), "members", "size", "place")[0]
+    assert [r.copies for r in odd.collect()] == [0] * len(rows)
     assert len(got) == len(rows) and all(0 <= r.copies <= 3 for r in got)
     goal = {r.source: r.target for r in facts.collect()}
     for s in goal:
