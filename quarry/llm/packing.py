@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import in_arrow, slices, stored, table
+from .common import groups, in_arrow, slices, stored, table
 
 CAPACITY = 2048
-SMALLEST_CUT = 128
+LEAST_GAP = 32  # a smaller rest of a bin stays padding
+WAITING = 4  # bins' worth of rests that wait for a document before one is cut to fill them
+TAILS = 64  # tasks whose last, incomplete bins are packed together
 END_ID = 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, part int, rank long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bin_class int"
+STORED = f"{PIECES}, ids binary"  # ids of pieces that are to be packed once more
 
 
 def tokenizer_file(path: str | None = None) -> bytes:
@@ -29,92 +33,134 @@ def tokenizer_file(path: str | None = None) -> bytes:
         return f.read()
 
 
-def cuts(total: int, capacity: int = CAPACITY, smallest: int = SMALLEST_CUT) -> list[int]:
-    """Lengths of a document's pieces: full sequences, then falling halves of the capacity, then a rest under `smallest`."""
-    out = [capacity] * (total // capacity)
-    rest, size = total % capacity, capacity // 2
-    while size >= smallest:
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
-    return [*out, rest] if rest else out
-
-
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, smallest: int = SMALLEST_CUT, end_id: int = END_ID) -> DataFrame:
-    """Every piece with its class (`kind`: pieces a bin; negative: all of one exact length) and its rank in its task's class."""
+class Bins:
+    """One worker's bins. A unit is (doc, start, ids, tokens of the whole document).
+
+    A unit of n tokens has class k = capacity div n; a bin of class k is filled with exactly k units of its class, which
+    always fit. The rest of a filled bin, if it is not below least_gap, waits. When half of `waiting` bins' worth of rests
+    wait, a unit that fits whole goes into the largest; when all of it waits, the next unit is cut to fill them. Documents over the capacity give full bins
+    first, and what is left of them is a unit. All decisions are the worker's own; what it holds is bounded by waiting
+    bins and one open bin a class."""
+
+    def __init__(self, part: int, capacity: int = CAPACITY, least_gap: int = LEAST_GAP, waiting: int = WAITING):
+        self.first, self.made, self.capacity, self.least = part << 33, 0, capacity, least_gap
+        self.open: dict[int, list] = {}
+        self.rests: list[tuple[int, int, list]] = []  # heap of (-rest, number, [(unit, class)])
+        self.room, self.most = 0, waiting * capacity
+        self.out: list[tuple] = []
+
+    def _emit(self, units: list, sequence: int | None = None) -> None:
+        if sequence is None:
+            sequence = self.first + self.made
+            self.made += 1
+        at = 0
+        for (doc, start, ids, tokens), k in units:
+            self.out.append((doc, start, len(ids), zlib.crc32(ids), tokens, sequence, at, k, ids.tobytes() if sequence < 0 else None))
+            at += len(ids)
+
+    def _rest(self, gap: int, units: list) -> None:
+        if gap < self.least:
+            self._emit(units)
+            return
+        self.made += 1  # numbers tell equal rests apart; the bin's own number is taken when it is emitted
+        heapq.heappush(self.rests, (-gap, self.made, units))
+        self.room += gap
+
+    def add(self, doc, ids: np.ndarray) -> None:
+        start, tokens = 0, len(ids)
+        while tokens - start >= self.capacity:
+            self._emit([((doc, start, ids[start : start + self.capacity], tokens), 1)])
+            start += self.capacity
+        if start < tokens:
+            self._place((doc, start, ids[start:], tokens))
+
+    def _place(self, unit) -> None:
+        doc, start, ids, tokens = unit
+        while self.rests and len(ids) and self.room >= (self.most / 2 if -self.rests[0][0] >= len(ids) else self.most):
+            gap, _, units = heapq.heappop(self.rests)
+            self.room += gap
+            m = min(-gap, len(ids))
+            units.append(((doc, start, ids[:m], tokens), 0))
+            self._rest(-gap - m, units)
+            start, ids = start + m, ids[m:]
+        if len(ids):
+            k = self.capacity // len(ids)
+            units = self.open.setdefault(k, [])
+            units.append(((doc, start, ids.copy(), tokens), k))
+            if len(units) == k:
+                del self.open[k]
+                self._rest(self.capacity - sum(len(u[0][2]) for u in units), units)
+
+    def close(self) -> None:
+        """Units of incomplete bins, and of bins whose rests still wait, are joined; the last bin, if not full, is emitted
+        with the task's number as -1 - number, to be joined with those of others."""
+        left = [u for *_, units in sorted(self.rests, key=lambda r: r[1]) for u, _ in units] + [u for k in sorted(self.open) for u, _ in self.open[k]]
+        self.rests, self.open, self.room = [], {}, 0
+        self.join(left, -1 - (self.first >> 33))
+
+    def join(self, units: list, last: int) -> None:
+        """Units one after the other, cut at the capacity; a last, incomplete bin has the sequence id `last`."""
+        now, used = [], 0
+        for doc, start, ids, tokens in units:
+            while len(ids):
+                m = min(self.capacity - used, len(ids))
+                now.append(((doc, start, ids[:m], tokens), 0))
+                start, ids, used = start + m, ids[m:], used + m
+                if used == self.capacity:
+                    self._emit(now)
+                    now, used = [], 0
+        if now:
+            self._emit(now, last)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split() for x in STORED.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, least_gap: int = LEAST_GAP, waiting: int = WAITING) -> DataFrame:
+    """Every piece in its place; those of each task's last, incomplete bin have sequence_id -1 - the task's number."""
     file = docs.sparkSession.sparkContext.broadcast(tokenizer_file(path))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        enc, seen = bpe.encoder(file.value), {}
-        part = TaskContext.get().partitionId()
+        enc = bpe.encoder(file.value)
+        bins = Bins(TaskContext.get().partitionId(), capacity, least_gap, waiting)
         for b in slices(batches, most=4_000_000):
-            cols: list[list] = [[] for _ in range(8)]
             for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                view, start = memoryview(ids).cast("B"), 0
-                for n in cuts(len(ids), capacity, smallest):
-                    kind = capacity // n
-                    kind = -kind if n >= smallest else kind
-                    rank = seen[kind] = seen.get(kind, -1) + 1
-                    for c, v in zip(cols, (doc, start, n, zlib.crc32(view[4 * start : 4 * (start + n)]), len(ids), kind, part, rank)):
-                        c.append(v)
-                    start += n
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
-
-    return d.transform(in_arrow, run, PIECES)
-
-
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, smallest: int = SMALLEST_CUT, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
-
-    A piece of length n has class floor(capacity / n), and each bin of a class takes that many pieces. Tasks number
-    their pieces by class on their own; a small table of counts by task and class turns these numbers into global
-    ranks, rank div class is the bin. The last, incomplete bin of each class (fewer pieces than the class number, so
-    under capacity * (1 + 1/2 + ... + 1/smallest) pieces in all, whatever the input) is packed first-fit by one task.
-    Null and empty texts have one piece, the end id; repeated rows are packed again; an empty table gives no rows."""
-    if capacity & (capacity - 1) or smallest & (smallest - 1):
-        raise ValueError("capacity and smallest must be powers of two")
-    spark = docs.sparkSession
-    p = stored(pieces(docs, path, capacity, smallest, end_id))
-    # rows: tasks times classes; for each class a running sum over the tasks
-    by = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(p.groupBy("kind", "part").agg(F.count("*").alias("n")).select("kind", "part", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("before"), "n"))
-    kinds = sorted((r.kind, r.n) for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect())  # at most 2 * capacity rows
-    base, first, full = 0, {}, {}
-    for kind, n in kinds:
-        first[kind], full[kind] = base, n // abs(kind) * abs(kind)
-        base += n // abs(kind)
-    known = spark.createDataFrame([(k, first[k], full[k]) for k in first] or [(0, 0, 0)], "kind int, first long, full long")
-    per = F.abs("kind")
-    r = p.join(counts.select("kind", "part", "before"), ["kind", "part"]).join(F.broadcast(known), "kind").withColumn("g", F.col("before") + F.col("rank"))
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    whole = r.where("g < full").withColumn("sequence_id", F.col("first") + F.floor(F.col("g") / per))
-    exact = whole.where("kind < 0").withColumn("offset", (F.col("g") % per) * F.col("length")).select(out)
-    within = Window.partitionBy("sequence_id").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    mixed = whole.where("kind > 0").withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0))).select(out)
+                bins.add(doc, np.append(ids, np.uint32(end_id)).astype("<u4"))
+            yield _batch(bins.out)
+            bins.out = []
+        bins.close()
+        yield _batch(bins.out)
+
+    return d.transform(in_arrow, run, STORED)
+
+
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, least_gap: int = LEAST_GAP, waiting: int = WAITING) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bin_class) of every piece.
+
+    Harmonic packing, each worker on its own (see Bins): no shuffle of texts or ids, no count over all rows. bin_class is
+    k for a piece that is one of the k of its class's bin, 0 for one that fills a rest. Only the last, incomplete bin of
+    each task, under one capacity with its ids, is packed once more, with those of TAILS - 1 other tasks.
+    Sequence ids are distinct, not dense. Null and empty texts have one piece, the end id; very long texts are cut into
+    full sequences and a rest; repeated rows are packed again; equal lengths go in the order of the rows; an empty table
+    gives no rows; columns beside doc_id and text are ignored."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    p = stored(pieces(docs, path, capacity, end_id, least_gap, waiting))
 
     def fit(batches):
-        bins: list[int] = []
-        open_from = 0
-        for b in batches:
-            seq, off = [], []
-            for n in b.column("length").to_pylist():
-                k = next((i for i in range(open_from, len(bins)) if bins[i] + n <= capacity), len(bins))
-                if k == len(bins):
-                    bins.append(0)
-                seq.append(base + k)
-                off.append(bins[k])
-                bins[k] += n
-                while open_from < len(bins) and bins[open_from] == capacity:
-                    open_from += 1
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in out[:5]], pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=out)
-
-    few = r.where("g >= full").select(out[:5]).repartition(1).sortWithinPartitions(F.col("length").desc(), "doc_id", "start", "ids_crc32")
-    few = few.transform(in_arrow, fit, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return exact.unionByName(mixed).unionByName(few)
+        for (group,), g in groups(batches, ["group"]):
+            rows = sorted(zip(*(g.column(c).to_pylist() for c in ("sequence_id", "offset", "doc_id", "start", "doc_tokens", "ids"))), key=lambda r: (-r[0], r[1]))
+            bins = Bins((1 << 28) + group, capacity, least_gap, waiting)
+            bins.join([(doc, start, np.frombuffer(ids, "<u4"), tokens) for _, _, doc, start, tokens, ids in rows], bins.first + (1 << 32))
+            yield _batch(bins.out)
+
+    tails = p.where("sequence_id < 0").withColumn("group", F.floor((-1 - F.col("sequence_id")) / TAILS).cast("long"))
+    tails = tails.repartition("group").sortWithinPartitions("group").transform(in_arrow, fit, STORED)
+    return p.where("sequence_id >= 0").unionByName(tails).select(names)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
