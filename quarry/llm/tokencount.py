@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter as Words
 
 import numpy as np
 import pyarrow as pa
@@ -14,24 +15,65 @@ from .common import in_arrow, slices, table
 SPACE = "▁"  # stands before every pre-token
 SCALE = 10_000  # scores are integers, so sums compare exactly
 UNKNOWN = 10 * SCALE  # a character that is no piece costs this much more than the rarest piece
-WIDE = 48  # longer pre-tokens are scored one by one
+WIDE = 48  # pre-tokens below this are scored many at a time, longer ones one after the other; either way along a trie
 _B = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 _MADE: dict = {}
 
 
-def vocabulary(path: str | None = None) -> list[tuple[str, int]]:
-    """(piece, score) of the ordinary pieces of a sentencepiece file, whose order is by falling frequency: the score is
-    the logarithm of 1 / (place + 1), Zipf's law, times SCALE. Nothing is trained. About 32,000 rows, broadcast."""
-    import sentencepiece
-
+def _model(path: str | None) -> bytes:
+    """The sentencepiece file's bytes (about 0.5 MB), read on the driver and broadcast; path defaults to the public file."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    kept = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    return [(p, -round(SCALE * math.log(i + 1))) for i, p in enumerate(kept)]
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def _library(model: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+def _ordinary(sp) -> list[str]:
+    return [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+
+
+def unigram(docs: DataFrame, path: str | None = None) -> list[tuple[str, int]]:
+    """(piece, score) of the ordinary pieces of a sentencepiece file: log of its share of all pieces in the whole corpus
+    as the file's own merges cut it, counts raised by one, times SCALE. The pieces are the file's; only their shares are
+    counted. Each task encodes its distinct pre-tokens once and gives a row a piece, so at most tasks times pieces rows
+    are shuffled, and one row a piece comes to the driver."""
+    model = _model(path)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        sp = _library(shipped.value)
+        words: Words = Words()
+        pieces: Words = Words()
+
+        def count():
+            for w, ps in zip(words, sp.encode(list(words), out_type=str, num_threads=1)):
+                for p in ps:
+                    pieces[p] += words[w]
+            words.clear()
+
+        for b in slices(batches, most=8_000_000):
+            for t in b.column("text").to_pylist():
+                words.update(t.split())
+            if len(words) > 500_000:
+                count()
+        count()
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"])
+
+    text = docs.where("text is not null").select("text")
+    found = text.transform(in_arrow, run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    n = {r.piece: r.n for r in found}
+    kept = _ordinary(_library(model))
+    total = sum(n.get(p, 0) + 1 for p in kept)
+    return [(p, round(SCALE * math.log((n.get(p, 0) + 1) / total))) for p in kept]
 
 
 class Counter:
@@ -58,18 +100,29 @@ class Counter:
     def _hash(s: str) -> int:
         return sum((ord(c) + 1) * pow(_B, i, 1 << 64) for i, c in enumerate(s)) % (1 << 64)
 
-    def one(self, word: str) -> int:
-        s = SPACE + word
-        best, count = [0], [0]
-        for e in range(1, len(s) + 1):
-            b, c = best[e - 1] + self.unknown, count[e - 1] + len(s[e - 1].encode("utf-8", "surrogatepass"))
-            for n in range(1, min(e, self.longest) + 1):
-                x = self.score.get(s[e - n : e])
-                if x is not None and (best[e - n] + x, -count[e - n] - 1) > (b, -c):
-                    b, c = best[e - n] + x, count[e - n] + 1
-            best.append(b)
-            count.append(c)
-        return count[-1]
+    def _one_by_one(self, words: list[str]) -> list[int]:
+        """Counts of sorted words of any length: scores of what a word shares with the one before, its trie node's way
+        from the root, stay; only the nodes beyond are scored."""
+        lengths, out, last, best, count = [*self.by_length], [], "", [0], [0]
+        for w in words:
+            s = SPACE + w
+            shared = next((i for i, (x, y) in enumerate(zip(s, last)) if x != y), min(len(s), len(last)))
+            del best[shared + 1 :], count[shared + 1 :]
+            for e in range(shared + 1, len(s) + 1):
+                b, c = best[e - 1] + self.unknown, count[e - 1] + len(s[e - 1].encode("utf-8", "surrogatepass"))
+                for n in lengths:
+                    if n > e:
+                        break
+                    x = self.score.get(s[e - n : e])
+                    if x is not None:
+                        x += best[e - n]
+                        if x > b or x == b and count[e - n] + 1 < c:
+                            b, c = x, count[e - n] + 1
+                best.append(b)
+                count.append(c)
+            out.append(count[-1])
+            last = s
+        return out
 
     def _sorted(self, words: list[str]) -> np.ndarray:
         """Counts of distinct sorted words of at most WIDE - 1 characters. Neighbours share their common prefix: a trie
@@ -127,7 +180,8 @@ class Counter:
         for i in range(0, len(short), 20_000):
             part = short[i : i + 20_000]
             self.known.update(zip(part, self._sorted(part).tolist()))
-        self.known.update((w, self.one(w)) for w in new if len(w) >= WIDE)
+        long = sorted(w for w in new if len(w) >= WIDE)
+        self.known.update(zip(long, self._one_by_one(long)))
 
     def texts(self, texts: list[str]) -> tuple[list[int], list[int]]:
         """(pre-tokens, tokens) of each text."""
@@ -146,19 +200,20 @@ class Counter:
         return n, total
 
 
-def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_pretokens, n_tokens) of each whole text, no shuffle; pre-tokens are runs without Unicode white space.
+def token_counts(docs: DataFrame, path: str | None = None, pieces: list[tuple[str, int]] | None = None) -> DataFrame:
+    """(doc_id, n_pretokens, n_tokens) of each whole text; pre-tokens are runs without Unicode white space. pieces: with
+    scores, as unigram() counts them over docs where none are given. Counting needs no shuffle.
 
-    Null and empty texts count 0; repeated rows and null ids are kept as they are."""
-    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    Null and empty texts count 0; very long texts and pre-tokens of any length are scored whole; of segmentations of one
+    score the one of fewest tokens counts; repeated rows and null ids are kept as they are; an empty table gives no rows;
+    columns beside doc_id and text are ignored."""
+    made = docs.sparkSession.sparkContext.broadcast(pieces if pieces is not None else unigram(docs, path))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         counter = _MADE.get("counter")
-        if counter is None:
-            counter = _MADE["counter"] = Counter(pieces.value)
-        elif counter.score != (s := dict(pieces.value)) and s:
-            counter = _MADE["counter"] = Counter(pieces.value)
+        if counter is None or counter.score != dict(made.value):
+            counter = _MADE["counter"] = Counter(made.value)
         for b in slices(batches, most=8_000_000):
             n, total = counter.texts(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
