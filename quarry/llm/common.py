@@ -65,8 +65,8 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
 
 
 def slices(batches, column: str = "text", most: int = 2_000_000):
-    """Slices of Arrow batches, about `most` bytes of the column each (one longer row is a slice of its own): what Python
-    holds of the texts at once stays small whatever the batch size. Freed memory goes back to the system."""
+    """Even slices of Arrow batches, about `most` bytes of the column each (one longer row is a slice of its own): what
+    Python holds of the texts at once stays small whatever the batch size. Freed memory goes back to the system."""
     import ctypes
 
     import numpy as np
@@ -77,17 +77,22 @@ def slices(batches, column: str = "text", most: int = 2_000_000):
         trim = ctypes.CDLL(None).malloc_trim
     except (AttributeError, OSError):  # another C library
         trim = lambda _: 0
+    passed = 0
     for b in batches:
         if not b.num_rows:
             continue
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        each = size[-1] / max(1, round(size[-1] / most))
         s = 0
         while s < b.num_rows:
-            e = max(s + 1, int(np.searchsorted(size, (size[s - 1] if s else 0) + most, "right")))
+            e = max(s + 1, int(np.searchsorted(size, (size[s - 1] if s else 0) + each + 16, "right")))
             yield b.slice(s, e - s)
             s = e
-        pa.default_memory_pool().release_unused()
-        trim(0)
+        passed += int(size[-1])
+        if passed > 8 * BATCH_BYTES:
+            passed = 0
+            pa.default_memory_pool().release_unused()
+            trim(0)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
