@@ -48,8 +48,9 @@ def sets_of(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """(len(sets), 2): 128 bits that tell sets apart."""
+    return np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -85,14 +86,15 @@ def paths(s: np.ndarray, seeds: np.ndarray, threshold: float) -> list[dict]:
 def _described(docs: DataFrame, words: int, threshold: float, seeds: np.ndarray) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     path = T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("c", T.ArrayType(T.LongType()))]))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("paths", path)])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("paths", path)])
     arrow = pa.list_(pa.struct([("k", pa.int64()), ("c", pa.list_(pa.int64()))]))
 
     def run(batches):
         for b in slices(batches):
             sets = sets_of(b.column("text").to_pylist(), words)
+            ids = set_ids(sets)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([paths(s, seeds, threshold) for s in sets], arrow)],
+                [b.column("doc_id"), b.column("th"), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([paths(s, seeds, threshold) for s in sets], arrow)],
                 names=schema.names,
             )
 
@@ -249,11 +251,13 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     n_links: other rows whose similarity is the threshold or more, copies included. class_id: the least doc_id reachable
     by links (null ids count as least of all and give a null class). kept: the row is its class's least; of repeated rows
     (same id and text) all are. Null text is empty; texts without words are copies of one another; texts of fewer words
-    have one shingle; an empty table gives no rows."""
+    have one shingle; very long texts are compared whole; an empty table gives no rows; other columns are ignored. Sets
+    are told apart by 128 bits."""
     seeds = textops.fmix((np.arange(runs_for(recall, threshold), dtype=U) + U(1)) * textops.MIX[6] + U(seed))
     d = stored(_described(docs, words, threshold, seeds))
     did = F.coalesce("doc_id", F.lit(NULL_ID))
-    reps = stored(d.groupBy("sid").agg(F.min(F.struct(did.alias("did"), F.col("th"))).alias("r"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")).select("sid", "r.did", "r.th", "copies", "n", "sketch", "paths"))
+    reps = d.groupBy("s1", "s2").agg(F.min(F.struct(did.alias("did"), F.col("th"))).alias("r"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("sid"), "s1", "s2", "r.did", "r.th", "copies", "n", "sketch", "paths"))
     cand = components(_candidates(reps.where("n > 0"), threshold)).withColumnsRenamed({"id": "sid", "component": "comp"})
     members = stored(cand.join(reps.select("sid", "did", "th", "copies", "n"), "sid"))
     need = members.select("did", "th", "sid", "comp", "copies")
@@ -276,22 +280,27 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, r
     exact = stored(sets.repartition(*keys).sortWithinPartitions(*keys).transform(in_arrow, _verify(threshold), "sid long, to long, links long"))
     joined = components(exact.select(F.col("sid").alias("a"), F.col("to").alias("b"))).withColumnsRenamed({"id": "sid"})
     links = exact.groupBy("sid").agg(F.sum("links").alias("links"))
-    sids = reps.select("sid", "did", "th", "copies").join(joined, "sid", "left").join(links, "sid", "left")
-    sids = stored(sids.select("sid", "did", "th", F.coalesce("component", "sid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    sids = reps.select("sid", "s1", "s2", "did", "th", "copies").join(joined, "sid", "left").join(links, "sid", "left")
+    sids = stored(sids.select("s1", "s2", "did", "th", F.coalesce("component", "sid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least = sids.groupBy("component").agg(F.min(F.struct("did", "th")).alias("least"))
-    by = sids.select("sid", "component", "n_links").join(least, "component").select("sid", "n_links", "least")
+    by = sids.select("s1", "s2", "component", "n_links").join(least, "component").select("s1", "s2", "n_links", "least")
     discard(members)
-    out = d.select("doc_id", "th", "sid").join(by, "sid")
+    out = d.select("doc_id", "th", "s1", "s2").join(by, ["s1", "s2"])
     return out.select("doc_id", "th", F.nullif(F.col("least.did"), F.lit(NULL_ID)).alias("class_id"), "n_links", ((F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("least.did")) & (F.col("th") == F.col("least.th"))).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: of each class the row of the least id, once."""
+    """The rows of docs that stay: of each class the row of the least id, once; of rows of that id and text that differ
+    in other columns the first as JSON. All columns stay, whatever their names; for odd rows see classes()."""
     c = stored(classes(docs, **options).where("kept").groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__did"), F.col("th").alias("__th")).agg(F.count("*").alias("__rows")))
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce("text", F.lit("")))]
     d = docs.withColumn("__did", key[0]).withColumn("__th", key[1]).join(c.hint("shuffle_hash"), ["__did", "__th"])
-    once, more = d.where("__rows = 1"), d.where("__rows > 1").dropDuplicates(["__did", "__th"])
-    return once.unionByName(more).select(docs.columns) if not c.where("__rows > 1").isEmpty() else once.select(docs.columns)
+    once = d.where("__rows = 1").select(docs.columns)
+    if c.where("__rows > 1").isEmpty():
+        return once
+    row = F.struct(*[F.col(x) for x in docs.columns])
+    more = d.where("__rows > 1").groupBy("__did", "__th").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return once.unionByName(more.select(*[F.col("__row")[x].alias(x) for x in docs.columns]))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

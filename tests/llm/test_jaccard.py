@@ -81,6 +81,46 @@ def test_documents_and_hot_group(spark):
     assert {r.class_id for r in got} == {0} and min(r.n_links for r in got) == 1499
 
 
+def test_recall_of_links_at_the_threshold(spark):
+    """Two thousand pairs of texts of 40 to 300 words, each with a similarity from 0.80 to 0.82 and no other link."""
+    rnd = random.Random(12)
+    rows, near = [], 0
+    for i in range(2000):
+        n = rnd.choice([40, 80, 150, 300])
+        w = [f"{i}_{rnd.randrange(10**6)}" for _ in range(n)]
+        shingles, v, k = n - 4, list(w), 0
+        places = rnd.sample(range(0, n, 6), len(range(0, n, 6)))
+        count = lambda a, b: (lambda x, y: len(x & y) / len(x | y))(*({tuple(z[j : j + 5]) for j in range(shingles)} for z in (a, b)))
+        for p in places:  # change words apart from each other while the pair stays a link
+            u = list(v)
+            u[p] = f"new{i}_{p}"
+            if count(w, u) < 0.8:
+                continue
+            v = u
+        near += count(w, v) < 0.83
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    assert near > 1000
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sum(r.n_links == 1 and r.class_id == r.doc_id // 2 * 2 for r in got) / len(got)
+    print("recall", found, "of", len(rows) // 2, "pairs,", near, "below 0.83")
+    assert found >= 0.98
+
+
+def test_edges(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, an empty table, columns of clashing names."""
+    long = " ".join(f"w{i % 9973}x{i // 9973}" for i in range(60_000))
+    rows = [(None, None, None), (None, None, "b"), (1, "", "a"), (2, long, "a"), (3, long + " end", None), (3, long + " end", "z"), (4, "a b c", None), (5, "c b a", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("sid", "s1", "comp", "th", "n", "copies", "kept", "class_id", "n_links", "own", "paths", "sketch"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = sorted(((str(r.doc_id), r.class_id, r.n_links) for r in jaccard.classes(d).collect()), key=str)
+    assert got == sorted([("None", None, 2), ("None", None, 2), ("1", None, 2), ("2", 2, 2), ("3", 2, 2), ("3", 2, 2), ("4", 4, 0), ("5", 5, 0)], key=str)
+    for deal in (d, d.repartition(5), d.orderBy(F.desc("lang"))):
+        kept = jaccard.deduplicated(deal).collect()
+        assert sorted((str(r.doc_id), str(r.lang), r.sid) for r in kept) == [("2", "a", "clash"), ("4", "None", "clash"), ("5", "a", "clash"), ("None", "b", "clash")]
+        assert kept[0].asDict().keys() == set(d.columns)
+
+
 def test_paths_of_long_texts():
     rnd = np.random.default_rng(3)
     s = np.unique(rnd.integers(0, 2**64, 40_000, dtype=np.uint64))
