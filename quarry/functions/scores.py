@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: Weights of relations in a walk.
-RELATION_WEIGHT = {"defined_by": 1.20, "defines_term": 1.10, "amend": 1.10, "cite": 1.15, "cited": 1.15, "ref": 1.15, "next": 0.95, "prev": 0.95}
+RELATION_WEIGHT = {"defined_by": 1.20, "defines_term": 1.10, "cite": 1.15, "cited": 1.15, "ref": 1.15, "amend": 1.10, "next": 0.95, "prev": 0.95, "neighbor": 1.00}
 
 
 def d(x: float) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Sentence ends, numeral characters and what they stand for.
 TERMINATORS = "。！？!?；;"
 CN_NUMERAL = "[一二三四五六七八九十百千万〇零两0-9]+"
 _DIGIT = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import d
 from ..functions.text import tokens
+from ..sources.readers import first_by_id
+from ..sources.registry import Registry
 from ..sources.shared import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -19,9 +21,10 @@ def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
     return t.groupBy("term", key, "dl").agg(F.count("*").cast("double").alias("tf"))
 
 
-def corpus_stats(chunks: DataFrame, text: str = "text", tokenizer=tokens) -> DataFrame:
-    """One row: n chunks, mean length."""
-    return chunks.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tokenizer(text)).cast("double")).alias("avgdl"))
+def corpus_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
+    """One row: n chunks, mean length. The lengths are those of the postings, so no text is read."""
+    n = chunks.agg(F.count("*").cast("double").alias("n"))
+    return n.crossJoin(F.broadcast(post.agg(F.coalesce(F.sum("tf"), d(0)).alias("all")))).select("n", F.try_divide("all", "n").alias("avgdl"))
 
 
 def term_stats(post: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
@@ -50,14 +53,31 @@ def top(scores: DataFrame, k: int | Column, qid: str = "query_id", key: str = "d
 
 
 class Index:
-    """Postings, terms and statistics of a set of chunks. The postings and terms are written once, as the index that all
-    searches read; texts are tokenised once."""
+    """Postings, terms and statistics of a set of chunks, written once as the tables that all searches read; texts are
+    tokenised once. With a registry they are a version there, which open() reads again in any session."""
 
-    def __init__(self, chunks: DataFrame, key: str = "doc_id", text: str = "text", tokenizer=tokens):
+    def __init__(self, chunks: DataFrame, key: str = "doc_id", text: str = "text", tokenizer=tokens, registry: Registry | None = None, version: str = "v1"):
         self.key, self.tokenizer = key, tokenizer
-        self.post = stored(postings(chunks, key, text, tokenizer))
-        self.stats = stored(corpus_stats(chunks, text, tokenizer))
-        self.terms = stored(term_stats(self.post, self.stats))
+
+        def write(name: str, df: DataFrame) -> DataFrame:
+            if registry is None:
+                return stored(df)
+            registry.write(version, name, df)
+            return registry.read(name, version)
+
+        self.post = write("postings", postings(chunks, key, text, tokenizer))
+        self.stats = write("stats", corpus_stats(chunks, self.post))
+        self.terms = write("terms", term_stats(self.post, self.stats))
+        if registry is not None:
+            registry.finish(version)
+
+    @classmethod
+    def open(cls, registry: Registry, version: str | None = None, key: str = "doc_id", tokenizer=tokens) -> Index:
+        """The index of a version, by default the active one; fresh tables are a new version, so nothing is reloaded."""
+        out = cls.__new__(cls)
+        out.key, out.tokenizer = key, tokenizer
+        out.post, out.stats, out.terms = (registry.read(t, version) for t in ("postings", "stats", "terms"))
+        return out
 
     def search(self, queries: DataFrame, k: int, qid: str = "query_id", text: str = "text", least: float | None = None) -> DataFrame:
         s = score(queries, self.post, self.terms, self.stats, qid, self.key, text, self.tokenizer)
@@ -66,7 +86,21 @@ class Index:
         return top(s, k, qid, self.key)
 
 
+def search_by_lang(queries: DataFrame, chunks: DataFrame, k: int, tokenizers: dict | None = None, qid: str = "query_id", key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(query, chunk, score, rank): each question among the chunks of its language alone, with that language's statistics
+    and tokenizer (tokens() where `tokenizers` names none). One index a language; languages are those of the questions,
+    a hundred at most."""
+    langs = sorted(r[0] for r in queries.where(F.col(lang).isNotNull()).select(lang).distinct().limit(101).collect())
+    if len(langs) > 100:
+        raise ValueError("more than a hundred languages")
+    out = None
+    for x in langs:
+        found = Index(chunks.where(F.col(lang) == x), key, text, (tokenizers or {}).get(x, tokens)).search(queries.where(F.col(lang) == x), k, qid, text)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else Index(chunks.limit(0), key, text).search(queries.limit(0), k, qid, text)
+
+
 def extended(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks after an incremental add: those of new whose key is not there yet, once each, appended."""
-    fresh = new.join(old.select(key), key, "left_anti").dropDuplicates([key])
+    fresh = first_by_id(new.join(old.select(key), key, "left_anti"), key)
     return old.unionByName(fresh.select(old.columns))

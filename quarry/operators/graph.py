@@ -10,6 +10,7 @@ from ..functions.scores import d, depth_decay, relation_weight
 from ..functions.text import numeral, text_of
 from ..sources.shared import stored
 
+# Budgets of a node's edges, the widest range of a citation, characters of a number.
 CAPS = {"cite": 20, "cited": 20, "defined_by": 10, "defines_term": 10}
 TOTAL_CAP, WIDEST_RANGE = 60, 200
 _NUM = "[0-9一二三四五六七八九十百千万两〇零]+"

@@ -32,9 +32,9 @@ class Config:
 class HybridSearch:
     """chunks(doc_id, text), optional vectors(doc_id, embedding) and edges(src, dst, relation, conf, pos)."""
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, config: Config | None = None):
+    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, config: Config | None = None, index: bm25.Index | None = None):
         self.chunks, self.vectors, self.edges, self.config = chunks, vectors, edges, config or Config()
-        self.index = bm25.Index(chunks)
+        self.index = index or bm25.Index(chunks)
 
     def channels(self, questions: DataFrame, k: int) -> DataFrame:
         """(query, chunk, channel, score) of all channels."""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..operators import fusion, graph
 from ..sources.shared import stored
-from .queries_search import BM25, TOK, _gold, docs, index, items
+from .queries_search import BM25, TOK, _gold, docs, index, items, texts
 
-DEPTHS = {"default": 2, "defined_by": 3, "defines_term": 3, "next": 2, "prev": 2}
-LIMIT = 50
+DEPTHS, LIMIT, SEEDS = rules.WALK_DEPTHS, 800, 30
 
 
 def graph_edges_seq(spark, sf):
@@ -25,7 +25,7 @@ def _terms(spark, sf):
 
 def graph_edges_contain(spark, sf):
     """The first document with a passage defines it for the others that hold it; ten passages a document."""
-    return graph.containment_edges(_terms(spark, sf), docs(spark, sf), 10)
+    return graph.containment_edges(_terms(spark, sf), texts(spark, sf), 10)
 
 
 def _edges(spark, sf):
@@ -34,11 +34,11 @@ def _edges(spark, sf):
 
 
 def _seeds(spark, sf):
-    return stored(index(spark, sf).search(items(spark, sf), 3).select("query_id", F.col("doc_id").alias("node"), F.col("rank").alias("ord")))
+    return stored(index(spark, sf).search(items(spark, sf), SEEDS).select("query_id", F.col("doc_id").alias("node"), F.col("rank").alias("ord")))
 
 
 def graph_walk(spark, sf):
-    """Walks from the three best lexical hits of every passage."""
+    """Walks from the thirty best lexical hits of every passage."""
     w = graph.walk(_seeds(spark, sf), _edges(spark, sf), docs(spark, sf).select(F.col("doc_id").alias("node")), DEPTHS, LIMIT)
     return w.select("query_id", "node", "depth", "parent", "relation", "ord")
 
@@ -61,10 +61,10 @@ def graph_induced(spark, sf):
 
 
 def graph_budget(spark, sf):
-    """Up to three edges of each kind for a document: those within its source first, then those by passage."""
+    """The edges of each document within the budgets: those within its source first, then those by passage."""
     e = _edges(spark, sf)
     c = e.withColumn("seq", F.when(F.col("relation").isin("prev", "next"), F.col("pos")).otherwise(F.col("pos") + 1000).cast("long"))
-    return graph.budgeted(c, {"defined_by": 3, "defines_term": 3}, 4).select("src", "dst", "relation", "conf", "pos")
+    return graph.budgeted(c).select("src", "dst", "relation", "conf", "pos")
 
 
 GRAPH = f"""{BM25},
@@ -76,7 +76,7 @@ pick AS (SELECT g.doc_id, a.article, a.text, row_number() OVER (PARTITION BY g.d
 ec AS (SELECT DISTINCT * FROM (SELECT doc_id AS src, article AS dst, 'defined_by' AS relation, CASE WHEN length(text) >= 4 THEN 9e-1 ELSE 85e-2 END AS conf FROM pick WHERE n <= 10
        UNION ALL SELECT article, doc_id, 'defines_term', CASE WHEN length(text) >= 4 THEN 9e-1 ELSE 85e-2 END FROM pick WHERE n <= 10)),
 e AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY relation, dst) AS pos FROM (SELECT * FROM es UNION ALL SELECT * FROM ec)),
-f0 AS (SELECT query_id, doc_id AS node, rank AS ord, CAST(NULL AS VARCHAR) AS relation FROM lex WHERE rank <= 3),
+f0 AS (SELECT query_id, doc_id AS node, rank AS ord, CAST(NULL AS VARCHAR) AS relation FROM lex WHERE rank <= {SEEDS}),
 v0 AS (SELECT query_id, node FROM f0)"""
 
 
@@ -93,7 +93,7 @@ v{i + 1} AS (SELECT * FROM v{i} UNION ALL SELECT query_id, node FROM n{i})"""
     return out + ",\nwalked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, k) AS ord FROM (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(levels)) + f")) WHERE ord <= {limit})"
 
 
-WALK = _levels(DEPTHS, LIMIT, 3)
+WALK = _levels(DEPTHS, LIMIT, max(DEPTHS.values()))
 QUERIES = {"graph_edges_seq": graph_edges_seq, "graph_edges_contain": graph_edges_contain, "graph_walk": graph_walk, "graph_neighbors": graph_neighbors, "graph_score": graph_score, "graph_induced": graph_induced, "graph_budget": graph_budget}
 SQL = {
     "graph_edges_seq": f"WITH {GRAPH} SELECT * FROM es",
@@ -110,8 +110,8 @@ c AS (SELECT src, dst, relation, conf, row_number() OVER (PARTITION BY src ORDER
 fold(src, i, size, dst, relation, conf, taken) AS (
   SELECT src, i, 1, dst, relation, conf, TRUE FROM c WHERE i = 1
   UNION ALL
-  SELECT c.src, c.i, CASE WHEN f.size < CASE WHEN c.relation IN ('defined_by', 'defines_term') THEN 3 ELSE 4 END THEN f.size + 1 ELSE f.size END, c.dst, c.relation, c.conf,
-         f.size < CASE WHEN c.relation IN ('defined_by', 'defines_term') THEN 3 ELSE 4 END
+  SELECT c.src, c.i, CASE WHEN f.size < CASE WHEN c.relation IN ('defined_by', 'defines_term') THEN {graph.CAPS['defined_by']} ELSE {graph.TOTAL_CAP} END THEN f.size + 1 ELSE f.size END, c.dst, c.relation, c.conf,
+         f.size < CASE WHEN c.relation IN ('defined_by', 'defines_term') THEN {graph.CAPS['defined_by']} ELSE {graph.TOTAL_CAP} END
   FROM fold f JOIN c ON c.src = f.src AND c.i = f.i + 1)
 SELECT src, dst, relation, conf, CAST(size - 1 AS INTEGER) AS pos FROM fold WHERE taken""",
 }

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scores import d, minmax, sigmoid
 from ..functions.text import tokens
 from ..operators import bm25, cases, dense, evaluate, fusion, prompts, routing
+from ..sources.registry import Registry
+from ..sources.shared import files_digest, shared_dir, spread
 from .hybrid import Config, HybridSearch
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')"
@@ -17,6 +19,11 @@ def docs(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def texts(spark, sf) -> DataFrame:
+    """docs() for work on the texts: small files are dealt over all task slots."""
+    return spread(docs(spark, sf), "doc_id")
+
+
 def items(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
 
@@ -48,7 +55,9 @@ runs AS (SELECT query_id, doc_id, 'bm25' AS channel, score FROM lex UNION ALL SE
 
 
 def index(spark, sf):
-    return bm25.Index(docs(spark, sf))
+    """The index of the documents: opened if a version for just these files is there, else built as that version."""
+    registry, version = Registry(spark, f"{shared_dir(spark)}/quarry/lexical"), files_digest(spark, f"{sf}/documents.parquet")
+    return bm25.Index.open(registry, version) if registry.complete(version) else bm25.Index(texts(spark, sf), registry=registry, version=version)
 
 
 def bm25_term_stats(spark, sf):
@@ -180,7 +189,7 @@ def hybrid_search(spark, sf):
     """All questions through routing, both channels, fusion, floor, rerank and their own number of hits."""
     v = vectors(spark, sf).select("doc_id", "embedding")
     q = items(spark, sf).join(v.withColumnRenamed("doc_id", "query_id"), "query_id", "left")
-    s = HybridSearch(docs(spark, sf), v.join(docs(spark, sf).select("doc_id"), "doc_id", "left_semi"), config=Config(rerank_window=30))
+    s = HybridSearch(docs(spark, sf), v.join(docs(spark, sf).select("doc_id"), "doc_id", "left_semi"), config=Config(rerank_window=30), index=index(spark, sf))
     return s.search(q, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", F.array_join("channels", ",").alias("channels"))
 
 
@@ -234,7 +243,7 @@ def _gold(spark, sf):
     from ..operators.graph import containment_edges
 
     b = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("text").alias("term"), (-F.col("item_id") - 1).alias("article"), F.col("item_id").alias("term_pos"))
-    e = containment_edges(b, docs(spark, sf), cap=2**31 - 1)
+    e = containment_edges(b, texts(spark, sf), cap=2**31 - 1)
     return e.where("relation = 'defined_by'").select((-F.col("dst") - 1).alias("query_id"), F.col("src").alias("doc_id"))
 
 

@@ -11,7 +11,7 @@ from ..operators import dense, graph, parse, routing
 from ..sources.readers import first_by_id, page_links, page_text
 from ..sources.shared import shared_dir
 from ..streaming.ingest import ingest, ingested_log
-from .queries_search import docs, vectors
+from .queries_search import docs, texts, vectors
 
 ENDS = text.TERMINATORS + "."
 
@@ -25,7 +25,7 @@ def turns(spark, sf):
 
 
 def lang_detect(spark, sf):
-    return docs(spark, sf).select("doc_id", text.detect_lang("text").alias("detected"), text.prompt_lang("text").alias("prompt"), text.ratio_lang("text").alias("ratio"))
+    return texts(spark, sf).select("doc_id", text.detect_lang("text").alias("detected"), text.prompt_lang("text").alias("prompt"), text.ratio_lang("text").alias("ratio"))
 
 
 def lang_stats(spark, sf):
@@ -39,7 +39,7 @@ def route_questions(spark, sf):
 
 
 def route_documents(spark, sf):
-    d = docs(spark, sf)
+    d = texts(spark, sf)
     return d.select("doc_id", routing.mode("text").alias("mode"), routing.task("text").alias("task"), routing.issue("text").alias("issue"), routing.part("text").alias("part"), routing.top_k_factor("text").alias("factor"))
 
 
@@ -88,16 +88,16 @@ def _usable_sql():
 
 
 def text_normalize(spark, sf):
-    return docs(spark, sf).select("doc_id", text.normalised("text").alias("normalised"), text.one_line("text").alias("line"))
+    return texts(spark, sf).select("doc_id", text.normalised("text").alias("normalised"), text.one_line("text").alias("line"))
 
 
 def sentence_split(spark, sf):
-    return docs(spark, sf).select("doc_id", F.posexplode(text.sentences("text", ENDS)).alias("n", "sentence"))
+    return texts(spark, sf).select("doc_id", F.posexplode(text.sentences("text", ENDS)).alias("n", "sentence"))
 
 
 def chunk_fixed(spark, sf):
     """Chunks of about 650 characters that share 90 with the next."""
-    return docs(spark, sf).select("doc_id", F.posexplode(text.chunked("text", 650, 90, ENDS)).alias("n", "c")).select("doc_id", "n", "c.text", "c.start", "c.end")
+    return texts(spark, sf).select("doc_id", F.posexplode(text.chunked("text", 650, 90, ENDS)).alias("n", "c")).select("doc_id", "n", "c.text", "c.start", "c.end")
 
 
 CHUNK_SQL = f"""WITH RECURSIVE s AS (
@@ -117,7 +117,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
 
 def paragraph_split(spark, sf):
     """Lines as paragraphs (the tables have no blank lines, so each newline counts twice), with offsets."""
-    d = docs(spark, sf).select("doc_id", F.posexplode(text.paragraphs(F.regexp_replace("text", "\\n", "\n\n"))).alias("n", "p"))
+    d = texts(spark, sf).select("doc_id", F.posexplode(text.paragraphs(F.regexp_replace("text", "\\n", "\n\n"))).alias("n", "p"))
     return d.select("doc_id", "n", F.col("p.text").alias("text"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
 
 
@@ -130,7 +130,7 @@ FROM o WHERE regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> ''"""
 
 def label_head(spark, sf):
     """Labels of sentences, the nth repeat in a document with -n."""
-    s = docs(spark, sf).select("doc_id", F.posexplode(text.sentences("text", ENDS)).alias("n", "sentence")).withColumn("label", text.head_label("sentence"))
+    s = texts(spark, sf).select("doc_id", F.posexplode(text.sentences("text", ENDS)).alias("n", "sentence")).withColumn("label", text.head_label("sentence"))
     return parse.unique_labels(s, "label", ["n"]).select("doc_id", "n", "label")
 
 
@@ -145,7 +145,7 @@ def doc_ids(spark, sf):
 
 
 def title_helpers(spark, sf):
-    d = docs(spark, sf)
+    d = texts(spark, sf)
     return d.select("doc_id", text.short_name("text").alias("short"), text.shortened(text.first_line("text")).alias("title"), text.heading_like("text").alias("heading"))
 
 

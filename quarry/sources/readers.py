@@ -29,9 +29,9 @@ def chunks(spark: SparkSession, glob: str | list[str]) -> DataFrame:
     return d.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line")).withColumn("lang", F.coalesce("lang", F.lit("zh")))
 
 
-def first_by_id(d: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row a key, the first in the order given."""
-    w = Window.partitionBy(key).orderBy(*order)
+def first_by_id(d: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row a key, the first in the order given; with none, the first as JSON, the same in every run."""
+    w = Window.partitionBy(key).orderBy(*(order or [F.to_json(F.struct(*d.columns))]))
     return d.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -44,7 +44,7 @@ def append_new(d: DataFrame, folder: str, key: str = "id") -> int:
     spark = d.sparkSession
     from .shared import stored
 
-    new = d.dropDuplicates([key])
+    new = first_by_id(d, key)
     try:
         new = new.join(spark.read.parquet(folder).select(key), key, "left_anti")
     except Exception as e:  # a table that isn't there yet is empty

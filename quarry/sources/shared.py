@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -22,8 +23,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+SMALL = 256 << 20
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes that the plan expects; of a scan, those of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over all task slots if its files are small: these may be one row group, which one task would read and
+    work on alone. Larger ones keep the splits they have, so no large table is shuffled for this."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if plan_bytes(df) <= SMALL else df
+
+
+def files_digest(spark: SparkSession, path: str) -> str:
+    """A digest of the names, lengths and times of the files below a path: another one once any of them changes."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, listed = [], fs.listFiles(fs_path, True)
+    while listed.hasNext():
+        f = listed.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:32]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/quarry/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing will read it again."""
+    if path := getattr(df, "stored_path", None):
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

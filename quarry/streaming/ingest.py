@@ -25,16 +25,17 @@ def add_batch(batch: DataFrame, root: str, batch_id: int = 0, key: str = "doc_id
     stage("chunks", lambda: append_new(batch, f"{root}/chunks", key))
 
     def add_postings():
-        post = bm25.postings(spark.read.parquet(f"{root}/chunks"), key, text)
+        # only this batch's chunks are tokenised, as the chunk table has them
+        mine = spark.read.parquet(f"{root}/chunks").join(batch.select(key).distinct(), key, "left_semi")
         done = f"{root}/postings"
         try:
-            post = post.join(spark.read.parquet(done).select(key).distinct(), key, "left_anti")
+            mine = mine.join(spark.read.parquet(done).select(key), key, "left_anti")
         except Exception as e:  # nothing indexed yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         from ..sources.shared import stored
 
-        post = stored(post)
+        post = stored(bm25.postings(mine, key, text))
         n = post.select(key).distinct().count()
         if n:
             post.write.mode("append").parquet(done)
