@@ -230,44 +230,149 @@ def stream_postings(spark, sf):
     return spark.read.parquet(f"{root}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"))
 
 
-def _fixture(name, make, sql):
-    make.__name__ = name
-    return name, (make, sql)
-
-
-def _inline(rows, schema, expr):
-    def query(spark, sf):
-        return expr(spark.createDataFrame(rows, schema))
-
-    return query
-
-
-ZH = "第三编 合同\n第一分编 通则\n第一章 一般规定\n第四百六十三条 本编调整因合同产生的民事关系。\n第四百六十四条 合同是民事主体之间的协议。\n婚姻等协议，\n适用其规定。\n第二章 合同的订立\n第469条 当事人订立合同，可以采用书面形式。依照第四百六十三条办理。\n第二分编 典型合同\n第五百\n九十五条 买卖合同是出卖人转移所有权。"
-EN = "ARTICLE 2 - SALES\nPART 1. SHORT TITLE\n§ 2-101. Short Title. This Article shall\nbe known as Sales.\n§ 2-102. Scope. It applies to goods.\nPART 2. FORM\n§ 2-201. Statute of Frauds. A contract"
-_CITE = [(1, "依照第四百六十三条至第四百六十五条、第10条处理"), (2, "See Section 2.1 and Article 9, § 2-201."), (3, "Sections none; Section 3 to 5"), (4, None)]
-_DEF = [(1, "本法所称动产，是指可移动的财产。"), (2, "“Goods” means all things. \"Buyer\" shall mean a person."), (3, "The Lease means a contract. State means law."), (4, "")]
-_NUMERALS = ["12", "十", "一百零五", "两千", "三万二千一百", "四百六十三", "abc", "", None, "0"]
-_WORDS = [(1, 1, "world", 20.0, 40.0, 10.5, 20.0), (1, 1, "Hello", 0.0, 15.0, 10.0, 20.0), (1, 1, "x", 40.2, 45.0, 11.0, 20.0), (1, 1, "Next", 0.0, 9.0, 30.0, 40.0), (1, 2, "a", 0.0, 5.0, 1.0, 2.0)]
-_MERGE = [(1, ["合同是", "协议。", "第一章 总则", "the quick", "brown fox", ""]), (2, ["(a) one", "(b) two", "end"]), (3, []), (4, None)]
-_MISC = [(1, 'x {"score": 7.5} y', "Answer: yes", "- a\n2) b\n\n* c"), (2, "none", "no marker", "plain"), (3, None, None, None), (4, "99 of 100", "a Answer:  b Answer: c", "1. x")]
-
-FIXTURES = dict([
-    _fixture("numerals", _inline([(i, s) for i, s in enumerate(_NUMERALS)], "i int, s string", lambda d: d.select("i", text.numeral("s").alias("n"))), "SELECT * FROM (VALUES (0, 12), (1, 10), (2, 105), (3, 2000), (4, 32100), (5, 463), (6, NULL), (7, NULL), (8, NULL), (9, 0)) t(i, n)"),
-    _fixture("citations", _inline(_CITE, "id int, text string", lambda d: graph.citations(d, "id").select("src", "ref", "conf")), "SELECT * FROM (VALUES (1, '463', 95e-2), (1, '464', 95e-2), (1, '465', 95e-2), (1, '463', 9e-1), (1, '465', 9e-1), (1, '10', 9e-1), (2, 'section:2.1', 85e-2), (2, 'article:9', 85e-2), (2, 'section:2-201', 85e-2), (3, 'section:3', 85e-2), (3, 'section:4', 85e-2), (3, 'section:5', 85e-2), (3, 'section:3', 85e-2)) t(src, ref, conf)"),
-    _fixture("definitions", _inline(_DEF, "id int, text string", lambda d: graph.definitions(d, "id").select("article_id", "term", "conf")), "SELECT * FROM (VALUES (1, '动产', 95e-2), (2, 'Goods', 95e-2), (2, 'Buyer', 95e-2), (3, 'The Lease', 7e-1)) t(article_id, term, conf)"),
-    _fixture("parse_articles_zh", _inline([(1, ZH)], "doc_id int, text string", lambda d: parse.by_lines(parse.lines_of(d), "zh")), "SELECT * FROM (VALUES (1, 1, '第三编 合同', '第一分编 通则', '第一章 一般规定', '', '第四百六十三条', '463', '本编调整因合同产生的民事关系。'), (1, 2, '第三编 合同', '第一分编 通则', '第一章 一般规定', '', '第四百六十四条', '464', '合同是民事主体之间的协议。' || chr(10) || '婚姻等协议，适用其规定。'), (1, 3, '第三编 合同', '第一分编 通则', '第二章 合同的订立', '', '第469条', '469', '当事人订立合同，可以采用书面形式。依照第四百六十三条办理。'), (1, 4, '第三编 合同', '第二分编 典型合同', '', '', '第五百九十五条', '595', '买卖合同是出卖人转移所有权。')) t(doc_id, n, part, subpart, chapter, section, article_no, article_id, text)"),
-    _fixture("parse_articles_en", _inline([(1, EN)], "doc_id int, text string", lambda d: parse.by_lines(parse.lines_of(d), "en")), "SELECT * FROM (VALUES (1, 1, '', '', 'Article 2 SALES', 'Part 1 SHORT TITLE', '§ 2-101', '2-101', 'Short Title. This Article shall be known as Sales.'), (1, 2, '', '', 'Article 2 SALES', 'Part 1 SHORT TITLE', '§ 2-102', '2-102', 'Scope. It applies to goods.'), (1, 3, '', '', 'Article 2 SALES', 'Part 2 FORM', '§ 2-201', '2-201', 'Statute of Frauds. A contract')) t(doc_id, n, part, subpart, chapter, section, article_no, article_id, text)"),
-    _fixture("parse_by_scan", _inline([(1, "第一条 甲。依照第九条办理。第二条 乙。")], "doc_id int, text string", lambda d: parse.by_scan(d, "zh")), "SELECT * FROM (VALUES (1, 1, '第一条', '1', '甲。依照第九条办理。'), (1, 2, '第二条', '2', '乙。')) t(doc_id, n, article_no, article_id, text)"),
-    _fixture("layout_lines", _inline(_WORDS, "doc_id int, page int, text string, x0 double, x1 double, top double, bottom double", lambda d: parse.layout_lines(d).select("doc_id", "page", "line", "text")), "SELECT * FROM (VALUES (1, 1, 1, 'Hello worldx'), (1, 1, 2, 'Next'), (1, 2, 1, 'a')) t(doc_id, page, line, text)"),
-    _fixture("line_merge", _inline(_MERGE, "id int, lines array<string>", lambda d: d.select("id", F.posexplode(text.merged_lines(F.coalesce("lines", F.array().cast("array<string>")))).alias("n", "p"))), "SELECT * FROM (VALUES (1, 0, '合同是协议。'), (1, 1, '第一章 总则the quick brown fox'), (2, 0, '(a) one'), (2, 1, '(b) two end')) t(id, n, p)"),
-    _fixture("model_answers", _inline(_MISC, "id int, j string, a string, l string", lambda d: d.select("id", text.first_score("j").alias("score"), text.json_object("j").alias("obj"), text.after_marker("a", "Answer:").alias("answer"), F.array_join(text.list_items("l"), "|").alias("items"))), "SELECT * FROM (VALUES (1, 75e-1, '{\"score\": 7.5}', 'yes', 'a|b|c'), (2, 1e0, NULL, 'no marker', 'plain'), (3, 1e0, NULL, '', ''), (4, 1e1, NULL, 'b Answer: c', 'x')) t(id, score, obj, answer, items)"),
-])
+# Parsers and extractors run over texts of known structure that are made from the documents' columns; their SQL computes
+# the parts from the same columns, so every expected value depends on the row.
+def chinese(n):
+    """A number under ten thousand in Chinese numerals (0: empty)."""
+    digit = F.array(*[F.lit(x) for x in ("", *"一二三四五六七八九")])
+    place = lambda k, unit: F.when(F.floor(n / 10**k) % 10 > 0, F.concat(F.get(digit, (F.floor(n / 10**k) % 10).cast("int")), F.lit(unit))).otherwise("")
+    return F.concat(place(3, "千"), place(2, "百"), place(1, "十"), place(0, ""))
+
+
+def made(spark, sf):
+    """doc_id, source, n_chars and the small numbers a (1 to 900), b (1 to 97) and k (0 to 6) of each document."""
+    return docs(spark, sf).select("doc_id", "source", "n_chars", (F.col("doc_id") % 900 + 1).alias("a"), (F.col("n_chars") % 97 + 1).alias("b"), (F.col("doc_id") % 7).alias("k"))
+
+
+MADE = "m AS (SELECT doc_id, source, n_chars, doc_id % 900 + 1 AS a, n_chars % 97 + 1 AS b, doc_id % 7 AS k FROM documents)"
+
+
+def numerals(spark, sf):
+    """Lengths of the documents written as Chinese or decimal numerals, or as none, and read again."""
+    n = F.col("n_chars") % 10000
+    return made(spark, sf).select("doc_id", text.numeral(F.when(F.col("k") == 0, F.concat(F.lit("x"), n.cast("string"))).when(F.col("k") == 1, n.cast("string")).otherwise(chinese(n))).alias("n"))
+
+
+NUMERAL_SQL = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN n_chars % 10000 ELSE nullif(n_chars % 10000, 0) END AS n FROM documents"
+
+
+def citations(spark, sf):
+    """References in texts with a range of sections, an article, a section id and a Chinese marker of each document."""
+    t = F.format_string("See Section %d to %d and Article %d, also § %d-%d. 依照第%s条办理", "a", F.col("a") + F.col("k"), "b", "b", "a", chinese(F.col("a")))
+    return graph.citations(made(spark, sf).select("doc_id", t.alias("text")), "doc_id")
+
+
+CITE_SQL = f"""WITH {MADE}
+SELECT doc_id AS src, 'section:' || unnest(range(a, a + k + 1)) AS ref, 85e-2 AS conf FROM m
+UNION ALL SELECT doc_id, 'section:' || a, 85e-2 FROM m UNION ALL SELECT doc_id, 'article:' || b, 85e-2 FROM m
+UNION ALL SELECT doc_id, 'section:' || b || '-' || a, 85e-2 FROM m UNION ALL SELECT doc_id, CAST(a AS VARCHAR), 9e-1 FROM m"""
+
+
+def definitions(spark, sf):
+    """Terms that texts define strongly, weakly or not at all, named by the document's numbers."""
+    t = F.when(F.col("k") == 6, F.lit("本法所称合同，是指协议。The word Party means nothing here.")).otherwise(
+        F.format_string("“Goods %d” means all things. Unit %d shall mean a measure. 本法所称动产%d号，是指可移动的财产。\n不动产%d是指土地。", "a", "b", "b", "k"))
+    return graph.definitions(made(spark, sf).select("doc_id", t.alias("text")), "doc_id").withColumnRenamed("article_id", "doc_id")
+
+
+DEF_SQL = f"""WITH {MADE}
+SELECT doc_id, 'Goods ' || a AS term, 95e-2 AS conf FROM m WHERE k <> 6 UNION ALL SELECT doc_id, 'Unit ' || b, 7e-1 FROM m WHERE k <> 6
+UNION ALL SELECT doc_id, '动产' || b || '号', 95e-2 FROM m WHERE k <> 6 UNION ALL SELECT doc_id, '不动产' || k, 6e-1 FROM m WHERE k <> 6
+UNION ALL SELECT doc_id, 'The word Party', 7e-1 FROM m WHERE k = 6"""
+
+
+def _by_source(spark, sf, piece, head=""):
+    """One text a source: a head line, then a piece for each of its documents in order."""
+    g = made(spark, sf).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", piece.alias("piece")))).alias("ps"))
+    return g.select("source", F.concat(F.lit(head), F.array_join("ps.piece", "\n")).alias("text"))
+
+
+def parse_articles_en(spark, sf):
+    """Statutes of a section for each document of a source, a new part wherever its id is divisible by seven."""
+    part = F.when(F.col("k") == 0, F.format_string("PART %d. GROUP %d\n", "a", "b")).otherwise("")
+    t = _by_source(spark, sf, F.concat(part, F.format_string("§ %d-%d. Title %d. It applies\nto goods of kind %d.", "k", "doc_id", "b", "a")), "ARTICLE 2 - SALES\n")
+    return parse.by_lines(parse.lines_of(t, "source"), "en", "source").select("source", "n", "chapter", "section", "article_no", "article_id", "text")
+
+
+EN_SQL = f"""WITH {MADE}, o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, last_value(CASE WHEN k = 0 THEN 'Part ' || a || ' GROUP ' || b END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id) AS part FROM m)
+SELECT source, n, 'Article 2 SALES' AS chapter, coalesce(part, '') AS section, '§ ' || k || '-' || doc_id AS article_no, k || '-' || doc_id AS article_id, 'Title ' || b || '. It applies to goods of kind ' || a || '.' AS text FROM o"""
+
+
+def parse_articles_zh(spark, sf):
+    """Laws of an article for each document of a source, with parts, chapters and a marker that a line break splits."""
+    head = F.when(F.col("k") == 0, F.concat(F.lit("第"), chinese(F.col("b")), F.lit("编 分则\n"))).when(F.col("k") == 3, F.concat(F.lit("第"), chinese(F.col("a")), F.lit("章 规定\n"))).otherwise("")
+    no = F.when(F.col("k") == 5, F.concat(F.lit("第一千\n"), chinese(F.col("a") % 99 + 1), F.lit("条"))).otherwise(F.concat(F.lit("第"), chinese(F.col("a")), F.lit("条")))
+    t = _by_source(spark, sf, F.concat(head, no, F.lit(" "), F.format_string("本条有%d项，\n共%d款。", "b", "n_chars")))
+    return parse.by_lines(parse.lines_of(t, "source"), "zh", "source").select("source", "n", F.regexp_replace("part", "第.*编", "编").alias("part"), F.col("chapter") != "", "article_id", "text").toDF("source", "n", "part", "in_chapter", "article_id", "text")
+
+
+ZH_SQL = f"""WITH {MADE}, o AS (SELECT *, row_number() OVER w AS n, max(CASE WHEN k = 0 THEN doc_id END) OVER w AS part_at, max(CASE WHEN k = 3 THEN doc_id END) OVER w AS chapter_at FROM m WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+SELECT source, n, CASE WHEN part_at IS NULL THEN '' ELSE '编 分则' END AS part, chapter_at IS NOT NULL AND chapter_at > coalesce(part_at, -1) AS in_chapter,
+       CAST(CASE WHEN k = 5 THEN 1000 + a % 99 + 1 ELSE a END AS VARCHAR) AS article_id, '本条有' || b || '项，共' || n_chars || '款。' AS text FROM o"""
+
+
+def parse_by_scan(spark, sf):
+    """Articles in running text without lines; a marker after 依照 cites and starts none."""
+    g = made(spark, sf).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.concat(F.lit("第"), chinese(F.col("a")), F.format_string("条 内容%d。依照第九条办理。", "b")).alias("piece")))).alias("ps"))
+    return parse.by_scan(g.select("source", F.array_join("ps.piece", "").alias("text")), "zh", "source").select("source", "n", "article_id", "text")
+
+
+SCAN_SQL = f"""WITH {MADE} SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, CAST(a AS VARCHAR) AS article_id, '内容' || b || '。依照第九条办理。' AS text FROM m"""
+
+
+def layout_lines(spark, sf):
+    """Words of a page for each document: two on a line that lie apart or touch, one below; given in any order."""
+    w = lambda t, x0, x1, top: F.struct(t.alias("text"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"))
+    a, b, k = F.col("a"), F.col("b"), F.col("k")
+    words = F.array(w(F.concat(F.lit("w"), b.cast("string")), F.lit(20) + k, F.lit(50), F.lit(100.5)), w(F.concat(F.lit("v"), a.cast("string")), F.lit(0), F.lit(18), F.lit(100)), w(F.lit("low"), F.lit(0), F.lit(9), F.lit(103) + k))
+    d = made(spark, sf).select(F.col("source"), F.col("doc_id").alias("page"), F.inline(words))
+    return parse.layout_lines(d, page=["source", "page"]).select(F.col("page").alias("doc_id"), "line", "text")
+
+
+LAYOUT_SQL = f"""WITH {MADE} SELECT doc_id, 1 AS line, 'v' || a || ' w' || b AS text FROM m UNION ALL SELECT doc_id, 2, 'low' FROM m"""
+
+
+def line_merge(spark, sf):
+    """Lines that go on, end a sentence, begin a list item or a heading, or are blank, joined into paragraphs."""
+    n = F.col("b").cast("string")
+    lines = F.array(F.concat(F.lit("the quick "), n), F.lit("brown fox."), F.concat(F.lit("合同是"), n), F.lit("协议"), F.when(F.col("k") < 3, "(a) one").when(F.col("k") < 5, "").otherwise("第一章 总则"), F.lit("end"))
+    return made(spark, sf).select("doc_id", F.posexplode(text.merged_lines(lines)).alias("n", "p"))
+
+
+MERGE_SQL = f"""WITH {MADE}, p AS (SELECT doc_id, CASE WHEN k < 3 THEN ['the quick ' || b || ' brown fox.', '合同是' || b || '协议', '(a) one end'] WHEN k < 5 THEN ['the quick ' || b || ' brown fox.', '合同是' || b || '协议', 'end']
+  ELSE ['the quick ' || b || ' brown fox.', '合同是' || b || '协议', '第一章 总则end'] END AS ps FROM m)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, ps[i] AS p FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)"""
+
+
+def model_answers(spark, sf):
+    """Scores, objects, marked answers and list items read from answers made for each document."""
+    j = F.when(F.col("k") == 0, "no number").when(F.col("k") == 1, F.format_string("about %d of 1000", "a")).otherwise(F.format_string('x {"score": %d.5, "id": %d} y', "k", "doc_id"))
+    a = F.when(F.col("k") == 2, F.format_string("plain %d", "b")).otherwise(F.format_string("Thinking. Answer: %d  Answer: no", "b"))
+    items = F.format_string("- first %d\n2) second\n\n* %d. third", "a", "b")
+    return made(spark, sf).select("doc_id", text.first_score(j).alias("score"), text.json_object(j).alias("obj"), text.after_marker(a, "Answer:").alias("answer"), F.array_join(text.list_items(items), "|").alias("items"))
+
+
+ANSWER_SQL = f"""WITH {MADE} SELECT doc_id, CASE WHEN k = 0 THEN 1e0 WHEN k = 1 THEN CAST(least(a, 10) AS DOUBLE) ELSE k + 5e-1 END AS score,
+  CASE WHEN k > 1 THEN '{{"score": ' || k || '.5, "id": ' || doc_id || '}}' END AS obj, CASE WHEN k = 2 THEN 'plain ' || b ELSE b || '  Answer: no' END AS answer,
+  'first ' || a || '|second|' || b || '. third' AS items FROM m"""
+
+STRUCTURED = {
+    "numerals": (numerals, NUMERAL_SQL),
+    "citations": (citations, CITE_SQL),
+    "definitions": (definitions, DEF_SQL),
+    "parse_articles_zh": (parse_articles_zh, ZH_SQL),
+    "parse_articles_en": (parse_articles_en, EN_SQL),
+    "parse_by_scan": (parse_by_scan, SCAN_SQL),
+    "layout_lines": (layout_lines, LAYOUT_SQL),
+    "line_merge": (line_merge, MERGE_SQL),
+    "model_answers": (model_answers, ANSWER_SQL),
+}
 
 QUERIES = {
     "lang_detect": lang_detect, "lang_stats": lang_stats, "route_questions": route_questions, "route_documents": route_documents, "agent_scope": agent_scope, "decompose": decompose, "usable_questions": usable_questions,
     "text_normalize": text_normalize, "sentence_split": sentence_split, "chunk_fixed": chunk_fixed, "paragraph_split": paragraph_split, "label_head": label_head, "doc_ids": doc_ids, "title_helpers": title_helpers,
     "html_extract": html_extract, "html_links": html_links, "corpus_dedup": corpus_dedup, "sample_rows": sample_rows, "embedding_dedup": embedding_dedup, "quality_gate": quality_gate, "stream_ingest": stream_ingest, "stream_postings": stream_postings,
-    **{k: q for k, (q, _) in FIXTURES.items()},
+    **{k: q for k, (q, _) in STRUCTURED.items()},
 }
 _ZH_N, _LA_N = "len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]'))", "len(regexp_extract_all(text, '[A-Za-z]'))"
 SQL = {
@@ -296,5 +401,5 @@ SQL = {
     "quality_gate": GATE_SQL,
     "stream_ingest": "SELECT doc_id, length(text) AS n, source FROM documents",
     "stream_postings": "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')) AS term FROM documents) GROUP BY term",
-    **{k: s for k, (_, s) in FIXTURES.items()},
+    **{k: s for k, (_, s) in STRUCTURED.items()},
 }
