@@ -10,6 +10,8 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the pre-token pattern of byte-level BPE files of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,20 +48,21 @@ class Encoder:
         self.at: dict[str, int] = {}  # of a word after a space: its place in start and size
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.at) + len(new) > self.most and self.at:
-            raise OverflowError
+    def _learn(self, new: list[str], size: np.ndarray) -> None:
+        """Encodes words, of so many bytes each, as they are after a space."""
         ids = np.array(self.enc.encode_ordinary("".join([" " + w for w in new])), np.uint32)
-        ends = np.cumsum(np.fromiter((len(w.encode("utf-8")) + 1 for w in new), np.int64, len(new)))
-        stop = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left") + 1
+        stop = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size + 1), "left") + 1
         begin = np.concatenate(([0], stop[:-1]))
         self.start = np.concatenate((self.start, begin + len(self.flat)))
         self.size = np.concatenate((self.size, stop - begin))
         self.flat = np.concatenate((self.flat, ids))
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 32-bit arrays."""
+    def encode(self, texts: list[str] | pa.Array, most: int = 16_000_000) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit arrays. Texts are split and their distinct words told apart by Arrow,
+        about `most` characters at a time."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = column.to_pylist()
         out: list[np.ndarray | None] = [None] * len(texts)
         run, size = [], 0
         for i, t in enumerate(texts):
@@ -68,33 +71,33 @@ class Encoder:
                 continue
             run.append(i)
             size += len(t)
-            if size > 2_000_000:
-                self._run(texts, run, out)
+            if size > most:
+                self._run(column, run, out)
                 run, size = [], 0
         if run:
-            self._run(texts, run, out)
+            self._run(column, run, out)
         return out
 
-    def _run(self, texts: list[str], run: list[int], out: list) -> None:
-        words: list[str] = []
-        heads, count = [], []
-        for i in run:
-            w = texts[i].split(" ")
-            heads.append(np.array(self.enc.encode_ordinary(w[0]), np.uint32))
-            count.append(len(w) - 1)
-            words += w[1:]
-        new = [w for w in set(words) if w not in self.at]
-        try:
-            if new:
-                self._learn(new)
-        except OverflowError:
-            self.clear()
-            self._learn(list(set(words)))
-        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        cut = np.concatenate(([0], ends))[np.cumsum(count)]
+    def _run(self, column: pa.Array, run: list[int], out: list) -> None:
+        split = pc.split_pattern(column.take(pa.array(run, pa.int64())), " ")
+        first = split.offsets.to_numpy()
+        known = split.flatten().dictionary_encode()
+        which, words, size = known.indices.to_numpy(), known.dictionary.to_pylist(), pc.binary_length(known.dictionary).to_numpy().astype(np.int64)
+        get = self.at.get
+        at = np.array([get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.at) + len(new) > self.most:
+                self.clear()
+                new = np.arange(len(words))
+            at[new] = np.arange(len(self.at), len(self.at) + len(new))
+            self._learn([words[k] for k in new], size[new])
+        heads = [np.array(self.enc.encode_ordinary(words[k]), np.uint32) for k in which[first[:-1]]]
+        n = self.size[at][which]
+        n[first[:-1]] = 0  # the first word has no space before it
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.start[at][which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = ends[first[1:] - 1]
         begin = 0
         for i, head, stop in zip(run, heads, cut.tolist()):
             out[i] = np.concatenate((head, ids[begin:stop]))

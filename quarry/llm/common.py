@@ -65,8 +65,9 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
 
 
 def slices(batches, column: str = "text", most: int = 2_000_000):
-    """Even slices of Arrow batches, about `most` bytes of the column each (one longer row is a slice of its own): what
-    Python holds of the texts at once stays small whatever the batch size. Freed memory goes back to the system."""
+    """Even slices of Arrow batches, about `most` bytes of the column each (one longer row is a slice of its own), smaller
+    batches joined: what Python holds of the texts at once stays small whatever the batch size. Freed memory goes back to
+    the system."""
     import ctypes
 
     import numpy as np
@@ -77,11 +78,26 @@ def slices(batches, column: str = "text", most: int = 2_000_000):
         trim = ctypes.CDLL(None).malloc_trim
     except (AttributeError, OSError):  # another C library
         trim = lambda _: 0
+    place = lambda b: b.column(b.schema.get_field_index(column))
+
+    def joined():
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = place(b).nbytes
+            if held and size + n > 1.25 * most:
+                yield held
+                held, size = [], 0
+            held.append(b)
+            size += n
+        if held:
+            yield held
+
     passed = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    for held in joined():
+        b = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        size = np.cumsum(pc.fill_null(pc.binary_length(place(b)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
         each = size[-1] / max(1, round(size[-1] / most))
         s = 0
         while s < b.num_rows:

@@ -128,8 +128,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     def run(batches):
         enc = bpe.encoder(file.value)
         bins = Bins(TaskContext.get().partitionId(), capacity, least_gap, waiting)
-        for b in slices(batches, most=8_000_000):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+        for b in slices(batches, most=16_000_000):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 bins.add(doc, np.append(ids, np.uint32(end_id)).astype("<u4"))
             yield _batch(bins.out)
             bins.out = []
