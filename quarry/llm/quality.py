@@ -165,8 +165,9 @@ def score(model: dict, texts: list[str]) -> np.ndarray:
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs.
 
-    Null and empty texts get the score of their structure; repeated rows score alike; labels other than 0 and 1 and null
-    ids teach nothing; empty tables give no rows, or scores of 0.5 where only labels are missing."""
+    Null and empty texts get the score of their structure; very long texts are described whole; repeated rows score
+    alike; labels other than 0 and 1 and null ids teach nothing; ties in the sample's order go by id and label; empty
+    tables give no rows, or scores of 0.5 where only labels are missing; columns beside doc_id and text are ignored."""
     return scored(docs, score, docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample)), *HELD_OUT, CUT)
 
 
