@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sentence ends, numeral characters and what they stand for.
 TERMINATORS = "。！？!?；;"
@@ -63,6 +64,37 @@ def normalised(c) -> Column:
     return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$", "")
 
 
+def nfkc(c) -> Column:
+    """Compatibility-composed text (full-width forms, ligatures), for texts from page layouts. No JVM function composes,
+    so the rows go through pandas in Arrow batches."""
+    return _compose(text_of(c))
+
+
+@F.pandas_udf(T.StringType())
+def _compose(s):
+    return s.str.normalize("NFKC")
+
+
+def mixed_lang(c) -> Column:
+    """Whether a text holds both CJK characters and Latin letters."""
+    t = text_of(c)
+    return t.rlike("[\u4e00-\u9fff]") & t.rlike("[A-Za-z]")
+
+
+def coerced_text(*columns) -> Column:
+    """The first of the columns that is neither null nor blank, empty if none is: a record's text under any of its names."""
+    return F.coalesce(*[F.when(F.trim(F.col(c)) != "", F.col(c)) for c in columns], F.lit(""))
+
+
+def complete_items(c, field: str) -> Column:
+    """The complete strings of a JSON array named `field` in text that may break off: what a reader of a stream can show.
+
+    A string counts once its closing quote is there; escapes are resolved by the JSON reader."""
+    body = F.regexp_extract(text_of(c), f"(?s)\"{field}\"\\s*:\\s*\\[((?:\\s*\"(?:[^\"\\\\]|\\\\.)*+\"\\s*,?)*)", 1)
+    whole = F.regexp_extract_all(body, F.lit("\"(?:[^\"\\\\]|\\\\.)*+\""), F.lit(0))
+    return F.coalesce(F.from_json(F.concat(F.lit("["), F.array_join(whole, ","), F.lit("]")), "array<string>"), F.array().cast("array<string>"))
+
+
 def sentences(c, terminators: str = TERMINATORS) -> Column:
     """Trimmed non-blank sentences, each with its terminator."""
     found = F.regexp_extract_all(text_of(c), F.lit(f"[^{terminators}]*[{terminators}]|[^{terminators}]+"), F.lit(0))

@@ -52,6 +52,17 @@ def top(scores: DataFrame, k: int | Column, qid: str = "query_id", key: str = "d
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def padded(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, qid: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """hits(query, key, score, rank), at most k a query, filled up to k with chunks of score 0 in key order.
+
+    A query has at most k hits, so its missing ones are among the 2k least keys; only these rows are broadcast."""
+    least = chunks.select(key).distinct().orderBy(key).limit(2 * k)
+    zero = queries.select(qid).distinct().crossJoin(F.broadcast(least)).join(hits.select(qid, key), [qid, key], "left_anti").withColumn("score", d(0))
+    both = hits.select(qid, key, "score", F.lit(0).alias("zero")).unionByName(zero.withColumn("zero", F.lit(1)))
+    w = Window.partitionBy(qid).orderBy("zero", F.round("score", 9).desc(), key)
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("zero")
+
+
 class Index:
     """Postings, terms and statistics of a set of chunks, written once as the tables that all searches read; texts are
     tokenised once. With a registry they are a version there, which open() reads again in any session."""

@@ -35,3 +35,10 @@ def search(queries: DataFrame, cases: DataFrame, k: int = 10, dense: DataFrame |
     if keep is not None:
         top = top.join(cases.where(keep).select(key), key, "left_semi")
     return reranked_order(top, qid, key).where(F.col("rank") <= k)
+
+
+def add_cases(new: DataFrame, folder: str, key: str = "id") -> int:
+    """Appends the cases whose id the stored table lacks; how many. A search after it indexes the table as it is then."""
+    from ..sources.readers import append_new
+
+    return append_new(new, folder, key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrow import groups
-from ..functions.scores import cosine, d
+from ..functions.scores import d, dot
 
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 32_768
 
@@ -47,6 +47,54 @@ def top_inner(queries: DataFrame, corpus: DataFrame, k: int, qid: str = "query_i
     return out.select(F.col("q").alias(qid), F.col("c").alias(key), "score", "rank")
 
 
+def embedded(rows: DataFrame, model, text: str = "text", prefix: str = "", most: int = 512, name: str = "embedding") -> DataFrame:
+    """rows with a vector of each text: `model` maps a text column to a vector column (a pandas_udf, say). Questions get an
+    instruction as prefix, passages none; texts are cut to `most` words, as the model reads no more."""
+    words = F.slice(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), "\\s+"), 1, most)
+    return rows.withColumn(name, model(F.concat(F.lit(prefix), F.array_join(words, " "))))
+
+
+def hashed_text(size: int = 8):
+    """A model without weights for embedded(): the summed vectors of a text's tokens, of length 1."""
+    from ..functions.text import tokens
+
+    def model(c):
+        zero = F.array(*[d(0)] * size)
+        total = F.aggregate(F.transform(tokens(c), lambda t: char_vector(t, size)), zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+        norm = F.sqrt(F.aggregate(total, d(0), lambda a, x: a + x * x))
+        return F.transform(total, lambda x: F.when(norm > 0, x / norm).otherwise(d(0)))
+
+    return model
+
+
+def add_vectors(new: DataFrame, folder: str, key: str = "doc_id") -> int:
+    """Appends the vectors whose key the stored table lacks; how many."""
+    from ..sources.readers import append_new
+
+    return append_new(new, folder, key)
+
+
+def token_vectors(chunks: DataFrame, key: str = "doc_id", text: str = "text", most: int = 220, vector=None) -> DataFrame:
+    """(key, dv): the vectors of the distinct tokens among the first `most` of each chunk, what late interaction reads."""
+    from ..functions.text import tokens
+
+    t = chunks.select(key, F.explode(F.array_distinct(F.slice(tokens(text), 1, most))).alias("tok"))
+    return t.select(key, (vector or char_vector)(F.col("tok")).alias("dv"))
+
+
+def late_channel(questions: DataFrame, chunks: DataFrame, candidates: DataFrame, k: int, qid: str = "query_id", key: str = "doc_id", text: str = "text", vector=None, size: int | None = None) -> DataFrame:
+    """(query, key, score): the k best of each question by late interaction among its candidates(query, key). Only the
+    candidates' texts are read; each question token counts as often as it stands there."""
+    from ..functions.text import tokens
+
+    q = questions.select(qid, F.posexplode(tokens(text)).alias("pos", "tok")).select(qid, "pos", (vector or char_vector)(F.col("tok")).alias("qv"))
+    c = candidates.select(qid, key).distinct()
+    t = token_vectors(chunks.join(c.select(key).distinct(), key, "left_semi"), key, text, vector=vector)
+    s = max_sim(q, t, c, qid, key, size or (8 if vector is None else None))
+    w = Window.partitionBy(qid).orderBy(F.round("score", 9).desc(), key)
+    return s.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
 def char_vector(token, size: int = 8):
     """A vector of a token from its character pairs (feature hashing), for late interaction without a model."""
     padded = F.concat(F.lit("^"), token, F.lit("$"))
@@ -54,12 +102,15 @@ def char_vector(token, size: int = 8):
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(pairs, lambda p: p == k)).cast("double"))
 
 
-def max_sim(query_tokens: DataFrame, doc_tokens: DataFrame, candidates: DataFrame, qid: str = "query_id", key: str = "doc_id") -> DataFrame:
+def max_sim(query_tokens: DataFrame, doc_tokens: DataFrame, candidates: DataFrame, qid: str = "query_id", key: str = "doc_id", size: int | None = None, eps: float = 1e-8) -> DataFrame:
     """(query, key, score): for each query token its best cosine among the candidate's tokens, summed.
 
-    query_tokens(query, pos, qv), doc_tokens(key, dv); candidates(query, key) bound which pairs meet."""
-    met = candidates.join(query_tokens, qid).join(doc_tokens, key)
-    best = met.groupBy(qid, key, "pos").agg(F.max(cosine("qv", "dv")).alias("best"))
+    query_tokens(query, pos, qv), doc_tokens(key, dv); candidates(query, key) bound which pairs meet. Vectors are divided
+    by their norms before they meet; with `size`, their length, a product is plain arithmetic in compiled code."""
+    n = lambda df, c: df.withColumn("__n", F.sqrt(dot(F.col(c), F.col(c))) + d(eps)).withColumn(c, F.transform(c, lambda x: x / F.col("__n"))).drop("__n")
+    met = candidates.join(n(query_tokens, "qv"), qid).join(n(doc_tokens, "dv"), key)
+    product = sum((F.get("qv", F.lit(i)) * F.get("dv", F.lit(i)) for i in range(size)), d(0)) if size else dot("qv", "dv")
+    best = met.groupBy(qid, key, "pos").agg(F.max(product).alias("best"))
     return best.groupBy(qid, key).agg(F.sum("best").alias("score"))
 
 
@@ -67,9 +118,8 @@ def greedy_distinct(pairs: DataFrame, nodes: DataFrame, key: str = "vec_id") ->
     """Keys kept by a greedy pass in key order that drops a key similar to an earlier kept one; pairs(a, b), a < b.
 
     Rounds to a fixed point: a key falls if an earlier neighbour is kept, and is kept once all earlier neighbours have
-    fallen; each round settles at least the first open key of every component. State is written with checkpoint()."""
+    fallen; each round settles at least the first open key of every component. State is written to the shared folder."""
     open_ = nodes.select(F.col(key).alias("id"))
-    spark = nodes.sparkSession
     from ..sources.shared import stored
 
     edges = stored(pairs.select("a", "b").distinct())
@@ -86,7 +136,7 @@ def greedy_distinct(pairs: DataFrame, nodes: DataFrame, key: str = "vec_id") ->
     out = done_kept[0]
     for k in done_kept[1:]:
         out = out.unionByName(k)
-    return out.withColumnRenamed("id", key) if spark else out
+    return out.withColumnRenamed("id", key)
 
 
 def similar_pairs(vectors: DataFrame, cosine_least: float, key: str = "vec_id", block: str = "label", vector: str = "embedding") -> DataFrame:

@@ -43,3 +43,24 @@ def metrics(runs: DataFrame, gold: DataFrame, questions: DataFrame, cutoffs: tup
 def summary(m: DataFrame, columns: list[str], places: int = 3) -> DataFrame:
     """Mean, sample deviation and count of each metric by system."""
     return m.groupBy("system").agg(F.count("*").alias("n"), *[x for c in columns for x in (F.round(F.avg(c), places).alias(f"{c}_mean"), F.round(F.coalesce(F.stddev_samp(c), d(0)), places).alias(f"{c}_std"))])
+
+
+def report(m: DataFrame, columns: list[str], by: str = "recall_10", order: list[str] | None = None) -> DataFrame:
+    """Means of each metric by system with their place: in the order given (systems it lacks go last, by name), else by
+    falling `by`."""
+    g = m.groupBy("system").agg(*[F.avg(c).alias(c) for c in columns])
+    if order:
+        at = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("system"))
+        keys = [F.when(at == 0, F.lit(len(order) + 1)).otherwise(at), F.col("system")]
+    else:
+        keys = [F.col(by).desc(), F.col("system")]
+    return g.withColumn("place", F.row_number().over(Window.orderBy(*keys)))  # a row a system
+
+
+def compared(systems: dict[str, DataFrame], qid: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """runs(system, query, key, rank) of any number of systems' hits in one table, for one pass of metrics()."""
+    out = None
+    for name, hits in systems.items():
+        r = hits.select(F.lit(name).alias("system"), qid, key, "rank")
+        out = r if out is None else out.unionByName(r)
+    return out

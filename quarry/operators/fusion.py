@@ -108,6 +108,28 @@ def rerank(hits: DataFrame, chunks: DataFrame, questions: DataFrame, scorer=over
     return reranked_order(t.unionByName(tail), qid, key)
 
 
+def scored_once(pairs: DataFrame, scorer, memo: DataFrame | None = None, question: str = "q", text: str = "t") -> tuple[DataFrame, DataFrame]:
+    """(pairs with `raw`, memo): each distinct question and text is scored once, and not at all if the memo has it; the
+    memo (q_hash, t_hash, raw) holds the old and the new scores. For scorers that cost more than two joins."""
+    from ..sources.shared import stored
+
+    own = pairs.columns
+    p = pairs.withColumn("q_hash", F.sha2(F.coalesce(question, F.lit("")), 256)).withColumn("t_hash", F.sha2(F.coalesce(text, F.lit("")), 256))
+    key = ["q_hash", "t_hash"]
+    new = p.groupBy(*key).agg(F.first(question).alias(question), F.first(text).alias(text))
+    if memo is not None:
+        new = new.join(memo, key, "left_anti")
+    new = stored(new.select(*key, scorer(F.col(question), F.col(text)).alias("raw")))
+    memo = new if memo is None else memo.select(*key, "raw").unionByName(new)
+    return p.join(memo, key).select(*own, "raw"), memo
+
+
+def chosen_scorer(n: int, model=None, cross_encoder=None, most: int = 30):
+    """The scorer of n hits a question: the language model if there is one and n is at most `most`, else the cross-encoder,
+    else word overlap."""
+    return model if model and n <= most else cross_encoder or overlap_score
+
+
 def parsed_judgement(answer) -> Column:
     """Score in 0 to 1 from a model's answer: the JSON field `score`, else the first number, else 0."""
     from ..functions.text import json_object, text_of

@@ -133,6 +133,35 @@ def budgeted(candidates: DataFrame, caps: dict = CAPS, total: int = TOTAL_CAP) -
     return g.select("src", F.posexplode("e").alias("pos", "e")).select("src", "e.dst", "e.relation", "e.conf", "pos").where("src <> dst")
 
 
+def searchable(chunks: DataFrame, lang: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Vertices (node) a walk may emit: chunks with text, of the language asked for (a chunk without one counts as zh)."""
+    ok = F.trim(text_of(text)) != ""
+    if lang:
+        ok = ok & (F.lower(F.trim(F.coalesce(F.nullif("lang", F.lit("")), F.lit("zh")))) == lang.lower())
+    return chunks.where(ok).select(F.col(key).alias("node"))
+
+
+def built(chunks: DataFrame, group: list[str], order: list[str], caps: dict = CAPS, total: int = TOTAL_CAP, key: str = "article_id", text: str = "text") -> DataFrame:
+    """edges(src, dst, relation, conf, pos) of a corpus: neighbours in each group's order, citations resolved to the
+    chunks they name (`ref` of a chunk is its key), terms defined and used, all within the nodes' budgets, in this order.
+
+    chunks(key, text, ...); every source of edges is one join or window, the budget one fold a node."""
+    seq = sequence_edges(chunks, group, order, key)
+    refs = citations(chunks, key, text)
+    keys = chunks.select(F.col(key).cast("string").alias("ref"), F.col(key).alias("article_id"))
+    keys = keys.unionByName(keys.select(F.concat(F.lit("section:"), "ref").alias("ref"), "article_id"))
+    cite = resolved(refs, keys)
+    place = chunks.select(key, F.struct(*order).alias("pos"))
+    terms = registered(definitions(chunks, key, text).withColumnRenamed("article_id", key), place, key=key)
+    use = containment_edges(terms.select("term", F.col(key).alias("article"), F.xxhash64("term").alias("term_pos")), chunks, caps.get("defined_by", total), key, text)
+    c = None
+    for n, e in enumerate((seq, cite, use)):
+        w = Window.partitionBy("src").orderBy("relation", "dst")
+        e = e.select("src", "dst", "relation", "conf").withColumn("seq", F.row_number().over(w) + n * 10**9)
+        c = e if c is None else c.unionByName(e)
+    return budgeted(c.withColumn("seq", F.col("seq").cast("long")), caps, total)
+
+
 def imported(nodes: DataFrame) -> DataFrame:
     """edges(src, dst, relation, conf, pos) from node rows (article_id, id, neighbors as a JSON array of strings or
     objects): the id may stand under either name; missing relations are `neighbor`, missing or zero confidences 1."""

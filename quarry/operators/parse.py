@@ -165,3 +165,17 @@ def body_of_pages(text) -> Column:
     t = text_of(text)
     toc = F.regexp_extract(F.substring(t, F.lit(1), (F.length(t) / 3).cast("int")), "(?s)^.*(?:\\.{3,}|…+|·{3,})\\s*\\d+[ \\t]*\\n", 0)
     return F.when(toc != "", F.substring(t, F.length(toc) + 1, F.length(t))).otherwise(t)
+
+
+def corpus(raw: DataFrame, lang: str = "zh", gate: dict = GATE, target: int = 650, overlap: int = 90, key: str = "source", text: str = "text") -> DataFrame:
+    """(key, n, article_no, article_id, text) of raw texts: by lines or by scan, whichever reads more; a text whose
+    articles fail the quality gate is cut into chunks instead, numbered from 1."""
+    from ..functions.text import chunked
+    from ..sources.shared import stored
+
+    found = stored(chosen(by_lines(lines_of(raw, key, text), lang, key), by_scan(raw, lang, key, text), key))
+    ok = quality(found, raw.select(key, F.length(text_of(text)).alias("text_len")), key, gate).where("ok").select(key)
+    pieces = raw.join(ok, key, "left_anti").select(key, F.posexplode(chunked(text, target, overlap)).alias("p", "c"))
+    n = (F.col("p") + 1).cast("long")
+    pieces = pieces.select(key, n.alias("n"), F.lit("").alias("article_no"), n.cast("string").alias("article_id"), F.col("c.text").alias("text"))
+    return found.join(ok, key, "left_semi").select(pieces.columns).unionByName(pieces)

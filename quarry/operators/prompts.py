@@ -46,3 +46,23 @@ def answered(prompts: DataFrame, prompt: str = "prompt", model=None, marker: str
 
 def previews(c, most: int = 80) -> Column:
     return F.substring(F.regexp_replace(text_of(c), "\\n", " "), 1, most)
+
+
+def synthesised(chunks: DataFrame, roles: list[str], ask, judge, rewrite=None, least: float = 7.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, role, question, score, rewritten): a question for each chunk and role, kept if it is usable and its judged
+    score reaches `least`, after one rewrite where the first falls short.
+
+    ask(role, text), judge(question, text) and rewrite(question, text) map columns to columns (pandas_udfs over a model,
+    say); judge's answer is read by first_score()."""
+    from ..functions.text import first_score
+    from .routing import usable_question
+
+    c = chunks.withColumn("role", F.explode(F.array(*[F.lit(r) for r in roles])))
+    c = c.withColumn("question", usable_question(ask(F.col("role"), F.col(text)))).where("question is not null")
+    c = c.withColumn("score", first_score(judge(F.col("question"), F.col(text)))).withColumn("rewritten", F.lit(False))
+    if rewrite is not None:
+        again = usable_question(rewrite(F.col("question"), F.col(text)))
+        weak = c.where(F.col("score") < least).withColumn("question", again).where("question is not null")
+        weak = weak.withColumn("score", first_score(judge(F.col("question"), F.col(text)))).withColumn("rewritten", F.lit(True))
+        c = c.where(F.col("score") >= least).unionByName(weak)
+    return c.where(F.col("score") >= least).select(key, "role", "question", "score", "rewritten")

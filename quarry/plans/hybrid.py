@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +30,20 @@ class Config:
     beta: float = fusion.RERANK_BETA
 
 
+    @classmethod
+    def load(cls, spark, path: str) -> Config:
+        """Settings from a JSON file anywhere Spark reads; fields it lacks keep their defaults, unknown ones are ignored."""
+        known = {f.name for f in fields(cls)}
+        return cls(**{k: v for k, v in json.loads(spark.read.text(path, wholetext=True).first()[0]).items() if k in known})
+
+
 class HybridSearch:
-    """chunks(doc_id, text), optional vectors(doc_id, embedding) and edges(src, dst, relation, conf, pos)."""
+    """chunks(doc_id, text), optional vectors(doc_id, embedding) and edges(src, dst, relation, conf, pos). With `late`, late
+    interaction scores the candidates of the other channels; it maps a token column to a vector column (True: hashed
+    character pairs)."""
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, config: Config | None = None, index: bm25.Index | None = None):
+    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, edges: DataFrame | None = None, config: Config | None = None, index: bm25.Index | None = None, late=None):
+        self.late = late
         self.chunks, self.vectors, self.edges, self.config = chunks, vectors, edges, config or Config()
         self.index = index or bm25.Index(chunks)
 
@@ -42,6 +53,10 @@ class HybridSearch:
         if self.vectors is not None and "embedding" in questions.columns:
             v = dense.top_inner(questions.select("query_id", "embedding"), self.vectors, k)
             runs = runs.unionByName(v.select("query_id", "doc_id", F.lit("dense").alias("channel"), "score"))
+        if self.late:
+            runs = stored(runs)
+            found = dense.late_channel(questions.select("query_id", "text"), self.chunks, runs, k, vector=None if self.late is True else self.late)
+            runs = runs.unionByName(found.select("query_id", "doc_id", F.lit("colbert").alias("channel"), "score"))
         return runs
 
     def search(self, questions: DataFrame, k: int | None = None) -> DataFrame:
@@ -66,7 +81,7 @@ class HybridSearch:
         c = self.config
         graph_q = q.where(F.col("mode") == "GRAPH_AUGMENTED").select("query_id", "text")
         seeds = hits.join(graph_q.select("query_id"), "query_id", "left_semi").where(F.col("rank") <= c.seeds)
-        w = graph.walk(seeds.select("query_id", F.col("doc_id").alias("node"), F.col("rank").alias("ord")), self.edges, self.chunks.select(F.col("doc_id").alias("node")), c.depths, c.walk_limit)
+        w = graph.walk(seeds.select("query_id", F.col("doc_id").alias("node"), F.col("rank").alias("ord")), self.edges, graph.searchable(self.chunks), c.depths, c.walk_limit)
         t = w.join(graph_q.withColumnRenamed("text", "__q"), "query_id").join(self.chunks.select(F.col("doc_id").alias("node"), F.col("text").alias("__t")), "node")
         s = graph.scored(t, fusion.overlap_score(F.col("__q"), F.col("__t")), c.gamma)
         return s.select("query_id", F.col("node").alias("doc_id"), "score", F.array(F.lit("graph")).alias("channels"), F.lit(0).alias("rank"))

@@ -222,7 +222,7 @@ def late_interaction(spark, sf):
     cand = index(spark, sf).search(q, 10).select("query_id", "doc_id")
     qt = q.select("query_id", F.posexplode(F.array_distinct(tokens("text"))).alias("pos", "tok")).withColumn("qv", dense.char_vector(F.col("tok"))).drop("tok")
     dt = dd.join(cand.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("tok")).withColumn("dv", dense.char_vector(F.col("tok"))).drop("tok")
-    s = dense.max_sim(qt, dt, cand)
+    s = dense.max_sim(qt, dt, cand, size=8)
     return s.select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
@@ -314,6 +314,59 @@ f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DE
 SELECT query_id, doc_id AS id, round(s, 6) AS score, rank FROM f WHERE rank <= 10"""
 
 
+def bm25_by_lang(spark, sf):
+    """The ten best documents of each passage among those of one language, which its id deals to it."""
+    lang = F.get(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.col("query_id") % 4).cast("int"))
+    return bm25.search_by_lang(items(spark, sf).withColumn("lang", lang), texts(spark, sf), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+BY_LANG_SQL = f"""WITH d AS (SELECT doc_id, lang, {TOK} AS toks FROM documents),
+t AS (SELECT lang, doc_id, len(toks) AS dl, unnest(toks) AS term FROM d),
+post AS (SELECT lang, term, doc_id, CAST(dl AS DOUBLE) AS dl, CAST(count(*) AS DOUBLE) AS tf FROM t GROUP BY lang, term, doc_id, dl),
+st AS (SELECT lang, CAST(count(*) AS DOUBLE) AS n, avg(CAST(len(toks) AS DOUBLE)) AS avgdl FROM d GROUP BY lang),
+df AS (SELECT lang, term, count(*) AS df FROM post GROUP BY lang, term),
+raw AS (SELECT lang, term, ln(n - df + 5e-1) - ln(df + 5e-1) AS raw FROM df JOIN st USING (lang)),
+mean AS (SELECT lang, avg(raw) AS mean FROM raw GROUP BY lang),
+terms AS (SELECT lang, term, CASE WHEN raw < 0 THEN 25e-2 * mean ELSE raw END AS idf FROM raw JOIN mean USING (lang)),
+q AS (SELECT query_id, lang, term, CAST(count(*) AS DOUBLE) AS qtf FROM (SELECT item_id AS query_id, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS lang, unnest({TOK}) AS term FROM benchmark) GROUP BY query_id, lang, term),
+sc AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl))) AS score FROM q JOIN terms USING (lang, term) JOIN post USING (lang, term) JOIN st USING (lang) GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 10"""
+
+
+def bm25_padded(spark, sf):
+    """Hits of each passage with a positive score of 20 at least, filled up with documents of score 0 to ten."""
+    q = items(spark, sf)
+    hits = index(spark, sf).search(q, 10, least=20.0)
+    return bm25.padded(hits, q, docs(spark, sf), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+PADDED_SQL = f"""WITH {BM25},
+h AS (SELECT query_id, doc_id, score, 0 AS zero FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS n FROM sc WHERE score > 20) WHERE n <= 10),
+z AS (SELECT item_id AS query_id, doc_id, 0e0 AS score, 1 AS zero FROM benchmark, documents WHERE (item_id, doc_id) NOT IN (SELECT query_id, doc_id FROM h))
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY zero, round(score, 9) DESC, doc_id) AS rank FROM (SELECT * FROM h UNION ALL SELECT * FROM z)) WHERE rank <= 10"""
+
+
+def eval_report(spark, sf):
+    """Systems by falling recall at ten."""
+    return evaluate.report(eval_metrics(spark, sf), ["recall_10", "mrr_10"]).select("system", "place", F.round("recall_10", 6).alias("recall_10"), F.round("mrr_10", 6).alias("mrr_10"))
+
+
+def hybrid_graph_search(spark, sf):
+    """Questions on the meaning of each passage: lexical, dense and late-interaction channels, fusion, a walk over the
+    documents' edges from the first hits, rerank. No SQL; a test compares it with a plain model."""
+    from .queries_graph import _edges
+
+    v = vectors(spark, sf).select("doc_id", "embedding").join(docs(spark, sf).select("doc_id"), "doc_id", "left_semi")
+    q = items(spark, sf).join(v.withColumnRenamed("doc_id", "query_id"), "query_id", "left").withColumn("text", F.concat(F.lit("what is meaning of "), F.col("text")))
+    ix = index(spark, sf)
+    return graph_search(q, docs(spark, sf), v, _edges(spark, sf), ix).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", F.array_join("channels", ",").alias("channels"))
+
+
+def graph_search(questions: DataFrame, chunks: DataFrame, vecs: DataFrame, edges: DataFrame, ix: bm25.Index, k: int = 10, config: Config | None = None) -> DataFrame:
+    """HybridSearch with every channel."""
+    return HybridSearch(chunks, vecs, edges, config, ix, late=True).search(questions, k)
+
+
 def prompt_context(spark, sf):
     hits = index(spark, sf).search(items(spark, sf), 3)
     return prompts.context(hits, docs(spark, sf))
@@ -362,6 +415,10 @@ QUERIES = {
     "hybrid_search": hybrid_search,
     "eval_metrics": eval_metrics,
     "eval_summary": eval_summary,
+    "eval_report": eval_report,
+    "bm25_by_lang": bm25_by_lang,
+    "bm25_padded": bm25_padded,
+    "hybrid_graph_search": hybrid_graph_search,
     "case_search": case_search,
     "prompt_context": prompt_context,
     "answer_degraded": answer_degraded,
@@ -395,6 +452,9 @@ WHERE rank <= 11 AND query_id <> doc_id GROUP BY query_id""",
     "hybrid_search": hybrid_sql(),
     "eval_metrics": f"WITH {_eval_ctes()} SELECT system, query_id, {', '.join(f'round({c}, 6) AS {c}' for c in METRICS)} FROM m",
     "eval_summary": eval_summary_sql(),
+    "eval_report": f"WITH {_eval_ctes()}, x AS (SELECT system, avg(round(recall_10, 6)) AS r, avg(round(mrr_10, 6)) AS m FROM m GROUP BY system) SELECT system, CAST(row_number() OVER (ORDER BY r DESC, system) AS INTEGER) AS place, round(r, 6) AS recall_10, round(m, 6) AS mrr_10 FROM x",
+    "bm25_by_lang": BY_LANG_SQL,
+    "bm25_padded": PADDED_SQL,
     "case_search": CASE_SQL,
     "prompt_context": PROMPT_SQL,
     "answer_degraded": f"WITH c AS ({PROMPT_SQL}) SELECT query_id, '{prompts.DEGRADED}' AS answer, CAST(length(context) AS INTEGER) AS prompt_length FROM c",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import dense, graph, parse, routing
-from ..sources.readers import first_by_id, page_links, page_text
+from ..sources.readers import first_by_id, page_links, page_text, preview
 from ..sources.shared import shared_dir
 from ..streaming.ingest import ingest, ingested_log
 from .queries_search import docs, texts, vectors
@@ -48,12 +48,25 @@ def agent_scope(spark, sf):
 
 
 def decompose(spark, sf):
-    return turns(spark, sf).select("conv_id", "turn", F.posexplode(routing.decomposed("text")).alias("n", "part"))
+    """Turns split on their joining word, which every third and sixth one has in Chinese."""
+    t = F.when(F.col("turn") % 3 == 1, F.replace("text", F.lit(" and "), F.lit("并且"))).when(F.col("turn") % 3 == 2, F.replace("text", F.lit(" and "), F.lit(" 以及 "))).otherwise(F.col("text"))
+    return turns(spark, sf).select("conv_id", "turn", F.posexplode(routing.decomposed(t)).alias("n", "part"))
+
+
+def _asked(spark, sf):
+    """Questions and what only looks like one, of nine forms, about each conversation turn."""
+    n = F.col("turn") % 9
+    forms = [
+        F.concat(F.lit("Can the contract "), F.col("text"), F.lit("?")), F.concat(F.lit("plain words on the contract "), F.col("turn").cast("string")), F.concat(F.lit("What is number "), F.col("turn").cast("string"), F.lit("?")),
+        F.concat(F.lit("依据本法规定，合同是否有效"), F.col("turn").cast("string"), F.lit("？")), F.concat(F.lit("上述合同如何处理"), F.col("turn").cast("string"), F.lit("？")), F.concat(F.lit("应当如何办"), F.col("turn").cast("string"), F.lit("？")),
+        F.concat(F.lit("如何理解合同第十二条效力"), F.col("turn").cast("string")), F.concat(F.lit("什么情况下合同解除"), F.col("turn").cast("string"), F.lit("时")), F.lit("合同？"),
+    ]
+    q = F.coalesce(*[F.when(n == i, f) for i, f in enumerate(forms)])
+    return turns(spark, sf).select("conv_id", "turn", q.alias("q"))
 
 
 def usable_questions(spark, sf):
-    q = turns(spark, sf).withColumn("q", routing.usable_question(F.concat(F.lit("Can the contract "), F.col("text"), F.lit("?"))))
-    return q.select("conv_id", "turn", "q")
+    return _asked(spark, sf).select("conv_id", "turn", routing.usable_question("q").alias("q"))
 
 
 def _contains(t, words):
@@ -84,7 +97,8 @@ SELECT *, array_to_string(list_filter([issue_type, {tag}], lambda x: x <> '' AND
 
 def _usable_sql():
     q = "trim(regexp_replace(replace('Can the contract ' || text || '?', '　', ' '), '\\s+', ' ', 'g'))"
-    return f"SELECT conv_id, turn, CASE WHEN length({q}) BETWEEN 6 AND 200 AND NOT regexp_matches({q}, '{'|'.join(rules.DEICTIC)}') THEN {q} END AS q FROM conversations"
+    ok = f"length({q}) BETWEEN 6 AND 200 AND NOT regexp_matches({q}, '{'|'.join(rules.DEICTIC)}')"
+    return f"""SELECT conv_id, turn, CASE turn % 9 WHEN 0 THEN CASE WHEN {ok} THEN {q} END WHEN 3 THEN '，合同是否有效' || turn || '？' WHEN 6 THEN '如何理解合同效力' || turn END AS q FROM conversations"""
 
 
 def text_normalize(spark, sf):
@@ -356,7 +370,35 @@ ANSWER_SQL = f"""WITH {MADE} SELECT doc_id, CASE WHEN k = 0 THEN 1e0 WHEN k = 1
   CASE WHEN k > 1 THEN '{{"score": ' || k || '.5, "id": ' || doc_id || '}}' END AS obj, CASE WHEN k = 2 THEN 'plain ' || b ELSE b || '  Answer: no' END AS answer,
   'first ' || a || '|second|' || b || '. third' AS items FROM m"""
 
+def partial_items(spark, sf):
+    """The complete items of a list in an answer that breaks off within the list, behind it, or before it."""
+    t = F.when(F.col("k") == 0, "no list").when(F.col("k") < 4, F.format_string('{"title": "x", "items": ["one \\"%d\\"", "two\\n%d", "thr', "a", "b")).otherwise(F.format_string('{"items": ["only %d"], "rest": ["a"', "b"))
+    return made(spark, sf).select("doc_id", F.array_join(text.complete_items(t, "items"), "|").alias("items"))
+
+
+PARTIAL_SQL = f"""WITH {MADE} SELECT doc_id, CASE WHEN k = 0 THEN '' WHEN k < 4 THEN 'one "' || a || '"|two' || chr(10) || b ELSE 'only ' || b END AS items FROM m"""
+
+
+def record_text(spark, sf):
+    """The text of records that keep it under one of three names, its width forms composed, and whether it mixes scripts."""
+    wide = F.translate(F.format_string("No %d of ", "a"), "0123456789", "０１２３４５６７８９")
+    d = made(spark, sf).select("doc_id", F.when(F.col("k") == 0, wide).alias("text"), F.when(F.col("k") < 3, F.concat(wide, F.lit("合同"))).otherwise(" ").alias("content"), F.when(F.col("k") < 6, F.lit("ﬁle")).alias("body"))
+    one = text.coerced_text("text", "content", "body")
+    return d.select("doc_id", text.nfkc(one).alias("text"), text.mixed_lang(one).alias("mixed"))
+
+
+RECORD_SQL = f"""WITH {MADE} SELECT doc_id, CASE WHEN k = 0 THEN 'No ' || a || ' of ' WHEN k < 3 THEN 'No ' || a || ' of 合同' WHEN k < 6 THEN 'file' ELSE '' END AS text, k IN (1, 2) AS mixed FROM m"""
+
+
+def first_rows(spark, sf):
+    """The first fifty documents of those asked for, as a preview gives at most."""
+    return preview(docs(spark, sf).select("doc_id", "source"), 500, ["source", "doc_id"])
+
+
 STRUCTURED = {
+    "partial_items": (partial_items, PARTIAL_SQL),
+    "record_text": (record_text, RECORD_SQL),
+    "first_rows": (first_rows, "SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 50"),
     "numerals": (numerals, NUMERAL_SQL),
     "citations": (citations, CITE_SQL),
     "definitions": (definitions, DEF_SQL),
@@ -384,7 +426,8 @@ SQL = {
          CASE WHEN task_type = 'risk_alert' THEN 3 ELSE 0 END + CASE WHEN issue_type = 'contract_interpretation' THEN 2 ELSE 0 END AS c FROM ({_route_sql()}))""",
     "route_documents": f"SELECT doc_id, {MODE} AS mode, {TASK} AS task, {ISSUE} AS issue, {PART} AS part, {FACTOR} AS factor FROM documents",
     "agent_scope": f"SELECT conv_id, turn, CASE WHEN s > 0 AND k > 0 THEN 'both' WHEN k > s THEN 'case' ELSE 'statute' END AS scope FROM (SELECT conv_id, turn, {_count(LOW, rules.STATUTE_SIGNALS)} AS s, {_count(LOW, rules.CASE_SIGNALS)} + CAST({_contains(LOW, rules.FACT_SIGNALS)} AS INTEGER) AS k FROM conversations)",
-    "decompose": "SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS n, part FROM (SELECT conv_id, turn, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT conv_id, turn, CASE WHEN contains(text, ' and ') THEN list_filter(list_transform(string_split(text, ' and '), lambda x: trim(x)), lambda x: x <> '') ELSE [text] END AS ps FROM conversations))",
+    "decompose": """SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS n, part FROM (SELECT conv_id, turn, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT conv_id, turn, CASE WHEN turn % 3 > 0 OR contains(text, ' and ')
+  THEN list_filter(list_transform(string_split(text, ' and '), lambda x: CASE WHEN contains(text, ' and ') THEN trim(x) ELSE x END), lambda x: x <> '') ELSE [text] END AS ps FROM conversations))""",
     "usable_questions": _usable_sql(),
     "text_normalize": "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\f\\x{3000}]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS normalised, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM documents",
     "sentence_split": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, s AS sentence FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^{ENDS}]*[{ENDS}]|[^{ENDS}]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents))",

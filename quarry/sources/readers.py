@@ -57,6 +57,17 @@ def append_new(d: DataFrame, folder: str, key: str = "id") -> int:
     return n
 
 
+def preview(d: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows in order, n held between 1 and 50."""
+    return d.orderBy(*order).limit(min(max(n, 1), 50))
+
+
+def write_by_suffix(d: DataFrame, path: str) -> None:
+    """d as CSV with a header where the path ends in .csv, else as JSON lines."""
+    w = d.write.mode("overwrite")
+    w.option("header", True).csv(path) if path.endswith(".csv") else w.json(path)
+
+
 def page_text(html) -> Column:
     """Visible text of a page: without scripts, styles and navigation; blocks end lines; blank lines dropped."""
     t = F.regexp_replace(text_of(html), "(?is)<(script|style|noscript|nav|head)\\b.*?</\\1\\s*>", " ")

@@ -2,12 +2,18 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from quarry.operators import bm25, cases, evaluate, fusion, graph, parse, prompts, routing
+from quarry.functions import text
+from quarry.functions.scores import mean_pooled
+from quarry.operators import bm25, cases, dense, evaluate, fusion, graph, parse, prompts, routing
 from quarry.operators.dense import greedy_distinct, top_inner
-from quarry.sources.readers import append_new, chunks, first_by_id, prompt_registry, raw_texts
+from quarry.plans.hybrid import Config, HybridSearch
+from quarry.sources.readers import append_new, chunks, first_by_id, prompt_registry, raw_texts, write_by_suffix
 from quarry.sources.registry import Registry
+from quarry.sources.shared import files_digest
+from quarry.streaming.cache import ResultCache
 from quarry.streaming.ingest import add_batch
 
 
@@ -208,6 +214,164 @@ def test_prompts(spark):
     assert [r[0] for r in j] == [0.4, 1.0, 0.0, 0.0]
 
 
+def test_index_opens_in_another_place(spark, tmp_path):
+    d = spark.createDataFrame([(1, "red cat"), (2, "blue cat sat"), (3, None), (4, "dog dog")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "cat dog")], "query_id long, text string")
+    reg = Registry(spark, f"file://{tmp_path}/ix")
+    built = bm25.Index(d, registry=reg, version="a").search(q, 5).collect()
+    assert reg.complete("a") and not reg.complete("b")
+    reg.activate("a")
+    d2 = d.unionByName(spark.createDataFrame([(5, "cat cat")], d.schema))
+    bm25.Index(d2, registry=reg, version="b")
+    again = bm25.Index.open(Registry(spark, f"file://{tmp_path}/ix")).search(q, 5).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, built)) == sorted(map(tuple, bm25.Index(d).search(q, 5).collect()))
+    reg.activate("b")
+    assert reg.active() == "b" and {r.doc_id for r in bm25.Index.open(reg).search(q, 5).collect()} == {1, 2, 4, 5}
+    assert [f for f in (tmp_path / "ix").iterdir() if f.name.startswith("ACTIVE.")] == []
+    assert bm25.Index(d.limit(0)).search(q, 5).collect() == []
+
+
+def test_digest_follows_the_files(spark, tmp_path):
+    d = spark.range(5)
+    d.write.parquet(f"{tmp_path}/t")
+    a = files_digest(spark, f"file://{tmp_path}/t")
+    assert a == files_digest(spark, f"file://{tmp_path}/t")
+    d.write.mode("append").parquet(f"{tmp_path}/t")
+    assert a != files_digest(spark, f"file://{tmp_path}/t")
+
+
+def test_search_by_language_and_padding(spark):
+    d = spark.createDataFrame([(1, "en", "cat sat"), (2, "de", "cat"), (3, "zh", "合同解除"), (4, "zh", "合同成立")], "doc_id long, lang string, text string")
+    q = spark.createDataFrame([(1, "en", "cat"), (2, "zh", "解除合同")], "query_id long, lang string, text string")
+    got = bm25.search_by_lang(q, d, 2, {"zh": text.tokens_cjk}).collect()
+    assert {(r.query_id, r.doc_id) for r in got} == {(1, 1), (2, 3), (2, 4)} and [r.doc_id for r in got if r.query_id == 2 and r.rank == 1] == [3]
+    assert bm25.search_by_lang(q.limit(0), d, 2).collect() == []
+    p = bm25.padded(spark.createDataFrame([(1, 2, 5.0, 1)], "query_id long, doc_id long, score double, rank int"), q, d, 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id, r.score) for r in p] == [(1, 2, 5.0), (1, 1, 0.0), (1, 3, 0.0), (2, 1, 0.0), (2, 2, 0.0), (2, 3, 0.0)]
+
+
+def test_graph_search_equals_plain_model(spark):
+    """A question that routes to graph mode gets hits that only the walk finds, scored by overlap, decay and weight."""
+    d = spark.createDataFrame([(1, "lease of a house"), (2, "lease ends when notice"), (3, "meaning of notice in writing"), (4, " "), (5, "lease meaning far away")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "what is the meaning of lease"), (2, "lease house")], "query_id long, text string")
+    edges = spark.createDataFrame([(1, 3, "defined_by", 0.9, 0), (1, 4, "next", 1.0, 1), (3, 2, "cite", 1.0, 0)], "src long, dst long, relation string, conf double, pos int")
+    c = Config(seeds=1, least_score=0.0, rerank_window=0)
+    s = HybridSearch(d, edges=edges, config=c)
+    first = {r.query_id: r.doc_id for r in s.index.search(q, 1).collect()}
+    got = s.search(q, 10).collect()
+    by = {(r.query_id, r.doc_id): r for r in got}
+    assert not any("graph" in r.channels for r in got if r.query_id == 2)
+    want = {}
+    adj = {1: [(3, "defined_by", 0.9), (4, "next", 1.0)], 3: [(2, "cite", 1.0)]}
+    words = {"what", "is", "the", "meaning", "of", "lease"}
+    texts = {r.doc_id: set(r.text.split()) for r in d.collect()}
+    weight = {"defined_by": 1.2, "cite": 1.15, "next": 0.95}
+    todo, seen = [(first[1], 0)], {first[1]}
+    while todo:
+        n, depth = todo.pop(0)
+        for t, rel, conf in adj.get(n, []):
+            if t not in seen:
+                seen.add(t)
+                if t != 4:
+                    want[t] = len(words & texts[t]) / len(words) * (2 + depth) ** -0.7 * weight[rel] * conf
+                    todo.append((t, depth + 1))
+    assert {k for k, r in by.items() if "graph" in r.channels} == {(1, t) for t in want}
+    for t, x in want.items():
+        assert by[1, t].score >= x - 1e-12 and (by[1, t].channels != ["graph"] or abs(by[1, t].score - x) < 1e-12)
+    late = HybridSearch(d, config=c, late=True).search(q, 10).collect()
+    assert all("colbert" in r.channels for r in late) and late
+
+
+def test_graph_built_from_a_corpus(spark):
+    rows = [("1", "law", 1, "“Goods” means all movable things."), ("2", "law", 2, "A seller of Goods follows Section 1."), ("3", "law", 3, "See Section 2 and Section 9."), ("4", "other", 1, "Nothing.")]
+    e = graph.built(spark.createDataFrame(rows, "article_id string, source string, n int, text string"), ["source"], ["n"])
+    got = {(r.src, r.dst, r.relation) for r in e.collect()}
+    assert got == {("1", "2", "next"), ("2", "1", "prev"), ("2", "3", "next"), ("3", "2", "prev"), ("2", "1", "cite"), ("1", "2", "cited"), ("3", "2", "cite"), ("2", "3", "cited"), ("2", "1", "defined_by"), ("1", "2", "defines_term")}
+    few = graph.built(spark.createDataFrame(rows, "article_id string, source string, n int, text string"), ["source"], ["n"], total=2)
+    assert max(r["count"] for r in few.groupBy("src").count().collect()) == 2
+    v = spark.createDataFrame([(1, "x", None), (2, " ", "zh"), (3, "y", "en"), (4, "z", "ZH")], "doc_id long, text string, lang string")
+    assert [sorted(r.node for r in graph.searchable(v, x).collect()) for x in (None, "zh", "en")] == [[1, 3, 4], [1, 4], [3]]
+
+
+def test_scores_are_kept(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def scorer(q: pd.Series, t: pd.Series) -> pd.Series:
+        asked.add(len(q))
+        return (q.str.len() + t.str.len()).astype(float)
+
+    p = spark.createDataFrame([(1, "a", "bb"), (2, "a", "bb"), (3, "a", "c")], "i int, q string, t string")
+    out, memo = fusion.scored_once(p, scorer)
+    assert sorted((r.i, r.raw) for r in out.collect()) == [(1, 3.0), (2, 3.0), (3, 2.0)] and asked.value == 2
+    out, memo = fusion.scored_once(p.unionByName(spark.createDataFrame([(4, "z", "z")], p.schema)), scorer, memo)
+    assert sorted((r.i, r.raw) for r in out.collect())[-1] == (4, 2.0) and asked.value == 3 and memo.count() == 3
+    assert fusion.chosen_scorer(30, "m", "c") == "m" and fusion.chosen_scorer(31, "m", "c") == "c" and fusion.chosen_scorer(5) is fusion.overlap_score
+
+
+def test_vectors_and_cases_are_added_once(spark, tmp_path):
+    d = spark.createDataFrame([(1, "red cat"), (2, "")], "doc_id long, text string")
+    v = dense.embedded(d, dense.hashed_text(), most=1)
+    q = dense.embedded(d, dense.hashed_text(), prefix="red ")
+    by = {r.doc_id: r.embedding for r in v.collect()}
+    assert abs(sum(x * x for x in by[1]) - 1) < 1e-9 and by[2] == [0.0] * 8 and {r.doc_id: r.embedding for r in q.collect()}[2] == by[1]
+    assert dense.add_vectors(v, f"file://{tmp_path}/v") == 2 == spark.read.parquet(f"{tmp_path}/v").count() and dense.add_vectors(v, f"file://{tmp_path}/v") == 0
+    c = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "id string, text string")
+    assert cases.add_cases(c, f"file://{tmp_path}/c") == 2 and cases.add_cases(c, f"file://{tmp_path}/c") == 0
+    assert spark.read.parquet(f"{tmp_path}/c").where("id = 'a'").first().text == "x"
+
+
+def test_report_and_files(spark, tmp_path):
+    m = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 1.0), ("c", 1, 0.5)], "system string, query_id int, recall_10 double")
+    assert [r.system for r in evaluate.report(m, ["recall_10"]).orderBy("place").collect()] == ["b", "a", "c"]
+    assert [r.system for r in evaluate.report(m, ["recall_10"], order=["c", "a"]).orderBy("place").collect()] == ["c", "a", "b"]
+    hits = spark.createDataFrame([(1, 10, 1)], "query_id int, doc_id int, rank int")
+    assert sorted(r.system for r in evaluate.compared({x: hits for x in ("bm25", "dense", "colbert", "rrf", "hybrid", "graph")}).collect()) == ["bm25", "colbert", "dense", "graph", "hybrid", "rrf"]
+    for name in ("m.csv", "m.jsonl"):
+        write_by_suffix(m, f"{tmp_path}/{name}")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/m.csv").count() == 3 == spark.read.json(f"{tmp_path}/m.jsonl").count()
+    (tmp_path / "c.json").write_text('{"top_k": 3, "unknown": 1, "gamma": 0.5}')
+    c = Config.load(spark, f"file://{tmp_path}/c.json")
+    assert (c.top_k, c.gamma, c.seeds) == (3, 0.5, 30)
+
+
+def test_corpus_driver(spark):
+    law = "\n".join(f"第{i}条 内容{i}。" for i in range(1, 31))
+    raw = spark.createDataFrame([("law", law), ("note", "没有条文。只有句子。"), ("blank", None)], "source string, text string")
+    got = parse.corpus(raw, target=5, overlap=0, gate={"count": 20, "coverage": 0.3, "gap_ratio": 0.5, "avg_len_ratio": 0.12}).collect()
+    assert [r.article_id for r in sorted(got, key=lambda r: r.n) if r.source == "law"] == [str(i) for i in range(1, 31)]
+    assert [r.text for r in sorted(got, key=lambda r: r.n) if r.source == "note"] == ["没有条文。", "只有句子。"] and not [r for r in got if r.source == "blank"]
+
+
+def test_questions_are_synthesised(spark):
+    d = spark.createDataFrame([(1, "good"), (2, "weak"), (3, "hopeless")], "doc_id long, text string")
+    ask = lambda role, t: F.concat(F.lit("Can the contract be "), t, F.lit("?"))
+    judge = lambda q, t: F.when(q.contains("good") | q.contains("again"), "score 8").otherwise("3")
+    rewrite = lambda q, t: F.when(t == "weak", F.lit("Can the contract end again?")).otherwise(F.lit("no question"))
+    got = prompts.synthesised(d, ["buyer", "judge"], ask, judge, rewrite).collect()
+    assert {(r.doc_id, r.role, r.rewritten) for r in got} == {(1, "buyer", False), (1, "judge", False), (2, "buyer", True), (2, "judge", True)}
+
+
+def test_result_cache(spark, tmp_path):
+    c = ResultCache(spark, f"file://{tmp_path}/cache", ttl=900)
+    at = lambda s: F.lit(s).cast("timestamp")
+    r = spark.createDataFrame([("q1", 10), ("q1", 11), ("q2", 12)], "question string, doc_id int")
+    c.put(r, now=at("2024-01-01 00:00:00"))
+    c.put(r.where("doc_id = 11"), now=at("2024-01-01 00:10:00"))
+    ask = lambda now: sorted((x.question, x.doc_id) for x in c.get(r.select("question"), now=at(now)).collect())
+    assert ask("2024-01-01 00:11:00") == [("q1", 11), ("q2", 12)] and ask("2024-01-01 00:20:00") == [("q1", 11)] and ask("2024-01-01 01:00:00") == []
+
+
+def test_text_helpers(spark):
+    d = spark.createDataFrame([("12A(b)(1)", "ﬁ Ａ１", "[1.0]"), ("x", None, None)], "a string, b string, c string")
+    r = d.select(text.section_key("a").alias("k"), text.nfkc("b").alias("n")).collect()
+    assert [x.k for x in r] == ["12a:b:1", None] and [x.n for x in r] == ["fi A1", ""]
+    v = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0])], "v array<array<double>>, m array<int>")
+    assert v.select(mean_pooled(F.col("v"), F.col("m"))).first()[0] == [2.0, 3.0]
+    assert spark.createDataFrame([("x" * 50 + "\n1 Intro ..... 3\n" + "body " * 60,)], "t string").select(parse.body_of_pages("t").alias("b")).first().b.startswith("body")
+    assert spark.createDataFrame([("合同解除 ok",), ("plain words",)], "t string").select(text.tokens_by_lang("t").alias("t")).collect()[0].t[:1] == ["合同"]
+
+
 def test_nothing_imports_the_extra_subpackage():
     import pathlib
 
