@@ -142,10 +142,10 @@ def greedy_distinct(pairs: DataFrame, nodes: DataFrame, key: str = "vec_id") ->
 def similar_pairs(vectors: DataFrame, cosine_least: float, key: str = "vec_id", block: str = "label", vector: str = "embedding") -> DataFrame:
     """(a, b, sim), a < b, of vectors of one block whose cosine is at least the bound. Blocks are cut into pieces whose
     pairs are compared as matrix products, so a block of any size is spread over tasks."""
-    n = vectors.count()
-    parts = max(1, -(-n // 4096))
-    v = vectors.select(F.col(block).alias("grp"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("own"))
-    rows = v.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("grp", F.least("x", "own").alias("i"), F.greatest("x", "own").alias("j"), "own", "id", "v").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    v = vectors.select(F.col(block).alias("grp"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    size = v.groupBy("grp").agg(F.ceil(F.count("*") / 4096).cast("int").alias("parts"))
+    v = v.join(size, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = v.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("grp", F.least("x", "own").alias("i"), F.greatest("x", "own").alias("j"), "own", "id", "v").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
 
     def run(batches):
         for (_, i, j), g in groups(batches, ["grp", "i", "j"]):

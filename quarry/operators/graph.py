@@ -16,10 +16,23 @@ TOTAL_CAP, WIDEST_RANGE = 60, 200
 _NUM = "[0-9一二三四五六七八九十百千万两〇零]+"
 
 
-def sequence_edges(chunks: DataFrame, group: list[str], order: list[str], key: str = "doc_id") -> DataFrame:
-    """(src, dst, relation, conf): prev and next in each group's order, one window for both."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    n = chunks.select(key, F.lag(key).over(w).alias("p"), F.lead(key).over(w).alias("n"))
+def sequence_edges(chunks: DataFrame, group: list[str], order: list[str], key: str = "doc_id", bucket: Column | None = None) -> DataFrame:
+    """(src, dst, relation, conf): prev and next in each group's order.
+
+    One window for both; with `bucket`, a column that rises with the order, each window holds a bucket of a group, and the
+    buckets' ends, a row each, are linked by a window of their own, so a group with most of the rows is spread."""
+    o = F.struct(*order)
+    c = chunks.select(key, *[x for x in dict.fromkeys([*group, *order]) if x != key], (bucket if bucket is not None else F.lit(0)).alias("__b"))
+    w = Window.partitionBy(*group, "__b").orderBy(*order)
+    n = c.select(key, *[x for x in group if x != key], "__b", F.lag(key).over(w).alias("p"), F.lead(key).over(w).alias("n"))
+    if bucket is not None:
+        ends = c.groupBy(*group, "__b").agg(F.min_by(key, o).alias("first"), F.max_by(key, o).alias("last"))
+        by = Window.partitionBy(*group).orderBy("__b")
+        ends = ends.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__b").alias("__c"), F.lag("last").over(by).alias("before"), F.lead("first").over(by).alias("after"))
+        on = F.col("__b") == F.col("__c")
+        for g in group:
+            on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+        n = n.join(ends, on).select(key, F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"))
     return n.select(F.col(key).alias("src"), F.inline(F.array(F.struct(F.col("p").alias("dst"), F.lit("prev").alias("relation")), F.struct(F.col("n").alias("dst"), F.lit("next").alias("relation"))))).where("dst is not null").withColumn("conf", d(1))
 
 
@@ -80,24 +93,31 @@ def containment_edges(terms: DataFrame, chunks: DataFrame, cap: int = 10, key: s
     chunk, the longest first. terms(term, article, term_pos).
 
     What lies inside a term lies whole in a text that holds it: a term meets, by an equi-join, only the chunks with the
-    rarest of its inner words (neither first nor last), or with its first CJK character. A term without either meets the
-    chunks with a word that contains its longest word, found among the distinct words. So terms and texts are never all
-    paired, and texts join only what is left."""
-    word, cjk = F.lit("[a-z0-9]+"), F.lit("[\\u4e00-\\u9fff]")
+    rarest of its inner words (neither first nor last), or with its first CJK character, or, if it has no word either,
+    with its first other mark. A term without any of these meets the chunks with a word that contains its longest word,
+    found among the distinct words by three characters of it. So terms and texts are never all paired, and texts join
+    only what is left. Blank terms are in no text."""
+    word, cjk, other = F.lit("[a-z0-9]+"), F.lit("[\\u4e00-\\u9fff]"), F.lit("[^A-Za-z0-9\\s\\u4e00-\\u9fff]")
     words = lambda c: F.regexp_extract_all(F.lower(c), word, F.lit(0))
     chars = lambda c: F.regexp_extract_all(c, cjk, F.lit(0))
+    marks = lambda c: F.regexp_extract_all(c, other, F.lit(0))
     body = text_of(text)
-    cw = chunks.select(key, F.explode(F.array_distinct(F.concat(words(body), chars(body)))).alias("g"))
+    cw = chunks.select(key, F.explode(F.array_distinct(F.concat(words(body), chars(body), marks(body)))).alias("g"))
     tw = words(F.col("term"))
     inner = F.slice(tw, 2, F.greatest(F.size(tw) - 2, F.lit(0)))
-    keys = F.when(F.size(inner) > 0, F.array_distinct(inner)).otherwise(F.slice(chars(F.col("term")), 1, 1))
-    t = terms.withColumn("keys", keys)
+    first = lambda a: F.slice(a, 1, 1)
+    term = F.col("term")
+    keys = F.when(F.size(inner) > 0, F.array_distinct(inner)).when(F.size(chars(term)) > 0, first(chars(term))).when(F.size(tw) == 0, first(marks(term))).otherwise(F.array().cast("array<string>"))
+    t = terms.where(F.trim(text_of("term")) != "").withColumn("keys", keys)
     often = cw.join(t.select(F.explode("keys").alias("g")).distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
     rare = t.where(F.size("keys") > 0).select("term", "article", "term_pos", F.explode("keys").alias("g")).join(often, "g").groupBy("term", "article", "term_pos").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
     rest = t.where("size(keys) = 0").withColumn("w", F.get(F.array_sort(F.transform(tw, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), F.lit(0))["w"])
+    rest = rest.where("w is not null").withColumn("gram", F.substring("w", 1, 3))
+    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(F.substring(c, i, F.lit(1)), F.substring(c, i, F.lit(2)), F.substring(c, i, F.lit(3))))))
     if not rest.isEmpty():
-        rest = cw.select("g").distinct().join(F.broadcast(rest) if rest.limit(10_001).count() <= 10_000 else rest, F.col("g").contains(F.coalesce("w", F.lit(""))))
-        rare = rare.unionByName(rest.select("term", "article", "term_pos", "g"))
+        asked = F.broadcast(rest.select("gram").distinct())  # at most 36 ** 3 and fewer, as grams are letters and digits
+        some = cw.select("g").distinct().where(F.col("g").rlike("^[a-z0-9]+$")).select("g", F.explode(grams(F.col("g"))).alias("gram")).join(asked, "gram", "left_semi")
+        rare = rare.unionByName(rest.join(some, "gram").where(F.col("g").contains(F.col("w"))).select("term", "article", "term_pos", "g"))
     met = rare.join(cw, "g").select("term", "article", "term_pos", key).distinct()
     met = met.join(chunks.select(key, F.col(text).alias("__t")), key).where(F.col("__t").contains(F.col("term")) & (F.col(key) != F.col("article")))
     w = Window.partitionBy(key).orderBy(F.length("term").desc(), "term_pos")
@@ -111,18 +131,21 @@ def budgeted(candidates: DataFrame, caps: dict = CAPS, total: int = TOTAL_CAP) -
 
     In the order of seq an edge is admitted while the node's list is shorter than its relation's cap (the total cap for
     others); a repeated edge raises the confidence, but only while the list is below the cap. As the list can only grow
-    to `total`, a node's state is small: candidates are folded in order by one aggregate; exact repeats whose first
-    place is settled are merged beforehand, so a node with very many candidates keeps one a neighbour and relation
-    and confidence."""
-    c = candidates.groupBy("src", "dst", "relation", "conf").agg(F.min("seq").alias("seq"))
+    to `total`, a node's state is small: candidates are folded in order by one aggregate. What can't be admitted and exact
+    repeats go beforehand, so the fold of a hub with any number of candidates sees at most its caps' number of neighbours
+    a relation, each once a confidence."""
     cap = F.lit(total)
     for r, n in caps.items():
-        cap = F.when(F.col("x.relation") == r, F.lit(min(n, total))).otherwise(cap)
+        cap = F.when(F.col("relation") == r, F.lit(min(n, total))).otherwise(cap)
+    # a list at a relation's cap stays there, so of each relation only the first `cap` neighbours can ever be admitted
+    w = Window.partitionBy("src", "relation").orderBy("first", "dst")
+    can = candidates.groupBy("src", "relation", "dst").agg(F.min("seq").alias("first")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
+    c = candidates.join(can.select("src", "relation", "dst"), ["src", "relation", "dst"], "left_semi")
+    c = c.groupBy("src", "dst", "relation", "conf").agg(F.min("seq").alias("seq")).withColumn("cap", cap)
     kind = "array<struct<dst:bigint,relation:string,conf:double>>"
     dst_type = candidates.schema["dst"].dataType.simpleString()
     kind = kind.replace("bigint", dst_type)
-    g = c.withColumn("x", F.struct("seq", "dst", "relation", "conf")).withColumn("x", F.struct(F.col("x.seq").alias("seq"), F.col("x.dst").alias("dst"), F.col("x.relation").alias("relation"), F.col("x.conf").alias("conf"), cap.alias("cap")))
-    g = g.groupBy("src").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    g = c.withColumn("x", F.struct("seq", "dst", "relation", "conf", "cap")).groupBy("src").agg(F.sort_array(F.collect_list("x")).alias("xs"))
 
     def step(a, x):
         same = lambda e: (e["dst"] == x["dst"]) & (e["relation"] == x["relation"])

@@ -14,7 +14,7 @@ DEPTHS, LIMIT, SEEDS = rules.WALK_DEPTHS, 800, 30
 
 
 def graph_edges_seq(spark, sf):
-    e = graph.sequence_edges(docs(spark, sf).select("doc_id", "source"), ["source"], ["doc_id"])
+    e = graph.sequence_edges(docs(spark, sf).select("doc_id", "source"), ["source"], ["doc_id"], bucket=F.floor(F.col("doc_id") / 4096))
     return e.select("src", "dst", "relation", "conf")
 
 

@@ -293,6 +293,14 @@ def test_graph_built_from_a_corpus(spark):
     assert [sorted(r.node for r in graph.searchable(v, x).collect()) for x in (None, "zh", "en")] == [[1, 3, 4], [1, 4], [3]]
 
 
+def test_sequence_in_buckets_equals_one_window(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(["a", "b", None])) for i in rnd.sample(range(500), 200)]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    plain, dealt = (sorted(map(tuple, graph.sequence_edges(d, ["source"], ["doc_id"], bucket=b).collect())) for b in (None, F.floor(F.col("doc_id") / 7)))
+    assert plain == dealt and len(plain) == 2 * (200 - 3)
+
+
 def test_scores_are_kept(spark):
     asked = spark.sparkContext.accumulator(0)
 
@@ -383,8 +391,8 @@ def test_nothing_imports_the_extra_subpackage():
 
 def test_containment_edges_equal_nested_loops(spark):
     docs = [(1, "the red cat sat"), (2, "a red catalog"), (3, "合同是协议"), (4, "redcat"), (5, None), (6, "The Red Cat sat on it"), (7, "--- x ---")]
-    terms = [("red cat", 100, 0), ("the red cat sat", 1, 1), ("合同", 101, 2), ("cat", 102, 3), ("red", 103, 4), ("---", 104, 5)]
+    terms = [("red cat", 100, 0), ("the red cat sat", 1, 1), ("合同", 101, 2), ("cat", 102, 3), ("red", 103, 4), ("---", 104, 5), ("a", 105, 6), ("  ", 106, 7), ("at s", 107, 8), ("协议", 108, 9)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     t = spark.createDataFrame(terms, "term string, article long, term_pos int")
     got = {(r.src, r.dst) for r in graph.containment_edges(t, d).where("relation = 'defined_by'").collect()}
-    assert got == {(i, a) for i, x in docs for w, a, _ in terms if x and w in x and i != a}
+    assert got == {(i, a) for i, x in docs for w, a, _ in terms if x and w.strip() and w in x and i != a}
