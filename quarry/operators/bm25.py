@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.arrow import groups
 from ..functions.scores import d
 from ..functions.text import tokens
 from ..sources.readers import first_by_id
@@ -12,6 +19,7 @@ from ..sources.registry import Registry
 from ..sources.shared import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+DEAL, QUERY_BLOCK = 32_768, 1024  # chunks of a deal and queries of a block, about
 
 
 def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text", tokenizer=tokens) -> DataFrame:
@@ -35,15 +43,65 @@ def term_stats(post: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> D
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, d(epsilon) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def score(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: DataFrame, qid: str = "query_id", key: str = "doc_id", text: str = "text", tokenizer=tokens, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, chunk, score): repeated query tokens count each time. Postings and terms are cut to the queries' terms
-    first, so only these meet."""
-    q = queries.select(F.col(qid), F.explode(tokenizer(text)).alias("term")).groupBy(qid, "term").agg(F.count("*").cast("double").alias("qtf"))
-    wanted = q.select("term").distinct()
-    p = post.join(wanted, "term", "left_semi").join(terms.select("term", "idf").join(wanted, "term", "left_semi"), "term")
+def best(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: DataFrame, k: int, qid: str = "query_id", key: str = "doc_id", text: str = "text", tokenizer=tokens, k1: float = K1, b: float = B, least: float | None = None, places: int = 9) -> DataFrame:
+    """(query, chunk, score) of each query's k best chunks in each deal of chunks, and so of all its k best; scores over
+    `least` only, if given. Repeated query tokens count each time.
+
+    Postings and terms are cut to the queries' terms first. Chunks are dealt by hash of their key and queries by theirs;
+    a task has the postings of a deal of chunks and the terms of a block of queries, sums what meets there as arrays and
+    passes on k rows a query. So however common a term is, its postings are spread over the deals, and the pairs of query
+    and chunk, nearly all there are, never leave a task."""
+    q = queries.select(F.col(qid), F.explode(tokenizer(text)).alias("term")).groupBy(qid, "term").agg(F.count("*").cast("double").alias("x"))
+    q = stored(q)
+    wanted = stored(q.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()))
+    n = stats.first().n or 0
+    deals, blocks = max(1, math.ceil(n / DEAL)), max(1, math.ceil(q.select(qid).distinct().count() / QUERY_BLOCK))
     tf = F.col("tf")
-    p = p.crossJoin(F.broadcast(stats.select("avgdl"))).withColumn("part", F.col("idf") * tf * d(k1 + 1) / (tf + d(k1) * (d(1 - b) + d(b) * F.col("dl") / F.col("avgdl"))))
-    return q.join(p.select("term", key, "part"), "term").groupBy(qid, key).agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
+    p = post.join(wanted, "term").join(terms.select("term", "idf").join(wanted.select("term"), "term", "left_semi"), "term")
+    p = p.crossJoin(F.broadcast(stats.select("avgdl"))).withColumn("x", F.col("idf") * tf * d(k1 + 1) / (tf + d(k1) * (d(1 - b) + d(b) * F.col("dl") / F.col("avgdl"))))
+    part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    qs = q.join(wanted, "term").select(part(qid, blocks).alias("i"), every(deals).alias("j"), "tid", "x", F.col(qid).alias("__q"), none(post, key).alias("__k"))
+    ps = p.select(every(blocks).alias("i"), part(key, deals).alias("j"), "tid", "x", none(queries, qid).alias("__q"), F.col(key).alias("__k"))
+    rows = qs.unionByName(ps).repartition("i", "j").sortWithinPartitions("i", "j")
+    out = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField(key, post.schema[key].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        for _, g in groups(batches, ["i", "j"]):
+            is_q = pc.is_valid(g.column("__q")).to_numpy()
+            tid, x = g.column("tid").to_numpy(), g.column("x").to_numpy()
+            side = g.filter(pa.array(is_q)).column("__q").combine_chunks(), g.filter(pa.array(~is_q)).column("__k").combine_chunks()
+            if not len(side[0]) or not len(side[1]):
+                continue
+            (names, at), (keys, doc) = (np.unique(c.to_numpy(zero_copy_only=False), return_inverse=True) for c in side)
+            order = np.argsort(tid[~is_q], kind="stable")
+            term, part_, doc = tid[~is_q][order], x[~is_q][order], doc[order]
+            mine = np.argsort(at, kind="stable")
+            at, wants, weight = at[mine], tid[is_q][mine], x[is_q][mine]
+            lo, hi = np.searchsorted(term, wants, "left"), np.searchsorted(term, wants, "right")
+            step = max(1, 2_000_000 // len(keys))
+            for first in range(0, len(names), step):
+                r = slice(*np.searchsorted(at, (first, first + step)))
+                size = hi[r] - lo[r]
+                post_ = np.repeat(lo[r] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                cell = np.repeat(at[r] - first, size) * len(keys) + doc[post_]
+                m = min(step, len(names) - first)
+                total = np.bincount(cell, np.repeat(weight[r], size) * part_[post_], m * len(keys)).reshape(m, -1)
+                met = np.bincount(cell, minlength=m * len(keys)).reshape(m, -1) > 0
+                if least is not None:
+                    met &= total > least
+                for y in range(m):
+                    found = np.flatnonzero(met[y])
+                    rounded = np.round(total[y, found], places)
+                    if len(found) > 4 * k:
+                        some = rounded >= np.partition(rounded, -k)[-k]
+                        found, rounded = found[some], rounded[some]
+                    found = found[np.lexsort((found, -rounded))[:k]]
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array([names[first + y]] * len(found), side[0].type), pa.array(keys[found], side[1].type), pa.array(total[y, found])], names=[qid, key, "score"])
+
+    return rows.mapInArrow(run, out)
 
 
 def top(scores: DataFrame, k: int | Column, qid: str = "query_id", key: str = "doc_id", places: int = 9) -> DataFrame:
@@ -91,10 +149,7 @@ class Index:
         return out
 
     def search(self, queries: DataFrame, k: int, qid: str = "query_id", text: str = "text", least: float | None = None) -> DataFrame:
-        s = score(queries, self.post, self.terms, self.stats, qid, self.key, text, self.tokenizer)
-        if least is not None:
-            s = s.where(F.col("score") > least)
-        return top(s, k, qid, self.key)
+        return top(best(queries, self.post, self.terms, self.stats, k, qid, self.key, text, self.tokenizer, least=least), k, qid, self.key)
 
 
 def search_by_lang(queries: DataFrame, chunks: DataFrame, k: int, tokenizers: dict | None = None, qid: str = "query_id", key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
