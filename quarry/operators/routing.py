@@ -80,7 +80,7 @@ def overridden(routed: DataFrame, answer: str) -> DataFrame:
     tasks = [n for n, _ in rules.TASK_RULES] + ["other"]
     issues = sorted({n for names in rules.PART_OF.values() for n in names} | {"other"})
     factor = F.try_to_number(get("top_k_factor"), F.lit("9.99")).cast("double")
-    f = F.coalesce(F.least(F.greatest(factor, d(0.8)), d(2)), F.col("top_k_factor"))
+    f = F.when(factor.isNull(), F.col("top_k_factor")).otherwise(F.least(F.greatest(factor, d(0.8)), d(2)))
     return routed.withColumns({"task_type": F.when(get("task_type").isin(*tasks), get("task_type")).otherwise(F.col("task_type")), "issue_type": F.when(get("issue_type").isin(*issues), get("issue_type")).otherwise(F.col("issue_type")), "top_k_factor": f})
 
 

@@ -43,6 +43,13 @@ def graph_walk(spark, sf):
     return w.select("query_id", "node", "depth", "parent", "relation", "ord")
 
 
+def walk_filters(spark, sf):
+    """Walks along next edges and strong definitions alone, to documents in English."""
+    d = docs(spark, sf)
+    w = graph.walk(_seeds(spark, sf), _edges(spark, sf), graph.searchable(d, "en"), DEPTHS, LIMIT, ["next", "defined_by"], 0.9)
+    return w.select("query_id", "node", "depth", "parent", "relation")
+
+
 def graph_neighbors(spark, sf):
     w = graph.neighbours(_seeds(spark, sf), _edges(spark, sf), docs(spark, sf).select(F.col("doc_id").alias("node")), 2)
     return w.select("query_id", "node", "depth")
@@ -80,22 +87,24 @@ f0 AS (SELECT query_id, doc_id AS node, rank AS ord, CAST(NULL AS VARCHAR) AS re
 v0 AS (SELECT query_id, node FROM f0)"""
 
 
-def _levels(depths: dict, limit: int, levels: int) -> str:
+def _levels(depths: dict, limit: int, levels: int, edges: str = "e", emitted: str = "TRUE") -> str:
     allowed = "CASE " + " ".join(f"WHEN relation = '{r}' THEN {n}" for r, n in depths.items() if r != "default") + f" ELSE {depths['default']} END" if len(depths) > 1 else str(depths["default"])
     out = GRAPH
     for i in range(levels):
         out += f""",
 n{i} AS (SELECT * FROM (SELECT f.query_id, e.dst AS node, e.src AS parent, e.relation, e.conf, f.ord AS pord, e.pos, row_number() OVER (PARTITION BY f.query_id, e.dst ORDER BY f.ord, e.pos) AS rn
-  FROM f{i} f JOIN e ON e.src = f.node WHERE (SELECT {allowed.replace("relation", "f.relation")}) > {i} AND (f.query_id, e.dst) NOT IN (SELECT query_id, node FROM v{i})) WHERE rn = 1),
-l{i} AS (SELECT * FROM (SELECT query_id, node, {i + 1} AS depth, parent, relation, conf, row_number() OVER (PARTITION BY query_id ORDER BY pord, pos) AS k FROM n{i}) WHERE k <= {limit}),
+  FROM f{i} f JOIN {edges} e ON e.src = f.node WHERE (SELECT {allowed.replace("relation", "f.relation")}) > {i} AND (f.query_id, e.dst) NOT IN (SELECT query_id, node FROM v{i})) WHERE rn = 1),
+l{i} AS (SELECT * FROM (SELECT query_id, node, {i + 1} AS depth, parent, relation, conf, row_number() OVER (PARTITION BY query_id ORDER BY pord, pos) AS k FROM n{i} WHERE {emitted}) WHERE k <= {limit}),
 f{i + 1} AS (SELECT query_id, node, k AS ord, relation FROM l{i}),
 v{i + 1} AS (SELECT * FROM v{i} UNION ALL SELECT query_id, node FROM n{i})"""
     return out + ",\nwalked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, k) AS ord FROM (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(levels)) + f")) WHERE ord <= {limit})"
 
 
 WALK = _levels(DEPTHS, LIMIT, max(DEPTHS.values()))
-QUERIES = {"graph_edges_seq": graph_edges_seq, "graph_edges_contain": graph_edges_contain, "graph_walk": graph_walk, "graph_neighbors": graph_neighbors, "graph_score": graph_score, "graph_induced": graph_induced, "graph_budget": graph_budget}
+FILTERED = _levels(DEPTHS, LIMIT, max(DEPTHS.values()), "(SELECT * FROM e WHERE relation IN ('next', 'defined_by') AND conf >= 9e-1)", "node IN (SELECT doc_id FROM documents WHERE lang = 'en' AND trim(text) <> '')")
+QUERIES = {"walk_filters": walk_filters, "graph_edges_seq": graph_edges_seq, "graph_edges_contain": graph_edges_contain, "graph_walk": graph_walk, "graph_neighbors": graph_neighbors, "graph_score": graph_score, "graph_induced": graph_induced, "graph_budget": graph_budget}
 SQL = {
+    "walk_filters": f"WITH {FILTERED} SELECT query_id, node, depth, parent, relation FROM walked",
     "graph_edges_seq": f"WITH {GRAPH} SELECT * FROM es",
     "graph_edges_contain": f"WITH {GRAPH} SELECT * FROM ec",
     "graph_walk": f"WITH {WALK} SELECT query_id, node, depth, parent, relation, ord FROM walked",

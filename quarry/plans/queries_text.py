@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import dense, graph, parse, routing
+from ..functions.scores import mean_pooled
+from ..operators import cases, dense, fusion, graph, parse, routing
 from ..sources.readers import first_by_id, page_links, page_text, preview
 from ..sources.shared import shared_dir
 from ..streaming.ingest import ingest, ingested_log
@@ -395,7 +396,91 @@ def first_rows(spark, sf):
     return preview(docs(spark, sf).select("doc_id", "source"), 500, ["source", "doc_id"])
 
 
+def parse_chosen(spark, sf):
+    """Two parses of each source, of which the choice keeps one whole."""
+    rec = made(spark, sf).withColumn("n", F.col("doc_id")).withColumn("article_no", F.lit("")).withColumn("article_id", F.col("doc_id").cast("string"))
+    line, scan = (rec.where(c).withColumn("text", F.lit(t)) for c, t in (("k < 4 and b % 2 = 0", "line"), ("k < 5 and a % 2 = 0", "scan")))
+    return parse.chosen(line, scan, "source").select("source", "n", "text")
+
+
+CHOSEN_SQL = f"""WITH {MADE}, l AS (SELECT source, doc_id FROM m WHERE k < 4 AND b % 2 = 0), s AS (SELECT source, doc_id FROM m WHERE k < 5 AND a % 2 = 0),
+c AS (SELECT source, (SELECT count(*) FROM l WHERE l.source = x.source) AS nl, (SELECT count(*) FROM s WHERE s.source = x.source) AS ns FROM (SELECT DISTINCT source FROM m) x),
+p AS (SELECT source, ns > 0 AND (nl < 10 OR ns > nl) AS scan FROM c)
+SELECT source, doc_id AS n, 'scan' AS text FROM s JOIN p USING (source) WHERE scan UNION ALL SELECT source, doc_id, 'line' FROM l JOIN p USING (source) WHERE NOT scan"""
+
+
+def header_footer(spark, sf):
+    """Pages of a source, one for each document, with a running head, a page number and a line of their own."""
+    line = lambda n, top, t: F.struct(F.lit(n).alias("line"), F.lit(float(top)).alias("top"), F.lit(top + 5.0).alias("bottom"), t.alias("text"))
+    ls = F.array(line(1, 3, F.format_string("Report %d", "a")), line(2, 50, F.format_string("body of %d words", "n_chars")), line(3, 60, F.col("b").cast("string")), line(4, 94, F.concat(F.lit("foot "), F.col("source"))))
+    m = made(spark, sf).withColumnRenamed("doc_id", "page")
+    return parse.without_running_heads(m.select("source", "page", F.inline(ls)), m.select("source", "page", F.lit(100.0).alias("height")), key="source").select(F.col("page").alias("doc_id"), "line", "text")
+
+
+HEAD_SQL = f"""WITH {MADE}, n AS (SELECT source, count(*) AS pages FROM m GROUP BY source)
+SELECT doc_id, 2 AS line, 'body of ' || n_chars || ' words' AS text FROM m
+UNION ALL SELECT doc_id, 1, 'Report ' || a FROM m JOIN n USING (source) WHERE pages < 2 UNION ALL SELECT doc_id, 4, 'foot ' || source FROM m JOIN n USING (source) WHERE pages < 2"""
+
+
+def cite_resolve(spark, sf):
+    """References of each document to the one before it, plain, by a subsection, or to nothing, against the documents."""
+    before = (F.col("doc_id") - 1).cast("string")
+    refs = made(spark, sf).select(F.col("doc_id").alias("src"), F.when(F.col("k") == 0, "none").when(F.col("k") == 1, F.concat(F.lit("section:"), before, F.lit(".2"))).otherwise(before).alias("ref"), F.lit(0.9).alias("conf"))
+    name = F.col("doc_id").cast("string")
+    keys = docs(spark, sf).select(F.explode(F.array(name, F.concat(F.lit("section:"), name))).alias("ref"), F.col("doc_id").alias("article_id"))
+    return graph.resolved(refs, keys)
+
+
+RESOLVE_SQL = f"""WITH {MADE}, r AS (SELECT m.doc_id AS src, d.doc_id AS dst FROM m JOIN documents d ON d.doc_id = m.doc_id - 1 WHERE k > 0)
+SELECT src, dst, 'cite' AS relation, 9e-1 AS conf FROM r UNION ALL SELECT dst, src, 'cited', 9e-1 FROM r"""
+
+
+def term_register(spark, sf):
+    """The last document, by id, that defines each of the terms with enough confidence."""
+    m = made(spark, sf)
+    defs = m.select(F.col("doc_id").alias("article_id"), F.concat(F.lit("term "), F.col("b").cast("string")).alias("term"), F.when(F.col("k") < 2, 0.6).otherwise(0.95).alias("conf"))
+    return graph.registered(defs, m.select(F.col("doc_id").alias("article_id"), (-F.col("doc_id")).alias("pos"))).withColumnRenamed("article_id", "doc_id")
+
+
+TERM_SQL = f"WITH {MADE} SELECT 'term ' || b AS term, max(doc_id) AS doc_id FROM m WHERE k >= 2 GROUP BY b"
+
+
+def router_override(spark, sf):
+    """Routes of the conversation turns where a model's answer names another task, an unknown one, or breaks off."""
+    n = F.col("turn") % 4
+    a = F.when(n == 0, 'so {"task_type": "risk_alert", "issue_type": "mortgage", "top_k_factor": 5} ok').when(n == 1, '{"task_type": "unknown", "issue_type": "tort_liability", "top_k_factor": 0.1}').when(n == 2, '{"task_type": "risk').otherwise(F.lit(None).cast("string"))
+    r = routing.overridden(routing.route(turns(spark, sf)).withColumn("answer", a), "answer")
+    return r.select("conv_id", "turn", "task_type", "issue_type", "top_k_factor")
+
+
+def small_helpers(spark, sf):
+    """Section keys, case texts and judged scores of records made for each document."""
+    m = made(spark, sf)
+    d = m.select("doc_id", "k", F.format_string("%dA(B)(%d)", "a", "b").alias("no"), F.format_string(" T%d", "a").alias("title"), F.when(F.col("k") > 0, F.format_string("F%d", "b")).alias("facts"), F.lit(" ").alias("issue"), F.lit("H").alias("holding"))
+    answer = F.when(F.col("k") == 0, "no score").when(F.col("k") < 3, F.format_string('{"score": 0.%d}', "k")).otherwise(F.format_string("score %d of 10", "k"))
+    return d.select("doc_id", text.section_key("no").alias("section"), cases.case_text().alias("case_text"), fusion.parsed_judgement(answer).alias("judged"))
+
+
+HELPER_SQL = f"""WITH {MADE} SELECT doc_id, a || 'a:b:' || b AS section, 'T' || a || CASE WHEN k > 0 THEN chr(10) || 'F' || b ELSE '' END || chr(10) || 'H' AS case_text,
+  CASE WHEN k = 0 THEN 0e0 WHEN k < 3 THEN k / 10e0 ELSE 1e0 END AS judged FROM m"""
+
+
+def mean_pool(spark, sf):
+    """Each vector and its double under a mask that leaves out a third: their mean."""
+    v = vectors(spark, sf).withColumn("e", F.transform("embedding", lambda x: x.cast("double")))
+    pooled = mean_pooled(F.array("e", F.transform("e", lambda x: x * 2), F.transform("e", lambda x: x * 0 + 9)), F.array(F.lit(1), F.lit(1), F.lit(0)))
+    return v.select("doc_id", F.round(F.get(pooled, F.lit(0)), 6).alias("first"), F.size(pooled).alias("n"))
+
+
 STRUCTURED = {
+    "parse_chosen": (parse_chosen, CHOSEN_SQL),
+    "header_footer": (header_footer, HEAD_SQL),
+    "cite_resolve": (cite_resolve, RESOLVE_SQL),
+    "term_register": (term_register, TERM_SQL),
+    "router_override": (router_override, f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'risk_alert' ELSE task_type END AS task_type, CASE turn % 4 WHEN 0 THEN 'mortgage' WHEN 1 THEN 'tort_liability' ELSE issue_type END AS issue_type,
+  CASE turn % 4 WHEN 0 THEN 2e0 WHEN 1 THEN 8e-1 ELSE top_k_factor END AS top_k_factor FROM ({_route_sql()})"""),
+    "small_helpers": (small_helpers, HELPER_SQL),
+    "mean_pool": (mean_pool, "SELECT vec_id AS doc_id, round(15e-1 * CAST(embedding[1] AS DOUBLE), 6) AS first, CAST(len(embedding) AS INTEGER) AS n FROM embeddings"),
     "partial_items": (partial_items, PARTIAL_SQL),
     "record_text": (record_text, RECORD_SQL),
     "first_rows": (first_rows, "SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 50"),
