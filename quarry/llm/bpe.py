@@ -27,7 +27,7 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class Encoder:
-    def __init__(self, file: bytes, most: int = 600_000):
+    def __init__(self, file: bytes, most: int = 200_000):
         import tiktoken
 
         spec = json.loads(file)
@@ -58,7 +58,7 @@ class Encoder:
         self.flat = np.concatenate((self.flat, ids))
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
 
-    def encode(self, texts: list[str] | pa.Array, most: int = 16_000_000) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, most: int = 4_000_000) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit arrays. Texts are split and their distinct words told apart by Arrow,
         about `most` characters at a time."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())

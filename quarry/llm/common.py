@@ -1,15 +1,14 @@
-"""Shared helpers: reading tables, tables in the shared folder, streaming groups, connected components."""
+"""Shared helpers: reading tables, tables in the shared folder, Arrow batches, connected components."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrow import groups
+from ..sources.shared import discard, shared_dir, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -17,38 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset in local mode (tests) a temporary one is set.
-
-    On a cluster a machine's own folder would not be seen by the others, so it must be set there."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what stored() wrote, once nothing will read it again."""
-    path = getattr(df, "stored_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 BATCH_BYTES = 4 << 20  # of an Arrow batch that goes to a Python worker, about
 
 
@@ -67,8 +34,9 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
 def slices(batches, column: str = "text", most: int = 2_000_000):
     """Even slices of Arrow batches, about `most` bytes of the column each (one longer row is a slice of its own), smaller
     batches joined: what Python holds of the texts at once stays small whatever the batch size. Freed memory goes back to
-    the system."""
+    the system now and then and at the task's end, as a worker that waits for its next task keeps what it holds."""
     import ctypes
+    import gc
 
     import numpy as np
     import pyarrow as pa
@@ -94,6 +62,10 @@ def slices(batches, column: str = "text", most: int = 2_000_000):
         if held:
             yield held
 
+    def release():
+        pa.default_memory_pool().release_unused()
+        trim(0)
+
     passed = 0
     for held in joined():
         b = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -105,10 +77,12 @@ def slices(batches, column: str = "text", most: int = 2_000_000):
             yield b.slice(s, e - s)
             s = e
         passed += int(size[-1])
-        if passed > 8 * BATCH_BYTES:
+        if passed > 4 * BATCH_BYTES:
             passed = 0
-            pa.default_memory_pool().release_unused()
-            trim(0)
+            release()
+    held = b = None
+    gc.collect()
+    release()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -60,10 +60,10 @@ def unigram(docs: DataFrame, path: str | None = None) -> list[tuple[str, int]]:
                     pieces[p] += words[w]
             words.clear()
 
-        for b in slices(batches, most=8_000_000):
+        for b in slices(batches, most=4_000_000):
             for t in b.column("text").to_pylist():
                 words.update(t.split())
-            if len(words) > 500_000:
+            if len(words) > 300_000:
                 count()
         count()
         yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"])
@@ -81,7 +81,7 @@ class Counter:
 
     Characters that are no piece count one token a UTF-8 byte."""
 
-    def __init__(self, pieces: list[tuple[str, int]], most: int = 1_000_000):
+    def __init__(self, pieces: list[tuple[str, int]], most: int = 300_000):
         self.score = dict(pieces)
         self.longest = max(map(len, self.score), default=1)
         self.unknown = min(self.score.values(), default=0) - UNKNOWN
@@ -214,7 +214,7 @@ def token_counts(docs: DataFrame, path: str | None = None, pieces: list[tuple[st
         counter = _MADE.get("counter")
         if counter is None or counter.score != dict(made.value):
             counter = _MADE["counter"] = Counter(made.value)
-        for b in slices(batches, most=8_000_000):
+        for b in slices(batches, most=4_000_000):
             n, total = counter.texts(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 

@@ -192,7 +192,7 @@ def choose(counts: dict[str, tuple[int, int]], positives: int, negatives: int, l
 
 
 class Matcher:
-    def __init__(self, terms: list[Term], innocent: frozenset, most: int = 1_000_000):
+    def __init__(self, terms: list[Term], innocent: frozenset, most: int = 300_000):
         self.auto, self.innocent, self.most = Automaton(terms), innocent, most
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[int, int]] = {}  # raw word: (edits, term)
