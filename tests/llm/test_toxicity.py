@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 from quarry.llm import toxicity
 
@@ -51,6 +54,51 @@ def test_quotation_scores_lower_and_misspellings_count(spark):
     assert spelled[1] > plain[1] == 0 and spelled[9] == 1 and not any(innocent) and not any(none)
 
 
+def plain_features(t, terms, innocent):
+    """The features of a text by their definitions: every word against every term by edit distance."""
+    words, hits = t.split(), []
+    for i, raw in enumerate(words):
+        w, best = toxicity.bare(raw), None
+        if len(w) > 2:
+            for k, term in enumerate(terms):
+                e = min(distance(w[:n], term[0]) for n in range(len(w) + 1)) if term[1] else distance(w, term[0])
+                if e <= toxicity.edits(term) and (best is None or (e, k) < best):
+                    best = (e, k)
+        if best and (best[0] == 0 or w not in innocent):
+            hits.append((i, *best))
+    if not hits:
+        return [0.0] * 11
+    n, weak = [0, 0, 0, 0], []
+    for i, e, k in hits:
+        if not terms[k][2]:
+            weak.append(words[i])
+            continue
+        before, after = words[max(0, i - toxicity.WINDOW) : i], words[i + 1 : i + 1 + toxicity.WINDOW]
+        opened = sum(ch in toxicity.QUOTES for w in before for ch in w) % 2 == 1 or words[i][0] in toxicity.QUOTES
+        closed = words[i].rstrip(".,;:!?")[-1] in toxicity.QUOTES if words[i].rstrip(".,;:!?") else False
+        closed = closed or any(ch in toxicity.QUOTES for w in after for ch in w)
+        told = any(toxicity.bare(w) in toxicity.REPORTING for w in before[-3:])
+        n[(2 if opened and closed or told else 0) + (1 if e else 0)] += 1
+    most = max(sum(i <= j <= i + toxicity.WINDOW for j, *_ in hits) for i, *_ in hits)
+    logs = [math.log1p(x) for x in (*n, len(weak), len(set(weak)), len({k for *_, k in hits}), most)]
+    return [*logs, 100 * len(hits) / len(words), float(n[0] + n[1] > 1), float(len(weak) > 1)]
+
+
+def test_scores_equal_the_plain_computation(spark):
+    """The query's scores by its own model: features and logistic score of each text, a word and a term at a time."""
+    sf = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = toxicity.train(d, lab)
+    assert len(m["terms"]) > 3
+    some = d.join(lab, "doc_id").where("n_chars < 900")
+    texts = [r.text for r in some.where("toxic = 1").limit(12).unionByName(some.where("toxic = 0").limit(8)).collect()]
+    strong = next(t for t, _, s in m["terms"] if s and len(t) > 3)
+    texts += ["", f'he said "{strong}" twice', f"{strong} {strong[:-1]}x you {strong}!", f"«so {strong[1]}{strong[0]}{strong[2:]}» and on"]
+    for t, s in zip(texts, toxicity.score(m, texts)):
+        x = np.array([*plain_features(t, m["terms"], m["innocent"]), 1.0])
+        assert abs(s - 1 / (1 + math.exp(-min(30, max(-30, x @ m["weights"]))))) < 1e-9, t[:80]
+
+
 def test_held_out_accuracy(spark):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity.classify(d.join(lab.select("doc_id"), "doc_id", "left_semi"), lab).join(lab, "doc_id").where("held_out").collect()
