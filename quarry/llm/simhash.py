@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from itertools import combinations
 
 import numpy as np
@@ -153,6 +154,11 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, bits: int = BITS, block
     return found.groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
 
 
+def _table(values: list, kind: str):
+    """A constant array column, folded once when a query is planned; tens of thousands of values are one literal."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def _spread(spark: SparkSession, n: int) -> list[int]:
     """n numbers, the p-th of which hash partitioning over n partitions puts into partition p, so that each run has a
     task of its own."""
@@ -181,14 +187,14 @@ def in_runs(docs: DataFrame, parts: int | None = None) -> DataFrame:
         return d.select(F.lit(0).alias("p"), F.lit(0).alias("mark"), "doc_id", "text")
 
     def place(ids, key):  # of a falling list, the last that is not below the key; -1 if all are
-        block = F.size(F.filter(F.lit(ids[::64]), lambda x: x >= key)) - 1
-        return F.when(block < 0, -1).otherwise(block * 64 + F.size(F.filter(F.slice(F.lit(ids), block * 64 + 1, 64), lambda x: x >= key)) - 1)
+        block = F.size(F.filter(_table(ids[::64], "bigint"), lambda x: x >= key)) - 1
+        return F.when(block < 0, -1).otherwise(block * 64 + F.size(F.filter(F.slice(_table(ids, "bigint"), block * 64 + 1, 64), lambda x: x >= key)) - 1)
 
     # quantiles are approximate, and rounded for very large ids: a run begins at the greatest id that it has
     ids = sorted((r.top for r in d.groupBy(place(sorted({*cuts.cut}, reverse=True), order)).agg(F.max(order).alias("top")).collect()), reverse=True)
     h, least = F.hash("text"), -(2**31)
     starts = {x: [least] for x in ids}  # of the rows of ids[i] itself: hashes at which its runs begin
-    large = {r.x: r.n * parts // cuts.n for r in d.where(order.isin(ids)).groupBy(order.alias("x")).agg(F.count("*").alias("n")).where(F.col("n") * parts >= 2 * cuts.n).collect()}
+    large = {r.x: r.n * parts // cuts.n for r in d.where(F.get(_table(ids, "bigint"), place(ids, order)) == order).groupBy(order.alias("x")).agg(F.count("*").alias("n")).where(F.col("n") * parts >= 2 * cuts.n).collect()}
     if large:
         grid = max(large.values())
         for r in d.where(order.isin([*large])).groupBy(order.alias("x")).agg(F.percentile_approx(h, [i / grid for i in range(1, grid)], 100 * grid).alias("q"), F.min(h).alias("low")).collect():
@@ -198,13 +204,13 @@ def in_runs(docs: DataFrame, parts: int | None = None) -> DataFrame:
     for x in ids:
         base.append(base[-1] + len(starts[x]))
     total = base[-1]
-    rows = d.withColumn("i", place(ids, order)).withColumn("h", h).withColumn("own", F.get(F.lit(ids), F.col("i")) == order)
-    within = F.size(F.filter(F.get(F.lit([starts[x] for x in ids]), F.col("i")), lambda x: x <= F.col("h"))) - 1
-    rows = rows.withColumn("p", F.when(F.col("own"), F.get(F.lit(base), F.col("i")) + within).otherwise(F.get(F.lit(base), F.col("i") + 1) - 1))
+    rows = d.withColumn("i", place(ids, order)).withColumn("h", h).withColumn("own", F.get(_table(ids, "bigint"), F.col("i")) == order)
+    within = F.size(F.filter(F.get(_table([starts[x] for x in ids], "array<int>"), F.col("i")), lambda x: x <= F.col("h"))) - 1
+    rows = rows.withColumn("p", F.when(F.col("own"), F.get(_table(base, "int"), F.col("i")) + within).otherwise(F.get(_table(base, "int"), F.col("i") + 1) - 1))
     row = lambda p, mark: F.struct(p.alias("p"), F.lit(mark).alias("mark"))
     both = F.array(row(F.col("p"), 0), row(F.when(F.col("p") == 0, F.lit(total - 1)).otherwise(F.col("p") - 1), 1))
     rows = rows.select("doc_id", "text", "h", F.inline(F.when(F.col("own"), both).otherwise(F.array(row(F.col("p"), 0)))))
-    rows = rows.withColumn("label", F.get(F.lit(_spread(spark, total)), F.col("p"))).repartition(total, "label")
+    rows = rows.withColumn("label", F.get(_table(_spread(spark, total), "int"), F.col("p"))).repartition(total, "label")
     return rows.sortWithinPartitions("p", "mark", F.col("doc_id").desc_nulls_last(), "h", "text").select("p", "mark", "doc_id", "text")
 
 
