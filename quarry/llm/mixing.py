@@ -130,8 +130,9 @@ def mix(docs: DataFrame, members: str, size: str, order: str, cycle=CYCLE, repea
     goal = dict(zip(sources, targets([sizes[s] for s in sources], [cycle[i % len(cycle)] for i in range(len(sources))], repeats)))
     flows = route(patterns, {s: round(goal[s]) for s in sources}, repeats)
     plan = [(r[0], sum(f.values()) // n if n else 0, sum(f.values()) % n if n else 0) for r, (_, n), f in zip(sums, patterns, flows)]
-    digits = 1
-    while digits < 6 and sum(r.rows for r in sums) > 20_000 * 16**digits:
+    # buckets of about a thousand rows of the largest pattern, or of a hundred thousand if there would be very many
+    digits, most = 1, max((r.rows for r in sums), default=0)
+    while digits < 4 and most > 1_000 * 16**digits or digits < 6 and most > 100_000 * 16**digits:
         digits += 1
     b = F.substring(order, 1, digits)
     by = Window.partitionBy("__pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
