@@ -7,6 +7,7 @@ from collections import Counter as Words
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +62,11 @@ def unigram(docs: DataFrame, path: str | None = None) -> list[tuple[str, int]]:
             words.clear()
 
         for b in slices(batches, most=4_000_000):
-            for t in b.column("text").to_pylist():
-                words.update(t.split())
-            if len(words) > 300_000:
+            _, which, found = pretokens(b.column("text"))
+            for w, n in zip(found, np.bincount(which, minlength=len(found)).tolist()):
+                if w:
+                    words[w] += n
+            if len(words) > 500_000:
                 count()
         count()
         yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"])
@@ -81,7 +84,7 @@ class Counter:
 
     Characters that are no piece count one token a UTF-8 byte."""
 
-    def __init__(self, pieces: list[tuple[str, int]], most: int = 300_000):
+    def __init__(self, pieces: list[tuple[str, int]], most: int = 1_000_000):
         self.score = dict(pieces)
         self.longest = max(map(len, self.score), default=1)
         self.unknown = min(self.score.values(), default=0) - UNKNOWN
@@ -91,7 +94,9 @@ class Counter:
             if ps:
                 h = np.array([self._hash(p) for p in ps], U)
                 o = np.argsort(h)
-                self.by_length[n] = h[o], np.array([self.score[p] for p in ps], np.int64)[o]
+                some = np.zeros(1 << 18, bool)  # whether any piece's hash begins with these bits
+                some[h >> U(46)] = True
+                self.by_length[n] = h[o], np.array([self.score[p] for p in ps], np.int64)[o], some
         self.most, self.known = most, {}
         self.pow = [pow(_B, i, 1 << 64) for i in range(WIDE + 2)]
         self.inv = [pow(pow(_B, -1, 1 << 64), i, 1 << 64) for i in range(WIDE + 2)]
@@ -148,16 +153,18 @@ class Counter:
             c = a[at, d - 1]
             b = best[d - 1][at] + self.unknown
             k = count[d - 1][at] + 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
-            for m, (keys, scores) in self.by_length.items():
+            for m, (keys, scores, some) in self.by_length.items():
                 if m > d:
                     break
                 x = (h[d][at] - h[d - m][at]) * U(self.inv[d - m])
-                i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-                hit = np.flatnonzero(keys[i] == x)
+                hit = np.flatnonzero(some[x >> U(46)])
+                i = np.minimum(np.searchsorted(keys, x[hit]), len(keys) - 1)
+                real = keys[i] == x[hit]
+                hit, i = hit[real], i[real]
                 if not len(hit):
                     continue
                 r = at[hit]
-                s, t = best[d - m][r] + scores[i[hit]], count[d - m][r] + 1
+                s, t = best[d - m][r] + scores[i], count[d - m][r] + 1
                 better = (s > b[hit]) | ((s == b[hit]) & (t < k[hit]))
                 b[hit[better]], k[hit[better]] = s[better], t[better]
             bd, kd = np.zeros(n, np.int64), np.zeros(n, np.int32)
@@ -183,21 +190,24 @@ class Counter:
         long = sorted(w for w in new if len(w) >= WIDE)
         self.known.update(zip(long, self._one_by_one(long)))
 
-    def texts(self, texts: list[str]) -> tuple[list[int], list[int]]:
-        """(pre-tokens, tokens) of each text."""
-        n, total, run, size = [], [], [], 0
-        for t in [*texts, None]:
-            if t is not None:
-                run.append(t)
-                size += len(t)
-                if size < 4_000_000:
-                    continue
-            words = [w.split() for w in run]
-            self.learn({w for ws in words for w in ws})
-            n += map(len, words)
-            total += [sum(map(self.known.__getitem__, ws)) for ws in words]
-            run, size = [], 0
-        return n, total
+    def texts(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(pre-tokens, tokens) of each text. Texts are split, and their distinct pre-tokens told apart, by Arrow."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        ends, which, words = pretokens(column)
+        self.learn([w for w in words if w])
+        real = np.array([w != "" for w in words], bool)
+        known = np.array([self.known[w] if w else 0 for w in words], np.int64)
+        sums = (np.concatenate(([0], np.cumsum(x[which]))) for x in (real.astype(np.int64), known))
+        return tuple(c[ends[1:]] - c[ends[:-1]] for c in sums)
+
+
+def pretokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(where each text's pre-tokens begin and the last one's end; the place of each among the distinct ones; these):
+    runs without Unicode white space; an empty one, which is none, may stand before, after and for a blank text."""
+    split = pc.utf8_split_whitespace(column)
+    known = split.flatten().dictionary_encode()
+    ends = split.offsets.to_numpy().astype(np.int64)
+    return ends - ends[0], known.indices.to_numpy(), known.dictionary.to_pylist()
 
 
 def token_counts(docs: DataFrame, path: str | None = None, pieces: list[tuple[str, int]] | None = None) -> DataFrame:
@@ -215,7 +225,7 @@ def token_counts(docs: DataFrame, path: str | None = None, pieces: list[tuple[st
         if counter is None or counter.score != dict(made.value):
             counter = _MADE["counter"] = Counter(made.value)
         for b in slices(batches, most=4_000_000):
-            n, total = counter.texts(b.column("text").to_pylist())
+            n, total = counter.texts(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
     return d.transform(in_arrow, run, "doc_id long, n_pretokens long, n_tokens long")

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,14 @@ def test_trie_equals_plain_dp(pieces):
         assert c.known[w] == plain(score, c.unknown, w), w
 
 
+def test_pretokens_are_those_of_split():
+    texts = ["", " ", "a", " a  b\t", "x\x1cy\x85z", "é\u3000漢\u2028字 \u00a0", "\n\n", "end\n"] + ["x" + chr(i) + "y" for i in range(1, 0x3100)]
+    for part in (pa.array(texts), pa.array(texts).slice(3, 5), pa.array([], pa.string())):
+        ends, which, words = tokencount.pretokens(part)
+        got = [[words[k] for k in which[s:e] if words[k]] for s, e in zip(ends, ends[1:])]
+        assert got == [t.split() for t in part.to_pylist()]
+
+
 def test_scores_are_shares_of_the_corpus(pieces):
     import public_tokenizers
     import sentencepiece
