@@ -1,5 +1,4 @@
 import random
-import sys
 from fractions import Fraction
 
 from oracle import assert_same
