@@ -19,7 +19,7 @@ from ..sources.registry import Registry
 from ..sources.shared import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-DEAL, QUERY_BLOCK = 32_768, 1024  # chunks of a deal and queries of a block, about
+DEAL, DEAL_TOKENS, QUERY_BLOCK = 32_768, 2 << 20, 1024  # chunks of a deal, tokens of a deal and queries of a block, about
 
 
 def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text", tokenizer=tokens) -> DataFrame:
@@ -50,12 +50,14 @@ def best(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: DataFrame
     Postings and terms are cut to the queries' terms first. Chunks are dealt by hash of their key and queries by theirs;
     a task has the postings of a deal of chunks and the terms of a block of queries, sums what meets there as arrays and
     passes on k rows a query. So however common a term is, its postings are spread over the deals, and the pairs of query
-    and chunk, nearly all there are, never leave a task."""
+    and chunk, nearly all there are, never leave a task. Deals are as many as the chunks or their tokens ask for, so long
+    chunks don't make a task's arrays longer."""
     q = queries.select(F.col(qid), F.explode(tokenizer(text)).alias("term")).groupBy(qid, "term").agg(F.count("*").cast("double").alias("x"))
     q = stored(q)
     wanted = stored(q.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()))
-    n = stats.first().n or 0
-    deals, blocks = max(1, math.ceil(n / DEAL)), max(1, math.ceil(q.select(qid).distinct().count() / QUERY_BLOCK))
+    size = stats.first()
+    n, all_ = size.n or 0, (size.n or 0) * (size.avgdl or 0)
+    deals, blocks = max(1, math.ceil(n / DEAL), math.ceil(all_ / DEAL_TOKENS)), max(1, math.ceil(q.select(qid).distinct().count() / QUERY_BLOCK))
     tf = F.col("tf")
     p = post.join(wanted, "term").join(terms.select("term", "idf").join(wanted.select("term"), "term", "left_semi"), "term")
     p = p.crossJoin(F.broadcast(stats.select("avgdl"))).withColumn("x", F.col("idf") * tf * d(k1 + 1) / (tf + d(k1) * (d(1 - b) + d(b) * F.col("dl") / F.col("avgdl"))))
@@ -71,7 +73,7 @@ def best(queries: DataFrame, post: DataFrame, terms: DataFrame, stats: DataFrame
         for _, g in groups(batches, ["i", "j"]):
             is_q = pc.is_valid(g.column("__q")).to_numpy()
             tid, x = g.column("tid").to_numpy(), g.column("x").to_numpy()
-            side = g.filter(pa.array(is_q)).column("__q").combine_chunks(), g.filter(pa.array(~is_q)).column("__k").combine_chunks()
+            side = g.column("__q").filter(pa.array(is_q)).combine_chunks(), g.column("__k").filter(pa.array(~is_q)).combine_chunks()
             if not len(side[0]) or not len(side[1]):
                 continue
             (names, at), (keys, doc) = (np.unique(c.to_numpy(zero_copy_only=False), return_inverse=True) for c in side)

@@ -88,15 +88,12 @@ def registered(defs: DataFrame, position: DataFrame, least: float = 0.8, key: st
     return defs.where(F.col("conf") >= least).join(position, key).groupBy("term").agg(F.min_by(key, F.struct("pos", key)).alias(key))
 
 
-def containment_edges(terms: DataFrame, chunks: DataFrame, cap: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(src, dst, relation, conf) of chunks whose text holds a term: defined_by and its reverse; at most `cap` terms a
-    chunk, the longest first. terms(term, article, term_pos).
-
-    What lies inside a term lies whole in a text that holds it: a term meets, by an equi-join, only the chunks with the
-    rarest of its inner words (neither first nor last), or with its first CJK character, or, if it has no word either,
-    with its first other mark. A term without any of these meets the chunks with a word that contains its longest word,
-    found among the distinct words by three characters of it. So terms and texts are never all paired, and texts join
-    only what is left. Blank terms are in no text."""
+def _met_by_text(t: DataFrame, chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """(__tid, key): chunks that may hold a term of t(__tid, term), found through the words of all texts.
+
+    A term meets, by an equi-join, only the chunks with the rarest of its inner words (neither first nor last), or with its
+    first CJK character, or, if it has no word either, with its first other mark. A term without any of these meets the
+    chunks with a word that contains its longest word, found among the distinct words by three characters of it."""
     word, cjk, other = F.lit("[a-z0-9]+"), F.lit("[\\u4e00-\\u9fff]"), F.lit("[^A-Za-z0-9\\s\\u4e00-\\u9fff]")
     words = lambda c: F.regexp_extract_all(F.lower(c), word, F.lit(0))
     chars = lambda c: F.regexp_extract_all(c, cjk, F.lit(0))
@@ -108,24 +105,56 @@ def containment_edges(terms: DataFrame, chunks: DataFrame, cap: int = 10, key: s
     first = lambda a: F.slice(a, 1, 1)
     term = F.col("term")
     keys = F.when(F.size(inner) > 0, F.array_distinct(inner)).when(F.size(chars(term)) > 0, first(chars(term))).when(F.size(tw) == 0, first(marks(term))).otherwise(F.array().cast("array<string>"))
-    t = terms.where(F.trim(text_of("term")) != "").withColumn("keys", keys)
+    t = t.withColumn("keys", keys)
     often = cw.join(t.select(F.explode("keys").alias("g")).distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
-    rare = t.where(F.size("keys") > 0).select("term", "article", "term_pos", F.explode("keys").alias("g")).join(often, "g").groupBy("term", "article", "term_pos").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    rare = t.where(F.size("keys") > 0).select("__tid", F.explode("keys").alias("g")).join(often, "g").groupBy("__tid").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
     rest = t.where("size(keys) = 0").withColumn("w", F.get(F.array_sort(F.transform(tw, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), F.lit(0))["w"])
     rest = rest.where("w is not null").withColumn("gram", F.substring("w", 1, 3))
     grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(F.substring(c, i, F.lit(1)), F.substring(c, i, F.lit(2)), F.substring(c, i, F.lit(3))))))
     if not rest.isEmpty():
         asked = F.broadcast(rest.select("gram").distinct())  # at most 36 ** 3 and fewer, as grams are letters and digits
         some = cw.select("g").distinct().where(F.col("g").rlike("^[a-z0-9]+$")).select("g", F.explode(grams(F.col("g"))).alias("gram")).join(asked, "gram", "left_semi")
-        rare = rare.unionByName(rest.join(some, "gram").where(F.col("g").contains(F.col("w"))).select("term", "article", "term_pos", "g"))
-    met = rare.join(cw, "g").select("term", "article", "term_pos", key).distinct()
-    met = met.join(chunks.select(key, F.col(text).alias("__t")), key).where(F.col("__t").contains(F.col("term")) & (F.col(key) != F.col("article")))
+        rare = rare.unionByName(rest.join(some, "gram").where(F.col("g").contains(F.col("w"))).select("__tid", "g"))
+    return rare.join(cw, "g").select("__tid", key)
+
+
+def holders(terms: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text", index=None) -> DataFrame:
+    """terms(term, ...) with the key of every chunk whose text holds the term, each once. Blank terms are in no text.
+
+    What lies inside a term lies whole in a text that holds it. With `index`, a bm25.Index of the chunks made with
+    tokens(), a term that has a word between two marks that are no apostrophes, which is a token wherever the term is,
+    meets the chunks in the postings of the rarest of these; the words of all texts are then gone through only if a
+    term has none. So terms and texts are never all paired, and only texts that met a term are compared with it."""
+    t = stored(terms.where(F.trim(text_of("term")) != "").distinct().withColumn("__tid", F.monotonically_increasing_id()))
+    rest, met = t, None
+    if index is not None:
+        t = t.withColumn("__w", F.array_distinct(F.regexp_extract_all(F.lower("term"), F.lit("(?<=[^a-z0-9'])[a-z0-9]+(?=[^a-z0-9'])"), F.lit(0))))
+        rest, w = t.where("size(__w) = 0").drop("__w"), stored(t.select("__tid", F.explode("__w").alias("g")))
+        t = t.drop("__w")
+        rare = stored(index.terms.select(F.col("term").alias("g"), "df").join(w, "g").groupBy("__tid").agg(F.min_by("g", F.struct("df", "g")).alias("g")))
+        met = index.post.select(F.col("term").alias("g"), key).join(rare, "g").select("__tid", key)
+    if met is None or not rest.isEmpty():
+        others = _met_by_text(rest.select("__tid", "term"), chunks, key, text)
+        met = others if met is None else met.unionByName(others)
+    met = stored(met.distinct())
+    some = chunks.select(key, F.col(text).alias("__t")).join(met.select(key).distinct(), key, "left_semi")
+    return met.join(t, "__tid").join(some, key).where(F.col("__t").contains(F.col("term"))).select(*terms.columns, key).distinct()
+
+
+def term_edges(held: DataFrame, cap: int = 10, key: str = "doc_id") -> DataFrame:
+    """(src, dst, relation, conf) of held(term, article, term_pos, key): defined_by and its reverse; at most `cap` terms a
+    chunk, the longest first."""
     w = Window.partitionBy(key).orderBy(F.length("term").desc(), "term_pos")
-    top = met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).withColumn("conf", F.when(F.length("term") >= 4, d(0.90)).otherwise(d(0.85)))
+    top = held.where(F.col(key) != F.col("article")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).withColumn("conf", F.when(F.length("term") >= 4, d(0.90)).otherwise(d(0.85)))
     both = F.array(F.struct(F.col(key).alias("src"), F.col("article").alias("dst"), F.lit("defined_by").alias("relation")), F.struct(F.col("article").alias("src"), F.col(key).alias("dst"), F.lit("defines_term").alias("relation")))
     return top.select(F.inline(both), "conf").distinct()
 
 
+def containment_edges(terms: DataFrame, chunks: DataFrame, cap: int = 10, key: str = "doc_id", text: str = "text", index=None) -> DataFrame:
+    """term_edges() of all chunks whose text holds a term. terms(term, article, term_pos)."""
+    return term_edges(holders(terms.select("term", "article", "term_pos"), chunks, key, text, index), cap, key)
+
+
 def budgeted(candidates: DataFrame, caps: dict = CAPS, total: int = TOTAL_CAP) -> DataFrame:
     """candidates(src, dst, relation, conf, seq) -> edges(src, dst, relation, conf, pos) after the per-node budget.
 
@@ -202,8 +231,8 @@ def walk(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, depths: dict =
     seeds(query, node, ord); edges(src, dst, relation, conf, pos); vertices(node). A level joins the frontier with the
     edges, drops visited nodes and keeps each new one's first discoverer (frontier order, then edge order). Nodes beyond
     the vertices count as visited but are not emitted. How far a walk goes on depends on the relation that found a node.
-    At most `limit` nodes a query, in order of discovery. The loop ends after the greatest depth; each level is written
-    to the shared folder, so the plan of a level doesn't hold the levels before."""
+    At most `limit` nodes a query, in order of discovery; a query that has them goes no further. The loop ends after the
+    greatest depth; each level is written to the shared folder, so the plan of a level doesn't hold the levels before."""
     e = edges
     if least_conf > 0:
         e = e.where(F.col("conf") >= least_conf)
@@ -231,10 +260,11 @@ def walk(seeds: DataFrame, edges: DataFrame, vertices: DataFrame, depths: dict =
             break
         real = new.join(vertices.select("node"), "node", "left_semi")
         order = Window.partitionBy(qid).orderBy("pord", "pos")
-        level_rows = real.withColumn("k", F.row_number().over(order)).select(qid, "node", F.lit(level + 1).alias("depth"), "parent", "relation", "conf", "k").where(F.col("k") <= limit)
+        level_rows = stored(real.withColumn("k", F.row_number().over(order)).select(qid, "node", F.lit(level + 1).alias("depth"), "parent", "relation", "conf", "k").where(F.col("k") <= limit))
         out = level_rows if out is None else out.unionByName(level_rows)
         visited = visited.unionByName(new.select(qid, "node"))
-        frontier = level_rows.select(qid, "node", F.col("k").alias("ord"), "relation")
+        full = out.groupBy(qid).agg(F.count("*").alias("n")).where(F.col("n") >= limit).select(qid)
+        frontier = level_rows.join(full, qid, "left_anti").select(qid, "node", F.col("k").alias("ord"), "relation")
     if out is None:
         return seeds.limit(0).select(qid, "node", F.lit(1).alias("depth"), F.col("node").alias("parent"), F.lit("").alias("relation"), d(1).alias("conf"), F.lit(1).alias("ord"))
     w = Window.partitionBy(qid).orderBy("depth", "k")

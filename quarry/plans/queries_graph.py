@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import fusion, graph
 from ..sources.shared import stored
-from .queries_search import BM25, TOK, _gold, docs, index, items, texts
+from .queries_search import BM25, TOK, _held, docs, index, items
 
 DEPTHS, LIMIT, SEEDS = rules.WALK_DEPTHS, 800, 30
 
@@ -18,14 +18,11 @@ def graph_edges_seq(spark, sf):
     return e.select("src", "dst", "relation", "conf")
 
 
-def _terms(spark, sf):
-    first = _gold(spark, sf).groupBy("query_id").agg(F.min("doc_id").alias("article"))
-    return items(spark, sf).join(first, "query_id").select(F.col("text").alias("term"), "article", F.col("query_id").alias("term_pos"))
-
-
 def graph_edges_contain(spark, sf):
     """The first document with a passage defines it for the others that hold it; ten passages a document."""
-    return graph.containment_edges(_terms(spark, sf), texts(spark, sf), 10)
+    held = stored(_held(spark, sf))
+    first = held.groupBy("query_id").agg(F.min("doc_id").alias("article"))
+    return graph.term_edges(held.join(first, "query_id").select("term", "article", F.col("query_id").alias("term_pos"), "doc_id"), 10)
 
 
 def _edges(spark, sf):
@@ -37,9 +34,13 @@ def _seeds(spark, sf):
     return stored(index(spark, sf).search(items(spark, sf), SEEDS).select("query_id", F.col("doc_id").alias("node"), F.col("rank").alias("ord")))
 
 
+def _walk(spark, sf, edges):
+    return graph.walk(_seeds(spark, sf), edges, docs(spark, sf).select(F.col("doc_id").alias("node")), DEPTHS, LIMIT)
+
+
 def graph_walk(spark, sf):
     """Walks from the thirty best lexical hits of every passage."""
-    w = graph.walk(_seeds(spark, sf), _edges(spark, sf), docs(spark, sf).select(F.col("doc_id").alias("node")), DEPTHS, LIMIT)
+    w = _walk(spark, sf, _edges(spark, sf))
     return w.select("query_id", "node", "depth", "parent", "relation", "ord")
 
 
@@ -56,15 +57,17 @@ def graph_neighbors(spark, sf):
 
 
 def graph_score(spark, sf):
-    w = graph.walk(_seeds(spark, sf), _edges(spark, sf), docs(spark, sf).select(F.col("doc_id").alias("node")), DEPTHS, LIMIT)
+    w = _walk(spark, sf, _edges(spark, sf))
     t = w.join(items(spark, sf).withColumnRenamed("text", "q"), "query_id").join(docs(spark, sf).select(F.col("doc_id").alias("node"), F.col("text").alias("t")), "node")
     s = graph.scored(t, fusion.overlap_score(F.col("q"), F.col("t")))
     return s.select("query_id", "node", F.round("semantic", 6).alias("semantic"), F.round("score", 6).alias("score"))
 
 
 def graph_induced(spark, sf):
-    w = graph_walk(spark, sf)
-    return graph.induced(_edges(spark, sf), w.select("node")).select("src", "dst", "relation")
+    """The edges among all nodes of the walks; walks and result read the same edges, made once."""
+    e = _edges(spark, sf)
+    w = _walk(spark, sf, e)
+    return graph.induced(e, stored(w.select("node").distinct())).select("src", "dst", "relation")
 
 
 def graph_budget(spark, sf):

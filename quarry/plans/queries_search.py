@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import d, minmax, sigmoid
 from ..functions.text import tokens
 from ..operators import bm25, cases, dense, evaluate, fusion, prompts, routing
+from ..operators.graph import holders
 from ..sources.registry import Registry
 from ..sources.shared import files_digest, shared_dir, spread
 from .hybrid import Config, HybridSearch
@@ -238,13 +239,13 @@ best AS (SELECT query_id, doc_id, qd.tok, max(list_dot_product(a.v, b.v) / ((sqr
 SELECT query_id, doc_id, round(sum(s), 5) AS score FROM best GROUP BY query_id, doc_id"""
 
 
-def _gold(spark, sf):
-    """Documents that hold a passage, found through the passage's first characters."""
-    from ..operators.graph import containment_edges
+def _held(spark, sf):
+    """(query_id, term, doc_id): documents that hold a passage, found through its rarest whole word in the index."""
+    return holders(items(spark, sf).withColumnRenamed("text", "term"), docs(spark, sf), index=index(spark, sf))
+
 
-    b = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("text").alias("term"), (-F.col("item_id") - 1).alias("article"), F.col("item_id").alias("term_pos"))
-    e = containment_edges(b, texts(spark, sf), cap=2**31 - 1)
-    return e.where("relation = 'defined_by'").select((-F.col("dst") - 1).alias("query_id"), F.col("src").alias("doc_id"))
+def _gold(spark, sf):
+    return _held(spark, sf).select("query_id", "doc_id").distinct()
 
 
 def eval_metrics(spark, sf):

@@ -396,3 +396,44 @@ def test_containment_edges_equal_nested_loops(spark):
     t = spark.createDataFrame(terms, "term string, article long, term_pos int")
     got = {(r.src, r.dst) for r in graph.containment_edges(t, d).where("relation = 'defined_by'").collect()}
     assert got == {(i, a) for i, x in docs for w, a, _ in terms if x and w.strip() and w in x and i != a}
+
+
+def test_holders_by_index_equal_nested_loops(spark):
+    """Terms cut at either end, with apostrophes, in other cases and scripts: found in the postings or, without a whole word, in the texts."""
+    docs = [(1, "the red cat sat, it's a dog's life"), (2, "a red catalog; rock'n'roll is old"), (3, "合同是协议 İstanbul is red"), (4, "redcat"), (5, None), (6, "The Red Cat sat on it"), (7, "--- x ---"), (7, "the x of x, the end"), (8, "ock 'n roll is old")]
+    terms = ["red cat", "the red cat sat", "he red cat s", "合同", "red", "---", "  ", None, "ock'n'roll is o", "k'n'roll is old", "it's a dog's l", "s a dog's", "ed Cat sat o", "x of x", "stanbul is r", "no such words here", "'n roll is", "red cat sat"]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame([(x, i) for i, x in enumerate(terms)], "term string, term_pos int")
+    want = sorted({(i, k) for k, x in docs for i, w in enumerate(terms) if x and w and w.strip() and w in x})
+    for index in (None, bm25.Index(d)):
+        assert sorted((r.term_pos, r.doc_id) for r in graph.holders(t, d, index=index).collect()) == want
+
+
+def test_graph_induced_makes_its_edges_once_and_from_the_index(spark, monkeypatch):
+    from quarry.plans import queries_graph
+
+    made, edges = [], queries_graph._edges
+    monkeypatch.setattr(queries_graph, "_edges", lambda *a: made.append(edges(*a)) or made[-1])
+    monkeypatch.setattr(graph, "_met_by_text", None, raising=False)  # no passage here lacks a whole word
+    assert queries_graph.graph_induced(spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1
+
+
+def test_walk_of_a_full_query_ends(spark):
+    """Query 1 has its three nodes after a level, query 2 after two: deeper nodes are neither given nor looked for."""
+    seeds = spark.createDataFrame([(1, 0, 1), (2, 10, 1)], "query_id int, node long, ord int")
+    pairs = [(0, 1), (0, 2), (0, 3), (0, 4), (1, 5), (10, 11), (11, 12), (11, 13), (11, 14), (12, 15)]
+    e = spark.createDataFrame([(a, b, "next", 1.0, i) for i, (a, b) in enumerate(pairs)], "src long, dst long, relation string, conf double, pos int")
+    w = graph.walk(seeds, e, spark.range(20).withColumnRenamed("id", "node"), {"default": 3}, 3)
+    assert sorted((r.query_id, r.ord, r.node, r.depth) for r in w.collect()) == [(1, 1, 1, 1), (1, 2, 2, 1), (1, 3, 3, 1), (2, 1, 11, 1), (2, 2, 12, 2), (2, 3, 13, 2)]
+
+
+def test_search_is_dealt_by_tokens_too(spark, monkeypatch):
+    """Few long chunks make as many deals as their tokens ask for; the hits are the same."""
+    d = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 37}" for k in range(200))) for i in range(40)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "w1 w5 w9"), (2, "w0 w36")], "query_id int, text string")
+    ix = bm25.Index(d)
+    hits = lambda: sorted(map(tuple, ix.search(q, 7).collect()))
+    whole, dealt, groups_ = hits(), [], F.lit
+    monkeypatch.setattr(bm25, "DEAL_TOKENS", 500)
+    monkeypatch.setattr(bm25.F, "lit", lambda x: dealt.append(x) or groups_(x))
+    assert hits() == whole and 15 in dealt  # 40 chunks of 200 tokens, less 500 a deal: 16 deals, the last is 15
