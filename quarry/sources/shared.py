@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-SMALL = 256 << 20
+SMALL, PART = 256 << 20, 8 << 20
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -37,6 +37,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if plan_bytes(df) <= SMALL else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over all task slots, or in parts of about PART bytes where these are more; what is grouped by the
+    keys and more is then not shuffled again. For rows that grow when they are worked on, as texts do into postings."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-plan_bytes(df) // PART)), *keys)
+
+
 def files_digest(spark: SparkSession, path: str) -> str:
     """A digest of the names, lengths and times of the files below a path: another one once any of them changes."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
